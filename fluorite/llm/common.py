@@ -57,3 +57,11 @@ def small(df: DataFrame, bound: int) -> bool:
 def maybe_broadcast(df: DataFrame, bound: int = 200_000) -> DataFrame:
     """df, marked for broadcast if it is proven to have at most bound (narrow) rows."""
     return F.broadcast(df) if small(df, bound) else df
+
+
+def attach(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, found): every row of docs with what was found for its id and text; found has id_col and __row_key, each pair once."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("__id"), row_key(F.col(text_col)).alias("__key"))
+    rest = [c for c in found.columns if c not in (id_col, KEY)]
+    said = found.select(F.col(id_col).alias("__of"), F.col(KEY).alias("__its"), F.struct(*rest).alias("found"))
+    return rows.join(said, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__key") == F.col("__its"))).select("row", "found")

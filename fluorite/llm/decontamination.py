@@ -44,6 +44,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     inline_bound: int = 50_000,
+    with_key: bool = False,
 ) -> DataFrame:
     """Words of documents that lie in a run of n words of a benchmark item.
 
@@ -62,7 +63,8 @@ def decontaminate(
     once. Empty docs: no rows. Empty benchmark: nothing is hit.
 
     Fingerprints of the benchmark go into the plan as constants if there are at
-    most ``inline_bound``; beyond that documents are joined on them.
+    most ``inline_bound``; beyond that documents are joined on them. With
+    ``with_key`` the hash of the text follows.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("w")).where("item is not null and size(w) > 0")
     items = items.withColumn("__h", F.expr("transform(w, x -> xxhash64(x))")).withColumn("len", F.least(F.size("w"), F.lit(n)))
@@ -112,7 +114,7 @@ def decontaminate(
         hits = reduce(DataFrame.unionByName, tried).join(windows.select("len", "run").distinct(), ["len", "run"], "left_semi").distinct() if tried else None
     base_rows = kept.select("id", KEY, "n_words")
     if not lengths:
-        return base_rows.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
+        return base_rows.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"), *[KEY] * with_key)
     found = hits.join(maybe_broadcast(windows.select("len", "run", "item").distinct()), ["len", "run"])
     by_doc = found.groupBy("id", KEY).agg(F.collect_set(F.struct("pos", "len")).alias("runs"), F.array_sort(F.collect_set("item")).alias("item_ids"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["len"] - 1))))).cast("long")
@@ -121,6 +123,7 @@ def decontaminate(
     return out.select(
         F.col("d.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        *[F.col(f"d.{KEY}")] * with_key,
     )
 
 

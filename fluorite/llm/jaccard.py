@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, read, release, small
+from .common import KEY, materialize, maybe_broadcast, read, release, row_key, small
 from .graph import connected_components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +81,7 @@ def jaccard_components(
     most_often: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_key: bool = False,
 ) -> DataFrame:
     """Groups of documents whose sets of k-word shingles have a Jaccard similarity of num / den or more.
 
@@ -102,10 +103,12 @@ def jaccard_components(
     each row of docs. Null, empty and blank texts have no shingles and are alone;
     fewer than k words are one shingle. Rows repeated with the same text share a
     group. A null id is alone unless its text links to others, and never names
-    a group. Empty input: no rows. Other columns of docs are ignored.
+    a group. Empty input: no rows. Other columns of docs are ignored. With
+    ``with_key`` the hash of the text follows, and is_first: whether the row is
+    the one of its group that stays, the first by id, then hash.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(text_col)).alias("key"))
 
     def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k, seed)
@@ -144,12 +147,13 @@ def jaccard_components(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
                     _lists([in_order(s, last, 0) if len(s) else s for s in sets]),
                 ],
-                ["id", "n", "cls", "more", "prefix"],
+                ["id", "key", "n", "cls", "more", "prefix"],
             )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +175,9 @@ def jaccard_components(
             least *= 2
         found = counts.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64)  # most_often at most
         hot = spark.sparkContext.broadcast(np.sort(found).view(np.uint64))
-        schema = f"id {docs.schema[id_col].dataType.simpleString()}, n long, cls long, more long, prefix array<long>"
+        schema = f"id {docs.schema[id_col].dataType.simpleString()}, key long, n long, cls long, more long, prefix array<long>"
         rows = materialize(texts.mapInArrow(prefixes, schema))
-        classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("more").alias("m0"), F.max("more").alias("m1"))
+        classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.first("n").alias("n"), F.min("more").alias("m0"), F.max("more").alias("m1"))
         classes = materialize(classes)
         if classes.where("m0 <> m1").isEmpty():
             break
@@ -195,8 +199,8 @@ def jaccard_components(
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs that pass the filters under all orders and are similar enough."""
         pairs = materialize(sized(pairs))
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("id").alias("first")))
-        some = texts.join(maybe_broadcast(wanted.select("first").distinct()), F.expr("id <=> first"), "left_semi")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("first.id").alias("wanted"), F.col("first.key").alias("wanted_key")))
+        some = texts.join(maybe_broadcast(wanted.distinct()), F.expr("id <=> wanted and key = wanted_key"), "left_semi")
         sets = some.mapInArrow(whole, "cls long, tokens array<long>, " + ", ".join(f"p{o} array<long>" for o in range(1, orders)))
         sets = materialize(sets.where("cls is not null").dropDuplicates(["cls"]))
         for o in range(1, orders):
@@ -223,11 +227,14 @@ def jaccard_components(
     release(spark)
     if not more.isEmpty():
         group = materialize(connected_components(links.union(more)))
-    named = classes.select("cls", "id").join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    first = named.groupBy("component").agg(F.min("id").alias("first"))
+    named = classes.select("cls", F.col("first").alias("own")).join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    first = named.groupBy("component").agg(F.min("own").alias("first"))
     named = materialize(named.join(first, "component").select("cls", "first"))
-    out = rows.select("id", "n", "cls").join(named, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+    out = rows.select("id", "key", "n", "cls").join(named, "cls", "left")
+    cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id")]
+    if with_key:
+        cols += [F.col("key").alias(KEY), F.coalesce(F.expr("id <=> first.id and key = first.key"), F.lit(True)).alias("is_first")]
+    return out.select(*cols)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import KEY, materialize, read, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +46,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    with_key: bool = False,
 ) -> DataFrame:
     """How many words of each document a mix takes.
 
@@ -61,12 +62,14 @@ def mix_sources(
     Null or blank text: size 0, takes 0. Null source: a source of its own, last.
     Repeated rows and ties of keys stand by id, then size; which of two equal
     rows comes first does not show. Empty input: no rows. Other columns of docs
-    are ignored, whatever their names.
+    are ignored, whatever their names. With ``with_key`` the hash of the text
+    follows.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        row_key(F.col(text_col)).alias(KEY),
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
     ).withColumn("range", F.substring("key", 1, 3))
     rows = materialize(rows)
@@ -82,7 +85,7 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - start
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return joined.select(F.col("d.id").alias(id_col), "size", F.col("d.source").alias(source_col), "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select(F.col("d.id").alias(id_col), "size", F.col("d.source").alias(source_col), "source_size", "target", taken.cast("long").alias("taken"), *[KEY] * with_key)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

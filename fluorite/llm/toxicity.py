@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, read
 
@@ -192,13 +193,17 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, pos: int, neg: int, least_doc
     return {r["w"] for r in clean.orderBy(F.desc("b"), "w").limit(1000).collect()}
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """Returns id, score (0 to 1) and n_hits for each row of docs, reading nothing else of it.
 
     Null and empty texts have no hits and the score that goes with that.
-    Repeated rows get equal scores. Empty input: no rows.
+    Repeated rows get equal scores. Empty input: no rows. With ``with_row`` the
+    struct row follows, with all columns of docs.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if with_row:
+        rows = docs.select(F.struct(*docs.columns).alias("id"), F.col(text_col).alias("text"))
+    else:
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -207,8 +212,11 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
             score = lexicon.score(np.array([g[0] for g in got]), np.array([g[1] for g in got])) if got else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array([g[2] for g in got], pa.int64())], ["id", "score", "n_hits"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(measure, f"id {kind}, score double, n_hits long").withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType())])
+    scored = rows.mapInArrow(measure, schema)
+    if with_row:
+        return scored.select(F.col("id").getField(id_col).alias(id_col), "score", "n_hits", F.col("id").alias("row"))
+    return scored.withColumnRenamed("id", id_col)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
