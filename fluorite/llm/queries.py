@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, lines, mixing, toxicity
+from . import decontamination, jaccard, lines, mixing, quality, tokens, toxicity
 
-MODULES = (toxicity, mixing, jaccard, decontamination, lines)
+MODULES = (tokens, toxicity, quality, mixing, jaccard, decontamination, lines)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

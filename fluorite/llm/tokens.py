@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, ship
 
 # Input symbols
 RESET, LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_X, BLANK_X, BLANK = range(9)
@@ -255,7 +255,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 1024, id_col
     no rows; other columns of docs are ignored.
     """
     merges, special = TokenCounter.parameters(tokenizer_file)
-    sent = docs.sparkSession.sparkContext.broadcast((merges, special))
+    sent = ship(docs.sparkSession).sparkContext.broadcast((merges, special))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
