@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, lines, mixing, personal, quality, tokens, toxicity
+from . import decontamination, jaccard, licenses, lines, mixing, neighbours, personal, quality, tokens, toxicity
 
-MODULES = (tokens, toxicity, personal, quality, mixing, jaccard, licenses, decontamination, lines)
+MODULES = (tokens, toxicity, personal, quality, mixing, jaccard, licenses, neighbours, decontamination, lines)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
