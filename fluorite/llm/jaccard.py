@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import KEY, materialize, maybe_broadcast, read, release, row_key, small
+from .common import KEY, materialize, maybe_broadcast, read, release, row_key, ship, small
 from .graph import connected_components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +59,14 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each token: 4 to 8 bits a token, a power of two. Shorter ones are folds of longer ones."""
+    size = max(64, 1 << (4 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.intp)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
     return batch.column(at).cast(pa.large_binary()).to_pylist()
 
@@ -76,8 +86,7 @@ def jaccard_components(
     num: int = 90,
     den: int = 100,
     orders: int = 3,
-    pool: float = 1.5,
-    often: int = 64,
+    often: int = 16,
     most_often: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -86,18 +95,22 @@ def jaccard_components(
     """Groups of documents whose sets of k-word shingles have a Jaccard similarity of num / den or more.
 
     1. Documents with the same set are one class, so copies cost no pairs.
-    2. Tokens (shingles) stand in global orders: by a hash of the token, but
-       tokens that many documents have stand last. To link, two sets must share
-       one of their first n - ceil(n * num / den) + 1 tokens under every order.
-       ``often`` is the least count that puts a token last; it is doubled until
-       at most ``most_often`` tokens are. Counts are over the first ``pool``
-       times as many tokens of all documents. Any order gives the same links.
-    3. Each class is tried against the first and last class of each of its
-       tokens: as many pairs as tokens. Those that pass the filters under the
-       other orders are verified on whole sets; links make components.
-    4. Classes that share a token and are in different components by then are
-       paired, filtered and verified alike. Components are made from all links.
-       So a large group of near copies doesn't give all its pairs.
+    2. Tokens (shingles) of all documents are counted. Global orders put tokens
+       that ``often`` or more documents have last, and go by a hash otherwise;
+       ``often`` is doubled until at most ``most_often`` tokens are last. To
+       link, two sets must share one of their first n - ceil(n * num / den) + 1
+       tokens under every order; any order gives the same links.
+    3. Classes that share a rare token of the first order are paired: a token
+       has fewer than ``often`` classes, so pairs grow with the input.
+    4. Two sets without a common rare token share at most their frequent tokens,
+       and so must have few rare ones. Each class is first tried against a hub of
+       each of its frequent tokens, the class with the fewest rare tokens; links
+       make components. Then classes in other components than their hub's are
+       paired with what else of that token the counts of rare tokens allow. So a
+       large group of near copies doesn't give all its pairs.
+    5. Bitmaps of the sets bound what a pair shares. Pairs that may still link
+       go through the filters under the other orders; the rest are verified on
+       whole sets. Components are made from all links.
 
     Returns id, n_shingles (long) and component_id, the least id reachable, for
     each row of docs. Null, empty and blank texts have no shingles and are alone;
@@ -107,33 +120,51 @@ def jaccard_components(
     ``with_key`` the hash of the text follows, and is_first: whether the row is
     the one of its group that stays, the first by id, then hash.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(text_col)).alias("key"))
+    steps = np.arange(orders, dtype=np.uint64) * _GOLD
 
     def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The 44 upper bits of all tokens, dealt by 12 of them, as packed numbers of the other 32."""
         shingle = Shingler(k, seed)
+
+        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            token = np.sort(np.concatenate(parts))
+            bucket = (token >> np.uint64(52)).astype(np.int32)
+            rest = (token >> np.uint64(20)).astype(np.uint32)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            groups = np.split(rest, cuts)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts]).astype(int)]), pa.array([g.tobytes() for g in groups], pa.binary())], ["bucket", "rest"])
+
+        parts, held = [], 0
         for batch in batches:
-            parts, held = [], 0
             for text in _texts(batch, 0):
                 s = shingle(text)
-                parts.append(s[: int(pool * prefix_size(len(s), num, den)) + 1] if len(s) else s)
-                held += len(parts[-1])
-                if held > 1 << 19:
-                    token, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(n.astype(np.int64))], ["token", "n"])
+                if len(s):
+                    parts.append(s)
+                    held += len(s)
+                if held > 1 << 21:
+                    yield packed(parts)
                     parts, held = [], 0
-            if held:
-                token, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(n.astype(np.int64))], ["token", "n"])
-
-    steps = np.arange(orders, dtype=np.uint64) * _GOLD
-
-    def in_order(s: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
-        """The prefix of set s under an order."""
+        if held:
+            yield packed(parts)
+
+    def frequent(pdf: pd.DataFrame) -> pd.DataFrame:
+        token, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["rest"]]), return_counts=True)
+        some = n >= often
+        upper = (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32)) | token[some].astype(np.uint64)
+        return pd.DataFrame({"token": upper.astype(np.int64), "n": n[some].astype(np.int64)})
+
+    def is_frequent(s: np.ndarray, last: np.ndarray) -> np.ndarray:
+        if not len(last) or not len(s):
+            return np.zeros(len(s), bool)
+        upper = s >> np.uint64(20)
+        return last[np.minimum(np.searchsorted(last, upper), len(last) - 1)] == upper
+
+    def in_order(s: np.ndarray, frequent: np.ndarray, order: int) -> np.ndarray:
+        """Places of the prefix of set s under an order."""
         p = prefix_size(len(s), num, den)
-        rank = s if order == 0 else _mix(s + steps[order])
-        hot = np.isin(s, last, assume_unique=True) if len(last) else np.zeros(len(s), bool)
-        return s[np.lexsort((rank, hot))[:p]]
+        return np.lexsort((s if order == 0 else _mix(s + steps[order]), frequent))[:p]
 
     def digest(s: np.ndarray) -> tuple[int, int]:
         d = xxhash.xxh3_128_intdigest(s.tobytes(), seed)
@@ -144,16 +175,21 @@ def jaccard_components(
         for batch in batches:
             sets = [shingle(t) for t in _texts(batch, 1)]
             digests = [digest(s) if len(s) else (None, None) for s in sets]
+            marks = [is_frequent(s, last) for s in sets]
+            first = [in_order(s, m, 0) if len(s) else np.empty(0, int) for s, m in zip(sets, marks, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([len(s) - int(m.sum()) for s, m in zip(sets, marks, strict=True)], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
-                    _lists([in_order(s, last, 0) if len(s) else s for s in sets]),
+                    _lists([s[f[~m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
+                    _lists([s[f[m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
+                    _lists([_bitmap(s) if len(s) else s for s in sets]),
                 ],
-                ["id", "key", "n", "cls", "more", "prefix"],
+                ["id", "key", "n", "r", "cls", "more", "rare", "often", "bits"],
             )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,46 +199,51 @@ def jaccard_components(
             for at in range(0, len(sets), 256):
                 some = sets[at : at + 256]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest(s)[0] for s in some], pa.int64()), _lists(some), *[_lists([in_order(s, last, o) for s in some]) for o in range(1, orders)]],
+                    [pa.array([digest(s)[0] for s in some], pa.int64()), _lists(some), *[_lists([s[in_order(s, is_frequent(s, last), o)] for s in some]) for o in range(1, orders)]],
                     ["cls", "tokens", *[f"p{o}" for o in range(1, orders)]],
                 )
 
     for seed in range(3):
-        counts = materialize(texts.select("text").mapInArrow(count_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= often))
+        counts = materialize(texts.select("text").mapInArrow(count_tokens, "bucket int, rest binary").groupBy("bucket").applyInPandas(frequent, "token long, n long"))
         release(spark)
         least = often
         while not small(counts.where(F.col("n") >= least), most_often):
             least *= 2
         found = counts.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64)  # most_often at most
-        hot = spark.sparkContext.broadcast(np.sort(found).view(np.uint64))
-        schema = f"id {docs.schema[id_col].dataType.simpleString()}, key long, n long, cls long, more long, prefix array<long>"
+        hot = spark.sparkContext.broadcast(np.sort(found.astype(np.uint64)))
+        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("key", "n", "r", "cls", "more")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "often", "bits")])
         rows = materialize(texts.mapInArrow(prefixes, schema))
-        classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.first("n").alias("n"), F.min("more").alias("m0"), F.max("more").alias("m1"))
+        classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.first("bits").alias("bits"), F.min("more").alias("m0"), F.max("more").alias("m1"))
         classes = materialize(classes)
         if classes.where("m0 <> m1").isEmpty():
             break
     else:
         raise RuntimeError("hashes of different sets keep colliding")
 
-    tokens = rows.where("cls is not null").select("cls", F.explode("prefix").alias("token"))
-    ends = tokens.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1")
-    shared = materialize(tokens.join(ends, "token"))
-    release(spark)
-    sizes = classes.select("cls", "n")
-    like = f"least(na, nb) * {den} >= greatest(na, nb) * {num}"
+    def alike(a: str, b: str, most: str | None = None) -> str:
+        """SQL: whether sizes allow a link, given the most that two sets can share."""
+        most = most or f"least({a}.n, {b}.n)"
+        return f"({most}) * {den} >= ({a}.n + {b}.n - ({most})) * {num}"
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Different pairs (a, b) whose sizes allow a link."""
-        both = pairs.where("a < b").distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        return both.where(like).select("a", "b", "na", "nb")
+    def postings(kind: str) -> DataFrame:
+        each = rows.where("cls is not null").select("cls", "n", "r", F.explode(kind).alias("token"))
+        return each.repartition("token").dropDuplicates(["token", "cls"])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs that pass the filters under all orders and are similar enough."""
-        pairs = materialize(sized(pairs))
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("first.id").alias("wanted"), F.col("first.key").alias("wanted_key")))
+        """Pairs (a, b, na, nb) that pass all filters and are similar enough."""
+        pairs = materialize(pairs.distinct())
+        bits = classes.select("cls", "bits")
+        both = pairs.join(bits.toDF("a", "xa"), "a").join(bits.toDF("b", "xb"), "b")
+        for x, y in (("xa", "xb"), ("xb", "xa")):
+            both = both.withColumn(x, F.expr(f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p | q), {x})"))
+        only = "aggregate(zip_with({0}, {1}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)"
+        both = both.withColumn("most", F.expr(f"least(na - {only.format('xa', 'xb')}, nb - {only.format('xb', 'xa')})"))
+        pairs = materialize(both.where(f"most * {den} >= (na + nb - most) * {num}").select("a", "b", "na", "nb"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("first.id").alias("wanted"), F.col("first.key").alias("wanted_key"))
+        wanted = materialize(wanted)
         some = texts.join(maybe_broadcast(wanted.distinct()), F.expr("id <=> wanted and key = wanted_key"), "left_semi")
         sets = some.mapInArrow(whole, "cls long, tokens array<long>, " + ", ".join(f"p{o} array<long>" for o in range(1, orders)))
-        sets = materialize(sets.where("cls is not null").dropDuplicates(["cls"]))
+        sets = materialize(sets.dropDuplicates(["cls"]))
         for o in range(1, orders):
             a, b = (sets.select(F.col("cls").alias(x), F.col(f"p{o}").alias(f"p{x}")) for x in "ab")
             pairs = pairs.join(a, "a").join(b, "b").where(F.arrays_overlap("pa", "pb")).drop("pa", "pb")
@@ -212,18 +253,26 @@ def jaccard_components(
         checked = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", common.alias("c"))
         return materialize(checked.where(F.col("c") * den >= (F.col("na") + F.col("nb") - F.col("c")) * num).select("a", "b"))
 
-    stars = shared.select(F.explode(F.array("c0", "c1")).alias("p"), "cls").select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b"))
-    links = linked(stars)
+    named_pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.expr("if(x.cls < y.cls, x.n, y.n)").alias("na"), F.expr("if(x.cls < y.cls, y.n, x.n)").alias("nb")]
+    rare = postings("rare")
+    met = rare.alias("x").join(rare.alias("y"), F.expr("x.token = y.token and x.cls < y.cls and " + alike("x", "y"))).select(*named_pair)
+    without_rare = "least(x.n - x.r, y.n - y.r)"
+    shared = materialize(postings("often"))
+    hubs = materialize(shared.groupBy("token").agg(F.min(F.struct("r", "n", "cls")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "hub.*"))
+    stars = shared.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.cls <> y.cls and " + alike("x", "y", without_rare))).select(*named_pair)
+    links = linked(met.union(stars))
     release(spark)
     group = materialize(connected_components(links))
-    here = shared.select("token", "cls").distinct().join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = here.groupBy("token").agg(F.min("component").alias("g0"), F.max("component").alias("g1")).where("g0 <> g1").select("token")
-    here = materialize(here.join(mixed, "token").join(sizes, "cls"))
-    a, b = (here.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "component", "n")]) for x in "ab")
-    rest = a.join(b, "token").where("a_cls < b_cls and a_component <> b_component").where(f"least(a_n, b_n) * {den} >= greatest(a_n, b_n) * {num}")
-    rest = rest.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
-    tried = stars.where("a < b").distinct()
-    more = linked(rest.distinct().join(tried, ["a", "b"], "left_anti"))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        found = df.join(group.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        return found.withColumn("component", F.coalesce("component", "cls"))
+
+    placed = grouped(shared).join(grouped(hubs).select("token", F.col("component").alias("main")), "token")
+    placed = materialize(placed)
+    apart = placed.where("component <> main")
+    rest = apart.alias("x").join(placed.alias("y"), F.expr("x.token = y.token and x.component <> y.component and " + alike("x", "y", without_rare))).select(*named_pair)
+    more = linked(rest)
     release(spark)
     if not more.isEmpty():
         group = materialize(connected_components(links.union(more)))
