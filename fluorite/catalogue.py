@@ -1,3 +1,563 @@
 """Every query of the library with its DuckDB twin."""
-QUERIES = {}
-SQL = {}
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import views as V
+from .frames import Stack
+from .operators import algebra as A
+from .operators import indices as I
+from .operators import pixelwise as P
+from .operators import samples as S
+from .operators import stats as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+E_SQL = """WITH e AS (
+  SELECT vec_id AS sample, CAST(label AS VARCHAR) AS cluster, i - 1 AS pos, CAST(240 + 10 * ((i - 1) // 8) AS DOUBLE) AS ex, CAST(300 + 10 * ((i - 1) % 8) AS DOUBLE) AS em,
+         CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i))"""
+L_SQL = """WITH l0 AS (
+  SELECT l_suppkey AS sample, CAST(240 + 10 * round(l_discount * 100) AS DOUBLE) AS ex, CAST(300 + 10 * round(l_tax * 100) AS DOUBLE) AS em, CAST(sum(l_extendedprice) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3),
+exs AS (SELECT DISTINCT ex FROM l0), ems AS (SELECT DISTINCT em FROM l0),
+l AS (SELECT s.sample, exs.ex, ems.em, coalesce(l0.v, 0) AS v FROM (SELECT DISTINCT sample FROM l0) s CROSS JOIN exs CROSS JOIN ems LEFT JOIN l0 ON l0.sample = s.sample AND l0.ex = exs.ex AND l0.em = ems.em)"""
+ABS_SQL = """, a AS (SELECT sample, wl, 0.01::DOUBLE + (sample % 7) / 100.0::DOUBLE + (wl - 240) / 10000.0::DOUBLE AS a FROM (SELECT DISTINCT sample FROM l), (VALUES (240.0::DOUBLE), (280.0), (320.0), (350.0), (400.0)) w(wl)),
+seg AS (SELECT sample, wl AS x0, a AS y0, lead(wl) OVER w AS x1, lead(a) OVER w AS y1 FROM a WINDOW w AS (PARTITION BY sample ORDER BY wl)),
+pts AS (SELECT DISTINCT ex AS x FROM l UNION SELECT DISTINCT em FROM l),
+ai AS (SELECT sample, x, y0 + (y1 - y0) * (x - x0) / (x1 - x0) AS a FROM pts JOIN seg ON x1 IS NOT NULL AND ((x >= x0 AND x < x1) OR (x < x0 AND x0 = 240) OR (x >= x1 AND x1 = 400)))"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def near(axis: str, table: str, target: float) -> str:
+    """SQL for the grid point nearest to target."""
+    return f"(SELECT min_by({axis}, (abs({axis} - {target}), {axis})) FROM {table})"
+
+
+def shown(stack: Stack, digits: int) -> DataFrame:
+    """Long form; NaN is null."""
+    return stack.pixels().select("sample", "ex", "em", tidy(F.col("intensity"), digits).alias("intensity"))
+
+
+def tidy(c: Column, digits: int) -> Column:
+    return F.when(~F.isnan(c), F.round(c, digits) + F.lit(0.0))
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+@query(f"{E_SQL} SELECT sample, ex, em, round(v, 6) + 0.0 AS intensity FROM e")
+def eem_unfold(spark, sf):
+    return shown(V.embeddings(spark, sf), 6)
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, round(v, 2) + 0.0 AS intensity FROM l")
+def eem_lineitem_stack(spark, sf):
+    return shown(V.lineitems(spark, sf), 2)
+
+
+@query(f"{E_SQL} SELECT ex, em, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS std FROM e GROUP BY 1, 2")
+def pixel_mean_std(spark, sf):
+    return rounded(T.pixel_statistics(V.embeddings(spark, sf)).drop("variance"), 6, "mean", "std")
+
+
+@query(f"{E_SQL} SELECT ex, em, round(var_pop(v), 7) + 0.0 AS variance FROM e GROUP BY 1, 2")
+def pixel_variance(spark, sf):
+    return rounded(T.pixel_statistics(V.embeddings(spark, sf)).select("ex", "em", "variance"), 7, "variance")
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, round((v - avg(v) OVER p) / nullif(stddev_pop(v) OVER p, 0), 6) + 0.0 AS zscore FROM l WINDOW p AS (PARTITION BY ex, em)")
+def zscore(spark, sf):
+    return rounded(P.zscore(V.lineitems(spark, sf)), 6, "zscore")
+
+
+@query(f"{L_SQL} SELECT sample, round(sum(v), 2) + 0.0 AS total FROM l GROUP BY 1")
+def total_fluorescence(spark, sf):
+    return rounded(I.total_fluorescence(V.lineitems(spark, sf)), 2, "total")
+
+
+@query(f"{L_SQL}, t AS (SELECT sample, sum(v) AS total FROM l GROUP BY 1), w AS (SELECT sample, total / (SELECT avg(total) FROM t) AS weight FROM t) SELECT sample, ex, em, round(v / weight, 2) + 0.0 AS intensity FROM l JOIN w USING (sample)")
+def tf_normalization(spark, sf):
+    return shown(P.tf_normalization(V.lineitems(spark, sf))[0], 2)
+
+
+@query(f"{L_SQL}, t AS (SELECT sample, sum(v) AS total FROM l GROUP BY 1) SELECT sample, round(total / (SELECT avg(total) FROM t), 6) + 0.0 AS weight FROM t")
+def tf_weights(spark, sf):
+    return rounded(P.tf_weights(V.lineitems(spark, sf)).select("sample", "weight"), 6, "weight")
+
+
+@query(f"{E_SQL} SELECT sample, ex, em, CASE WHEN v > 0.1 THEN 0.0 ELSE round(v, 6) + 0.0 END AS intensity FROM e")
+def threshold_masking_greater(spark, sf):
+    return shown(P.threshold_masking(V.embeddings(spark, sf), 0.1, 0.0, "greater"), 6)
+
+
+@query(f"{E_SQL} SELECT sample, ex, em, CASE WHEN v < 0 THEN NULL ELSE round(v, 6) + 0.0 END AS intensity FROM e")
+def threshold_masking_smaller(spark, sf):
+    return shown(P.threshold_masking(V.embeddings(spark, sf), 0, float("nan"), "smaller"), 6)
+
+
+def _inside(t: str) -> str:
+    return f"ex BETWEEN {near('ex', t, 262)} AND {near('ex', t, 281)} AND em BETWEEN {near('em', t, 318)} AND {near('em', t, 344)}"
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, CASE WHEN {_inside('l')} THEN 0.0 ELSE round(v, 2) + 0.0 END AS intensity FROM l")
+def region_masking_zero(spark, sf):
+    return shown(P.region_masking(V.lineitems(spark, sf), 262, 281, 318, 344, "zero"), 2)
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, CASE WHEN {_inside('l')} THEN NULL ELSE round(v, 2) + 0.0 END AS intensity FROM l")
+def region_masking_nan(spark, sf):
+    return shown(P.region_masking(V.lineitems(spark, sf), 262, 281, 318, 344, "nan"), 2)
+
+
+@query(f"{E_SQL} SELECT sample, ex, em, round(v, 6) + 0.0 AS intensity FROM e WHERE {_inside('e')}")
+def cutting(spark, sf):
+    return shown(P.cutting(V.embeddings(spark, sf), 262, 281, 318, 344), 6)
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, round(v, 2) + 0.0 AS intensity FROM l WHERE ex = {near('ex', 'l', 275)} AND em = {near('em', 'l', 322)}")
+def peak_picking(spark, sf):
+    return rounded(I.peak_picking(V.lineitems(spark, sf), 275, 322), 2, "intensity")
+
+
+@query(f"{E_SQL}, p AS (SELECT min_by(ex, (abs(ex - 262), ex)) AS pex, min_by(em, (abs(em - 347), em)) AS pem FROM e) SELECT sample, ex, em, round(v, 6) + 0.0 AS intensity FROM e, p WHERE ex = pex AND em = pem")
+def peak_picking_embeddings(spark, sf):
+    return rounded(I.peak_picking(V.embeddings(spark, sf), 262, 347), 6, "intensity")
+
+
+def _ratio_sql(name: str, ex: float, high: float, low: float) -> str:
+    return f"""{L_SQL} SELECT sample, round(max(v) FILTER (em = {near('em', 'l', high)}) / nullif(max(v) FILTER (em = {near('em', 'l', low)}), 0), 6) + 0.0 AS {name}
+      FROM l WHERE ex = {near('ex', 'l', ex)} GROUP BY 1"""
+
+
+@query(_ratio_sql("bix", 310, 330, 350))
+def bix(spark, sf):
+    return rounded(I.bix(V.lineitems(spark, sf), 310, 330, 350), 6, "bix")
+
+
+@query(_ratio_sql("fi", 330, 340, 370))
+def fi(spark, sf):
+    return rounded(I.fi(V.lineitems(spark, sf), 330, 340, 370), 6, "fi")
+
+
+def _at_sql(t: str, ex: float, points: list[float]) -> str:
+    """Emission spectra at one excitation (interpolated) at given emissions (interpolated)."""
+    values = ", ".join(f"({p}::DOUBLE)" for p in points)
+    return f""", sx AS (SELECT sample, em, ex AS x0, v AS y0, lead(ex) OVER w AS x1, lead(v) OVER w AS y1 FROM {t} WINDOW w AS (PARTITION BY sample, em ORDER BY ex)),
+sp AS (SELECT sample, em, CASE WHEN x0 = {ex} THEN y0 ELSE y0 + (y1 - y0) * ({ex} - x0) / (x1 - x0) END AS v FROM sx WHERE x0 <= {ex} AND (x1 > {ex} OR (x1 IS NULL AND x0 = {ex}))),
+se AS (SELECT sample, em AS x0, v AS y0, lead(em) OVER w AS x1, lead(v) OVER w AS y1 FROM sp WINDOW w AS (PARTITION BY sample ORDER BY em)),
+line AS (SELECT sample, p, CASE WHEN x0 = p THEN y0 ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END AS v FROM se, (VALUES {values}) q(p) WHERE x0 <= p AND (x1 > p OR (x1 IS NULL AND x0 = p)))"""
+
+
+@query(
+    f"""{L_SQL}{_at_sql('l', 254, [301, 305, 310, 320, 325, 330, 340, 345, 350, 360, 365, 370])},
+seg AS (SELECT sample, p, v, lead(p) OVER w AS p1, lead(v) OVER w AS v1 FROM line WINDOW w AS (PARTITION BY sample ORDER BY p)),
+b AS (SELECT sample, sum((p1 - p) * (v + v1) / 2) FILTER (p >= 345 AND p1 <= 370) AS h, sum((p1 - p) * (v + v1) / 2) FILTER (p >= 305 AND p1 <= 325) AS lo FROM seg GROUP BY 1)
+SELECT sample, round(h / nullif(h + lo, 0), 6) + 0.0 AS hix FROM b"""
+)
+def hix(spark, sf):
+    return rounded(I.hix(V.lineitems(spark, sf), 254, (345, 370), (305, 325)), 6, "hix")
+
+
+@query(
+    f"""{E_SQL}{_at_sql('e', 265, [305, 310, 320, 330, 340, 350, 355])},
+seg AS (SELECT sample, p, v, lead(p) OVER w AS p1, lead(v) OVER w AS v1 FROM line WINDOW w AS (PARTITION BY sample ORDER BY p))
+SELECT sample, round(sum((p1 - p) * (v + v1) / 2), 6) + 0.0 AS integral FROM seg WHERE p1 IS NOT NULL GROUP BY 1"""
+)
+def regional_integration_row(spark, sf):
+    return rounded(I.regional_integration(V.embeddings(spark, sf), 265, 265, 305, 355).select("sample", "integral"), 6, "integral")
+
+
+@query(
+    f"""{E_SQL}, x AS (SELECT sample, em, ex, v, lead(ex) OVER w AS ex1, lead(v) OVER w AS v1 FROM e WHERE ex BETWEEN 250 AND 290 AND em BETWEEN 310 AND 360 WINDOW w AS (PARTITION BY sample, em ORDER BY ex)),
+r AS (SELECT sample, em, sum((ex1 - ex) * (v + v1) / 2) AS v FROM x WHERE ex1 IS NOT NULL GROUP BY 1, 2),
+y AS (SELECT sample, em, v, lead(em) OVER w AS em1, lead(v) OVER w AS v1 FROM r WINDOW w AS (PARTITION BY sample ORDER BY em))
+SELECT sample, round(abs(sum((em1 - em) * (v + v1) / 2)), 5) + 0.0 AS integral, round(abs(sum((em1 - em) * (v + v1) / 2)) / (40.0 * 50.0), 7) + 0.0 AS average FROM y WHERE em1 IS NOT NULL GROUP BY 1"""
+)
+def regional_integration_2d(spark, sf):
+    d = I.regional_integration(V.embeddings(spark, sf), 250, 290, 310, 360)
+    return rounded(rounded(d, 5, "integral"), 7, "average")
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, CASE WHEN em <= ex OR abs(em - ex) <= 10 OR abs(em - 2 * ex) <= 10 THEN 0.0 ELSE round(v, 2) + 0.0 END AS intensity FROM l")
+def rayleigh_zero(spark, sf):
+    return shown(P.rayleigh_scattering_removal(V.lineitems(spark, sf), 20, 20, interpolation_method_o1="zero", interpolation_method_o2="zero"), 2)
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, CASE WHEN abs(em - 2 * ex) <= 10 OR abs(em - ex) <= 10 THEN NULL WHEN em <= ex THEN 0.0 ELSE round(v, 2) + 0.0 END AS intensity FROM l")
+def rayleigh_nan(spark, sf):
+    return shown(P.rayleigh_scattering_removal(V.lineitems(spark, sf), 20, 20, interpolation_method_o1="nan", interpolation_method_o2="nan"), 2)
+
+
+def _fill_sql(before: str, band: str, along: str, across: str) -> str:
+    """Linear fill of a band along one axis from the pixels around it, extrapolating at the ends; m: (sample, ex, em, v)."""
+    return f"""{L_SQL}, m AS (SELECT sample, ex, em, {before} AS v, {band} AS b FROM l),
+k AS (SELECT sample, {across} AS c, {along} AS x0, v AS y0, lead({along}) OVER w AS x1, lead(v) OVER w AS y1, row_number() OVER w AS n, count(*) OVER (PARTITION BY sample, {across}) AS total FROM m WHERE NOT b WINDOW w AS (PARTITION BY sample, {across} ORDER BY {along})),
+s AS (SELECT sample, c, x0, y0, x1, y1, CASE WHEN n = 1 THEN -1e9 ELSE x0 END AS lo, CASE WHEN n = total - 1 THEN 1e9 ELSE x1 END AS hi FROM k WHERE x1 IS NOT NULL)
+SELECT m.sample, m.ex, m.em, round(CASE WHEN b AND s.x0 IS NOT NULL THEN y0 + (y1 - y0) * (m.{along} - x0) / (x1 - x0) ELSE v END, 5) + 0.0 AS intensity
+FROM m LEFT JOIN s ON m.b AND s.sample = m.sample AND s.c = m.{across} AND m.{along} > s.lo AND m.{along} < s.hi"""
+
+
+@query(_fill_sql("CASE WHEN em <= ex THEN 0 ELSE v END", "abs(em - ex) <= 10", "em", "ex"))
+def rayleigh_linear_1d_em(spark, sf):
+    return shown(P.rayleigh_scattering_removal(V.lineitems(spark, sf), 20, 20, interpolation_dimension_o1="1d-em", interpolation_method_o1="linear", interpolation_method_o2="none"), 5)
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, CASE WHEN abs(em - ex / (1 - 0.00036 * ex)) <= 10 THEN 0.0 ELSE round(v, 2) + 0.0 END AS intensity FROM l")
+def raman_zero(spark, sf):
+    return shown(P.raman_scattering_removal(V.lineitems(spark, sf), 20, "zero"), 2)
+
+
+@query(_fill_sql("v", "abs(em - ex / (1 - 0.00036 * ex)) <= 10", "ex", "em"))
+def raman_linear_1d_ex(spark, sf):
+    return shown(P.raman_scattering_removal(V.lineitems(spark, sf), 20, "linear", "1d-ex"), 5)
+
+
+@query(f"{L_SQL}{ABS_SQL} SELECT l.sample, ex, em, round(v * pow(10, (x.a + y.a) / 2), 2) + 0.0 AS intensity FROM l JOIN ai x ON x.sample = l.sample AND x.x = ex JOIN ai y ON y.sample = l.sample AND y.x = em")
+def ife_correction(spark, sf):
+    stack = V.lineitems(spark, sf)
+    return shown(P.ife_correction(stack, V.absorbances(stack), V.ABSORBANCE_AXIS), 2)
+
+
+@query(f"{L_SQL}{ABS_SQL}, t AS (SELECT sample, ex, sum(v) AS v FROM l GROUP BY 1, 2) SELECT t.sample, ex, round(v / a, 2) + 0.0 AS aqy FROM t JOIN ai ON ai.sample = t.sample AND x = ex")
+def aqy(spark, sf):
+    stack = V.lineitems(spark, sf)
+    return rounded(I.aqy(stack, V.absorbances(stack), V.ABSORBANCE_AXIS), 2, "aqy")
+
+
+@query(f"{L_SQL} SELECT sample, ex, em, round(v / 1234.5::DOUBLE, 4) + 0.0 AS intensity FROM l")
+def raman_normalization_manual(spark, sf):
+    return shown(P.raman_normalization(V.lineitems(spark, sf), manual_rsu=1234.5), 4)
+
+
+@query(
+    f"""{L_SQL}{_at_sql('l', 300, ['(300 / (1 - 0.00036 * 300) - 15)', 330, 340, 350, '(300 / (1 - 0.00036 * 300) + 15)'])},
+seg AS (SELECT sample, p, v, lead(p) OVER w AS p1, lead(v) OVER w AS v1 FROM line WINDOW w AS (PARTITION BY sample ORDER BY p)),
+u AS (SELECT sample, sum((p1 - p) * (v + v1) / 2) / (2.0 * 1000.0) AS rsu FROM seg WHERE p1 IS NOT NULL AND p >= 300 / (1 - 0.00036 * 300) - 15 AND p1 <= 300 / (1 - 0.00036 * 300) + 15 GROUP BY 1)
+SELECT l.sample, ex, em, round(v / nullif(rsu, 0), 4) + 0.0 AS intensity FROM l JOIN u USING (sample)"""
+)
+def raman_normalization_blank(spark, sf):
+    stack = V.lineitems(spark, sf)
+    return shown(P.raman_normalization(stack, stack, True, 2, 300, 30, 1000), 4)
+
+
+_GAUSS = ", ".join(f"({k}, exp(-({k} * {k}) / 2.0::DOUBLE))" for k in range(-3, 4))
+
+
+@query(
+    f"""{L_SQL}, d AS (SELECT sample, dense_rank() OVER (ORDER BY ex) - 1 AS i, dense_rank() OVER (ORDER BY em) - 1 AS j, ex, em, v FROM l),
+n AS (SELECT max(i) + 1 AS n, max(j) + 1 AS m FROM d), g AS (SELECT k, w / sum(w) OVER () AS w FROM (VALUES {_GAUSS}) t(k, w)),
+fi AS (SELECT i, CASE WHEN f < n THEN f ELSE 2 * n - 1 - f END AS s, w FROM (SELECT i, (i + k + 4 * n) % (2 * n) AS f, n, w FROM range(0, 100) r(i), n, g WHERE i < n)),
+fj AS (SELECT j, CASE WHEN f < m THEN f ELSE 2 * m - 1 - f END AS s, w FROM (SELECT j, (j + k + 4 * m) % (2 * m) AS f, m, w FROM range(0, 100) r(j), n, g WHERE j < m)),
+a AS (SELECT sample, fi.i, d.j, sum(fi.w * v) AS v FROM d JOIN fi ON fi.s = d.i GROUP BY 1, 2, 3),
+b AS (SELECT sample, a.i, fj.j, sum(fj.w * v) AS v FROM a JOIN fj ON fj.s = a.j GROUP BY 1, 2, 3)
+SELECT b.sample, d.ex, d.em, round(b.v, 2) + 0.0 AS intensity FROM b JOIN d USING (sample, i, j)"""
+)
+def gaussian_filter(spark, sf):
+    return shown(P.gaussian_filter(V.lineitems(spark, sf), 1, 3), 2)
+
+
+@query(
+    f"""{L_SQL}, d AS (SELECT sample, dense_rank() OVER (ORDER BY ex) - 1 AS i, dense_rank() OVER (ORDER BY em) - 1 AS j, ex, em, v FROM l),
+n AS (SELECT max(i) AS n, max(j) AS m FROM d), o AS (SELECT a - 1 AS a, b - 1 AS b FROM range(0, 3) x(a), range(0, 3) y(b)),
+f AS (SELECT d.sample, d.ex, d.em, greatest(0, least(n, i + a)) AS i, greatest(0, least(m, j + b)) AS j FROM d, n, o)
+SELECT f.sample, f.ex, f.em, round(median(d.v), 2) + 0.0 AS intensity FROM f JOIN d USING (sample, i, j) GROUP BY 1, 2, 3"""
+)
+def median_filter(spark, sf):
+    return shown(P.median_filter(V.lineitems(spark, sf), (3, 3), "reflect"), 2)
+
+
+@query(
+    f"""{L_SQL}, x AS (SELECT * FROM (VALUES (245.0::DOUBLE), (252.5), (268.0), (300.0)) t(x)), y AS (SELECT * FROM (VALUES (304.0::DOUBLE), (317.5), (345.0)) t(y)),
+sx AS (SELECT sample, em, ex AS x0, v AS y0, lead(ex) OVER w AS x1, lead(v) OVER w AS y1 FROM l WINDOW w AS (PARTITION BY sample, em ORDER BY ex)),
+a AS (SELECT sample, x, em, y0 + (y1 - y0) * (x - x0) / (x1 - x0) AS v FROM sx JOIN x ON x >= x0 AND x < x1),
+sy AS (SELECT sample, x, em AS x0, v AS y0, lead(em) OVER w AS x1, lead(v) OVER w AS y1 FROM a WINDOW w AS (PARTITION BY sample, x ORDER BY em))
+SELECT sample, x AS ex, y AS em, round(y0 + (y1 - y0) * (y - x0) / (x1 - x0), 5) + 0.0 AS intensity FROM sy JOIN y ON y >= x0 AND y < x1"""
+)
+def interpolate_bilinear(spark, sf):
+    return shown(P.interpolation(V.lineitems(spark, sf), (245, 252.5, 268, 300), (304, 317.5, 345), "linear"), 5)
+
+
+@query(f"{E_SQL} SELECT sample, cluster, round(sum(v), 5) + 0.0 AS total FROM e WHERE cluster IN ('1', '4') GROUP BY 1, 2")
+def filter_by_cluster(spark, sf):
+    stack = S.filter_by_cluster(V.embeddings(spark, sf), ["1", "4"])
+    return rounded(I.total_fluorescence(stack).join(stack.frame.select("sample", "cluster"), "sample").select("sample", "cluster", "total"), 5, "total")
+
+
+@query(f"{E_SQL} SELECT DISTINCT sample FROM e WHERE contains(CAST(sample AS VARCHAR), '1') AND (contains(CAST(sample AS VARCHAR), '3') OR contains(CAST(sample AS VARCHAR), '7'))")
+def filter_by_index(spark, sf):
+    return S.filter_by_index(V.embeddings(spark, sf), "1", ["3", "7"]).frame.select("sample")
+
+
+@query("SELECT vec_id AS sample, CAST(row_number() OVER (ORDER BY CAST(vec_id AS VARCHAR), vec_id) - 1 AS BIGINT) AS position FROM embeddings")
+def sort_by_index(spark, sf):
+    return S.sort_by_index(V.embeddings(spark, sf)).select("sample", F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT vec_id AS sample, CAST(ntile(4) OVER (ORDER BY vec_id) AS BIGINT) AS split FROM embeddings")
+def split_sequential(spark, sf):
+    return S.split_numbers(V.embeddings(spark, sf), 4, "sequential").select("sample", F.col("split").cast("long").alias("split"))
+
+
+@query("SELECT vec_id AS sample, CAST(ntile(4) OVER (ORDER BY md5('7:' || CAST(vec_id AS VARCHAR)), vec_id) AS BIGINT) AS split FROM embeddings")
+def split_random(spark, sf):
+    return S.split_numbers(V.embeddings(spark, sf), 4, "random", 7).select("sample", F.col("split").cast("long").alias("split"))
+
+
+def _sided(stack: Stack) -> Stack:
+    half = F.when(F.col("sample") % 2 == 0, "top").otherwise("bot")
+    return stack.with_frame(stack.frame.withColumn("index", F.concat_ws("_", F.col("sample"), half)))
+
+
+@query(
+    """WITH p AS (SELECT vec_id AS sample, vec_id % 2 AS side, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) AS pair FROM embeddings),
+t AS (SELECT pair, ntile(3) OVER (ORDER BY md5('5:' || CAST(sample AS VARCHAR)), sample) AS split FROM p WHERE side = 0)
+SELECT sample, CAST(split AS BIGINT) AS split FROM p JOIN t USING (pair)"""
+)
+def split_paired(spark, sf):
+    return S.split_numbers(_sided(V.embeddings(spark, sf)), 3, "random", 5, "top", "bot").select("sample", F.col("split").cast("long").alias("split"))
+
+
+@query("SELECT sample FROM (SELECT vec_id AS sample, row_number() OVER (ORDER BY md5('3:' || CAST(vec_id AS VARCHAR)), vec_id) AS n, count(*) OVER () AS total FROM embeddings) WHERE n <= CAST(floor(total * 0.8) AS BIGINT)")
+def subsample_hash(spark, sf):
+    return S.subsample_ids(V.embeddings(spark, sf), 0.8, 3)
+
+
+@query(
+    f"""{E_SQL}, s AS (SELECT sample, cluster, sum(v) AS total FROM e GROUP BY 1, 2), u AS (SELECT 0 AS part, * FROM s WHERE cluster = '1' UNION ALL SELECT 1, * FROM s WHERE cluster = '2')
+SELECT CAST(row_number() OVER (ORDER BY part, sample) - 1 AS BIGINT) AS sample, CAST(sample AS VARCHAR) AS label, cluster, round(total, 5) + 0.0 AS total FROM u"""
+)
+def combine_datasets(spark, sf):
+    stack = V.embeddings(spark, sf)
+    both = S.combine([S.filter_by_cluster(stack, "1"), S.filter_by_cluster(stack, "2")])
+    named = I.total_fluorescence(both).join(both.frame.select("sample", F.col("index").alias("label"), "cluster"), "sample")
+    return rounded(named.select("sample", "label", "cluster", "total"), 5, "total")
+
+
+_CORR = f"{E_SQL}, j AS (SELECT e.*, CAST(p_retailprice AS DOUBLE) AS x FROM e JOIN part ON p_partkey = sample)"
+
+
+@query(f"{_CORR} SELECT ex, em, round(regr_slope(v, x), 9) + 0.0 AS slope, round(regr_intercept(v, x), 6) + 0.0 AS intercept, round(regr_r2(v, x), 6) + 0.0 AS r_square, round(corr(v, x), 6) + 0.0 AS pearson FROM j GROUP BY 1, 2")
+def correlation_linear(spark, sf):
+    d = T.correlation(V.embeddings(spark, sf), ["price"]).select("ex", "em", "slope", "intercept", "r_square", "pearson")
+    return rounded(rounded(d, 9, "slope"), 6, "intercept", "r_square", "pearson")
+
+
+@query(
+    f"""{L_SQL}, j AS (SELECT ex, em, v, CAST(s_acctbal AS DOUBLE) AS x FROM l JOIN supplier ON s_suppkey = sample),
+r AS (SELECT ex, em, rank() OVER (PARTITION BY ex, em ORDER BY v) + (count(*) OVER (PARTITION BY ex, em, v) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY ex, em ORDER BY x) + (count(*) OVER (PARTITION BY ex, em, x) - 1) / 2.0 AS rx FROM j)
+SELECT ex, em, round(corr(ry, rx), 6) + 0.0 AS spearman FROM r GROUP BY 1, 2"""
+)
+def correlation_spearman(spark, sf):
+    return rounded(T.correlation(V.lineitems(spark, sf), ["balance"]).select("ex", "em", "spearman"), 6, "spearman")
+
+
+@query()
+def correlation_p_values(spark, sf):
+    return rounded(T.correlation(V.lineitems(spark, sf), ["balance"]).select("ex", "em", "n", "pearson_p", "spearman_p"), 6, "pearson_p", "spearman_p")
+
+
+@query(f"{_CORR}, f AS (SELECT ex, em, regr_slope(v, x) AS a, regr_intercept(v, x) AS b FROM j GROUP BY 1, 2) SELECT sample, j.ex, j.em, round(a * x + b - v, 6) + 0.0 AS residual FROM j JOIN f USING (ex, em)")
+def correlation_residual(spark, sf):
+    return rounded(T.residuals(V.embeddings(spark, sf), "price"), 6, "residual")
+
+
+def _indicators(stack: Stack) -> tuple[DataFrame, DataFrame]:
+    values = I.total_fluorescence(stack).select("sample", F.lit("total").alias("indicator"), F.col("total").alias("value"))
+    return values, stack.ref.select("sample", F.lit("balance").alias("variable"), F.col("balance").alias("value"))
+
+
+_CALIB = f"{L_SQL}, t AS (SELECT sample, sum(v) AS y, any_value(CAST(s_acctbal AS DOUBLE)) AS x FROM l JOIN supplier ON s_suppkey = sample GROUP BY 1), f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b, regr_r2(y, x) AS r2, count(*) AS n FROM t)"
+
+
+@query(f"{_CALIB} SELECT n, round(a, 4) + 0.0 AS slope, round(b, 2) + 0.0 AS intercept, round(r2, 6) + 0.0 AS r_square FROM f")
+def calibration(spark, sf):
+    d = T.calibrate(*_indicators(V.lineitems(spark, sf))).select("n", "slope", "intercept", "r_square")
+    return rounded(rounded(rounded(d, 4, "slope"), 2, "intercept"), 6, "r_square")
+
+
+@query(f"{_CALIB} SELECT sample, round((y - b) / a, 2) + 0.0 AS predicted FROM t, f")
+def calibration_predict(spark, sf):
+    values, ref = _indicators(V.lineitems(spark, sf))
+    return rounded(T.predict_reference(values, T.calibrate(values, ref)).select("sample", "predicted"), 2, "predicted")
+
+
+@query(f"{_CALIB} SELECT round(sqrt(avg(pow(x - (y - b) / a, 2))), 2) + 0.0 AS rmse FROM t, f")
+def calibration_rmse(spark, sf):
+    values, ref = _indicators(V.lineitems(spark, sf))
+    return rounded(T.prediction_rmse(T.predict_reference(values, T.calibrate(values, ref)), ref).select("rmse"), 2, "rmse")
+
+
+def _cluster_means(stack: Stack) -> DataFrame:
+    return stack.frame.select("cluster", F.posexplode("intensity").alias("pos", "v")).groupBy(F.col("cluster").alias("component"), "pos").agg(F.avg("v").alias("value"))
+
+
+@query(f"{E_SQL}, m AS (SELECT cluster, pos, avg(v) AS v FROM e GROUP BY 1, 2) SELECT a.cluster AS a, b.cluster AS b, round(corr(a.v, b.v), 6) + 0.0 AS similarity FROM m a JOIN m b ON a.pos = b.pos GROUP BY 1, 2")
+def component_similarity(spark, sf):
+    m = _cluster_means(V.embeddings(spark, sf))
+    return rounded(A.similarity(m, m, "pos"), 6, "similarity")
+
+
+@query(f"{E_SQL}, m AS (SELECT cluster, pos, avg(v) AS v FROM e GROUP BY 1, 2) SELECT a.cluster AS a, b.cluster AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 6) + 0.0 AS similarity FROM m a JOIN m b ON a.pos = b.pos GROUP BY 1, 2")
+def tucker_congruence(spark, sf):
+    m = _cluster_means(V.embeddings(spark, sf))
+    return rounded(A.similarity(m, m, "pos", "tucker"), 6, "similarity")
+
+
+#: Fixed factors of the algebra queries, two components on the axes of E and L: (1 + i) / (1 + i + k) and cos-free polynomials
+def _factors(n: int) -> list[list[float]]:
+    return [[(1.0 + i) / (1.0 + i + k) for k in range(2)] for i in range(n)]
+
+
+_FB = "(SELECT i, k, (1.0::DOUBLE + i) / (1.0::DOUBLE + i + k) AS b FROM range(0, 40) r(i), range(0, 2) s(k))"
+
+
+@query(f"{E_SQL} SELECT sample, x.k AS component, round(sum(v * x.b * y.b), 6) + 0.0 AS value FROM e JOIN {_FB} x ON x.i = pos // 8 JOIN {_FB} y ON y.i = pos % 8 AND y.k = x.k GROUP BY 1, 2")
+def mttkrp_mode0(spark, sf):
+    stack = V.embeddings(spark, sf)
+    return rounded(A.mttkrp(stack, 0, b=_factors(8), c=_factors(8)).select("sample", F.col("component").cast("long").alias("component"), "value"), 6, "value")
+
+
+def _score_sql(mode: str, other: str, name: str) -> str:
+    return f"{E_SQL} SELECT {mode} AS {name}, x.k AS component, round(sum(v * ((sample % 5) + 1 + x.k) * x.b), 4) + 0.0 AS value FROM e JOIN {_FB} x ON x.i = {other} GROUP BY 1, 2"
+
+
+def _scores(stack: Stack) -> DataFrame:
+    return stack.frame.select("sample", F.array(*[((F.col("sample") % 5) + 1 + k).cast("double") for k in range(2)]).alias("scores"))
+
+
+@query(_score_sql("ex", "pos % 8", "ex"))
+def mttkrp_mode1(spark, sf):
+    stack = V.embeddings(spark, sf)
+    return rounded(A.mttkrp(stack, 1, scores=_scores(stack), c=_factors(8)).select("ex", F.col("component").cast("long").alias("component"), "value"), 4, "value")
+
+
+@query(_score_sql("em", "pos // 8", "em"))
+def mttkrp_mode2(spark, sf):
+    stack = V.embeddings(spark, sf)
+    return rounded(A.mttkrp(stack, 2, scores=_scores(stack), b=_factors(8)).select("em", F.col("component").cast("long").alias("component"), "value"), 4, "value")
+
+
+@query(f"SELECT CAST(x.i AS BIGINT) AS i, CAST(y.i AS BIGINT) AS j, CAST(x.k AS BIGINT) AS component, round(x.b * y.b, 9) + 0.0 AS value FROM {_FB} x JOIN {_FB} y ON x.k = y.k WHERE x.i < 8 AND y.i < 6")
+def khatri_rao(spark, sf):
+    d = A.khatri_rao(spark, _factors(8), _factors(6))
+    return rounded(d.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("component").cast("long"), "value"), 9, "value")
+
+
+_MEAN = ", m AS (SELECT ex, em, avg(v) AS h FROM l GROUP BY 1, 2)"
+
+
+@query(f"{L_SQL}{_MEAN} SELECT sample, round(greatest(0, sum(v * h) / sum(h * h)), 6) + 0.0 AS score, round(greatest(0, sum(v * h) / sum(h * h)) * max(h), 2) + 0.0 AS fmax FROM l JOIN m USING (ex, em) GROUP BY 1")
+def nnls_rank1(spark, sf):
+    stack = V.lineitems(spark, sf)
+    d = A.fit_components(stack, A.mean_components(stack)).select("sample", F.get("scores", F.lit(0)).alias("score"), F.get("fmax", F.lit(0)).alias("fmax"))
+    return rounded(rounded(d, 6, "score"), 2, "fmax")
+
+
+_TWO = ", m AS (SELECT ex, em, avg(v) FILTER (sample % 2 = 0) AS h0, avg(v) FILTER (sample % 2 = 1) AS h1 FROM l GROUP BY 1, 2), q AS (SELECT sample, sum(v * h0) AS b0, sum(v * h1) AS b1, sum(h0 * h0) AS g00, sum(h0 * h1) AS g01, sum(h1 * h1) AS g11 FROM l JOIN m USING (ex, em) GROUP BY 1), u AS (SELECT *, (g11 * b0 - g01 * b1) / (g00 * g11 - g01 * g01) AS u0, (g00 * b1 - g01 * b0) / (g00 * g11 - g01 * g01) AS u1, greatest(0, b0 / g00) AS s0, greatest(0, b1 / g11) AS s1 FROM q), w AS (SELECT sample, CASE WHEN u0 >= 0 AND u1 >= 0 THEN u0 WHEN s0 * b0 >= s1 * b1 THEN s0 ELSE 0 END AS w0, CASE WHEN u0 >= 0 AND u1 >= 0 THEN u1 WHEN s0 * b0 >= s1 * b1 THEN 0 ELSE s1 END AS w1 FROM u)"
+
+
+@query(f"{L_SQL}{_TWO} SELECT sample, round(w0, 5) + 0.0 AS score_0, round(w1, 5) + 0.0 AS score_1 FROM w")
+def nnls_rank2(spark, sf):
+    stack = V.lineitems(spark, sf)
+    d = A.fit_components(stack, A.mean_components(stack, F.col("sample") % 2))
+    return rounded(d.select("sample", F.get("scores", F.lit(0)).alias("score_0"), F.get("scores", F.lit(1)).alias("score_1")), 5, "score_0", "score_1")
+
+
+@query(f"{L_SQL}{_TWO} SELECT l.sample, round(sqrt(avg(pow(v - w0 * h0 - w1 * h1, 2))), 2) + 0.0 AS rmse, round(sqrt(avg(pow(v - w0 * h0 - w1 * h1, 2))) / avg(v), 5) + 0.0 AS relative_rmse FROM l JOIN m USING (ex, em) JOIN w ON w.sample = l.sample GROUP BY 1")
+def sample_rmse(spark, sf):
+    stack = V.lineitems(spark, sf)
+    parts = A.mean_components(stack, F.col("sample") % 2)
+    d = A.sample_errors(stack, A.fit_components(stack, parts), parts).select("sample", "rmse", "relative_rmse")
+    return rounded(rounded(d, 2, "rmse"), 5, "relative_rmse")
+
+
+@query(f"{L_SQL}{_TWO} SELECT round(100 * (sum(v * v) - sum(pow(v - w0 * h0 - w1 * h1, 2))) / sum(v * v), 5) + 0.0 AS explained, round(100 * (1 - var_pop(v - w0 * h0 - w1 * h1) / var_pop(v)), 5) + 0.0 AS explained_centred FROM l JOIN m USING (ex, em) JOIN w ON w.sample = l.sample")
+def variance_explained(spark, sf):
+    stack = V.lineitems(spark, sf)
+    parts = A.mean_components(stack, F.col("sample") % 2)
+    return rounded(A.variance_explained(stack, A.fit_components(stack, parts), parts), 5, "explained", "explained_centred")
+
+
+@query(f"{L_SQL}{_TWO}, s AS (SELECT sum(w0 * w0) AS a, sum(w0 * w1) AS b, sum(w1 * w1) AS c FROM w) SELECT sample, round((c * w0 * w0 - 2 * b * w0 * w1 + a * w1 * w1) / (a * c - b * b), 7) + 0.0 AS leverage FROM w, s")
+def leverage(spark, sf):
+    stack = V.lineitems(spark, sf)
+    scores = A.fit_components(stack, A.mean_components(stack, F.col("sample") % 2))
+    return rounded(A.leverage(scores), 7, "leverage")
+
+
+@query(
+    f"""{L_SQL}{_TWO}, p AS (SELECT sample, sample % 2 AS side, row_number() OVER (PARTITION BY sample % 2 ORDER BY sample) AS pair, w0, w1 FROM w)
+SELECT k AS component, round(greatest(0.95, least(2, sum(t * b) / nullif(sum(b * b), 0))), 6) + 0.0 AS beta
+FROM (SELECT 0 AS k, t.w0 AS t, b.w0 AS b FROM p t JOIN p b ON t.pair = b.pair AND t.side = 0 AND b.side = 1 UNION ALL SELECT 1, t.w1, b.w1 FROM p t JOIN p b ON t.pair = b.pair AND t.side = 0 AND b.side = 1) GROUP BY 1"""
+)
+def beta_ratio(spark, sf):
+    stack = _sided(V.lineitems(spark, sf))
+    scores = A.fit_components(stack, A.mean_components(stack, F.col("sample") % 2))
+    return rounded(A.beta_ratio(scores, S.paired(stack.frame, "top", "bot"), 2).select(F.col("component").cast("long").alias("component"), "beta"), 6, "beta")
+
+
+@query(f"{L_SQL}{_TWO}, p AS (SELECT sample, row_number() OVER (PARTITION BY sample % 2 ORDER BY sample) AS pair, sample % 2 AS side, w0, w1 FROM w) SELECT t.pair, round(t.w0 / nullif(b.w0, 0), 5) + 0.0 AS ratio_0, round(t.w1 / nullif(b.w1, 0), 5) + 0.0 AS ratio_1 FROM p t JOIN p b ON t.pair = b.pair AND t.side = 0 AND b.side = 1")
+def quenching_coefficient(spark, sf):
+    stack = _sided(V.lineitems(spark, sf))
+    scores = A.fit_components(stack, A.mean_components(stack, F.col("sample") % 2))
+    d = A.quenching(scores, S.paired(stack.frame, "top", "bot"), 2)
+    return rounded(d.select(F.col("pair").cast("long").alias("pair"), F.get("ratio", F.lit(0)).alias("ratio_0"), F.get("ratio", F.lit(1)).alias("ratio_1")), 5, "ratio_0", "ratio_1")
+
+
+@query("SELECT CAST(label AS VARCHAR) AS label, count(*) AS members, count(*) * (count(*) - 1) // 2 AS pairs FROM embeddings GROUP BY 1")
+def co_membership_sizes(spark, sf):
+    return V.embeddings(spark, sf).frame.groupBy(F.col("cluster").alias("label")).agg(F.count(F.lit(1)).alias("members")).withColumn("pairs", F.expr("members * (members - 1) div 2"))
+
+
+_RUNS = "r AS (SELECT l_suppkey AS sample, run, CAST((l_suppkey * (run + 3)) % 4 AS BIGINT) AS label FROM (SELECT DISTINCT l_suppkey FROM lineitem), range(0, 3) t(run) WHERE (l_suppkey + run) % 5 <> 0)"
+
+
+@query(f"WITH {_RUNS} SELECT a.sample AS i, b.sample AS j, round(CAST(sum(CASE WHEN a.label = b.label THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) + 0.0 AS consensus FROM r a JOIN r b ON a.run = b.run AND a.sample < b.sample GROUP BY 1, 2")
+def consensus_matrix(spark, sf):
+    return rounded(A.consensus(_runs(spark, sf)).select("i", "j", "consensus"), 6, "consensus")
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    ids = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample")).distinct()
+    runs = ids.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return runs.where((F.col("sample") + F.col("run")) % 5 != 0).select("sample", "run", ((F.col("sample") * (F.col("run") + 3)) % 4).alias("label"))
+
+
+@query(
+    f"""WITH {_RUNS}, c AS (SELECT a.sample AS i, b.sample AS j, 1 - CAST(sum(CASE WHEN a.label = b.label THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS d FROM r a JOIN r b ON a.run = b.run AND a.sample < b.sample GROUP BY 1, 2),
+p AS (SELECT i, j, d FROM c UNION ALL SELECT j, i, d FROM c), k AS (SELECT p.i, p.j % 3 AS kj, p.i % 3 AS ki, avg(d) AS d FROM p GROUP BY 1, 2, 3),
+s AS (SELECT i, max(d) FILTER (ki = kj) AS a, min(d) FILTER (ki <> kj) AS b FROM k GROUP BY 1)
+SELECT i AS sample, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS silhouette FROM s"""
+)
+def silhouette_precomputed(spark, sf):
+    distance = A.consensus(_runs(spark, sf)).select("i", "j", (1 - F.col("consensus")).alias("distance"))
+    labels = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample")).distinct().withColumn("label", F.col("sample") % 3)
+    return rounded(A.silhouette(distance, labels), 6, "silhouette")
+
+
+@query(f"{L_SQL}, t AS (SELECT sample, sum(v) AS total FROM l GROUP BY 1) SELECT round(avg(total), 2) + 0.0 AS mean, round(stddev_pop(total), 2) + 0.0 AS std, round(stddev_pop(total) / avg(total), 6) + 0.0 AS cv, round(quantile_cont(total, 0.05), 2) + 0.0 AS low, round(quantile_cont(total, 0.95), 2) + 0.0 AS high FROM t")
+def series_summary(spark, sf):
+    return rounded(rounded(T.series_summary(I.total_fluorescence(V.lineitems(spark, sf)), "total"), 2, "mean", "std", "low", "high"), 6, "cv")
+
+
+@query("SELECT event_type, round(avg(value), 4) + 0.0 AS mean, strftime(min(ts), '%Y-%m-%d-%H-%M') AS first_label FROM events GROUP BY 1")
+def timestamp_labels(spark, sf):
+    from .sources.text import spark_format
+
+    d = V.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("t"))
+    return d.select("event_type", (F.col("mean") + F.lit(0.0)).alias("mean"), F.date_format("t", spark_format("%Y-%m-%d-%H-%M")).alias("first_label"))
+
