@@ -561,3 +561,105 @@ def timestamp_labels(spark, sf):
     d = V.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("t"))
     return d.select("event_type", (F.col("mean") + F.lit(0.0)).alias("mean"), F.date_format("t", spark_format("%Y-%m-%d-%H-%M")).alias("first_label"))
 
+
+
+def _model_scores(model) -> DataFrame:
+    return rounded(model.fmax.select("sample", F.posexplode("fmax").alias("component", "fmax")), 2, "fmax")
+
+
+@query()
+def parafac_hals(spark, sf):
+    from .plans.models import PARAFAC
+
+    return _model_scores(PARAFAC(2, max_iter_als=20).fit(V.lineitems(spark, sf)))
+
+
+@query()
+def nmf_hals(spark, sf):
+    from .plans.models import EEMNMF
+
+    return _model_scores(EEMNMF(2, solver="hals", max_iter_als=20).fit(V.lineitems(spark, sf)))
+
+
+@query()
+def nmf_mu(spark, sf):
+    from .plans.models import EEMNMF
+
+    return _model_scores(EEMNMF(2, solver="mu", beta_loss="kullback-leibler", max_iter_als=10).fit(V.lineitems(spark, sf)))
+
+
+@query()
+def hed(spark, sf):
+    from .plans.models import HED
+
+    stack = V.lineitems(spark, sf)
+    return _model_scores(HED(A.mean_components(stack, F.col("sample") % 2), {0: 2, 1: 1}, gamma_H=1e6, max_iter_als=5).fit(stack))
+
+
+@query()
+def kmethod(spark, sf):
+    from .plans.cluster import KMethod
+    from .plans.models import EEMNMF
+
+    labels, _ = KMethod(EEMNMF(1, solver="hals", init="svd", max_iter_als=3), 2, max_iter=3).base_clustering(V.lineitems(spark, sf))
+    return rounded(labels.select("sample", "label", "error"), 2, "error")
+
+
+@query()
+def split_validation(spark, sf):
+    from .plans.compare import SplitValidation
+    from .plans.models import EEMNMF
+
+    fitted = SplitValidation(EEMNMF(1, solver="hals", init="svd", max_iter_als=3), n_splits=2, random_state=1).fit(V.lineitems(spark, sf))
+    return rounded(fitted.correlation_cv("balance"), 4, "r_square", "rmse")
+
+
+@query()
+def hierarchical_clusters(spark, sf):
+    """Complete linkage on the consensus of fixed runs."""
+    from .plans.cluster import KMethod
+    from .plans.models import EEMNMF
+
+    stack = V.lineitems(spark, sf)
+    method = KMethod(EEMNMF(1, solver="hals", init="svd", max_iter_als=2), 2)
+    method.consensus_frame = A.consensus(_runs(spark, sf)).persist()
+    return method.hierarchical_clustering(stack, 3)
+
+
+@query()
+def nan_imputing_2d(spark, sf):
+    return shown(P.nan_imputing(P.region_masking(V.lineitems(spark, sf), 262, 281, 318, 344, "nan")), 2)
+
+
+@query()
+def rayleigh_linear_2d(spark, sf):
+    return shown(P.rayleigh_scattering_removal(V.lineitems(spark, sf), 20, 20, interpolation_method_o1="linear", interpolation_method_o2="zero"), 2)
+
+
+@query()
+def interpolate_cubic(spark, sf):
+    return shown(P.interpolation(V.lineitems(spark, sf), (245, 252.5, 268, 300), (304, 317.5, 345), "cubic"), 4)
+
+
+@query()
+def dtw(spark, sf):
+    """The first and the last row of every sample's matrix, warped."""
+    from .functions.sequences import warp_pairs
+
+    stack = V.embeddings(spark, sf)
+    ends = stack.frame.select("sample", F.slice("intensity", 1, 8).alias("x"), F.slice("intensity", 57, 8).alias("y"))
+    return warp_pairs(ends, "x", "y").select("sample", F.size("aligned_x").alias("steps"))
+
+
+@query()
+def random_split(spark, sf):
+    from .functions.sequences import random_split_columns
+
+    totals = I.total_fluorescence(V.lineitems(spark, sf))
+    return rounded(random_split_columns(totals, {"total": 3}), 2, "total_1", "total_2", "total_3")
+
+
+@query()
+def error_histogram(spark, sf):
+    totals = I.total_fluorescence(V.lineitems(spark, sf))
+    return rounded(T.histogram(totals, "total", "sample").select("bin", "low", "high", "n"), 2, "low", "high")
