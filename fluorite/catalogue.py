@@ -651,7 +651,13 @@ def dtw(spark, sf):
     return warp_pairs(ends, "x", "y").select("sample", F.size("aligned_x").alias("steps"))
 
 
-@query()
+_DRAW = "(CAST('0x' || substring(md5('42:' || CAST(sample AS VARCHAR) || ':total:{}'), 1, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE"
+
+
+@query(
+    f"""{L_SQL}, t AS (SELECT sample, sum(v) AS total FROM l GROUP BY 1), d AS (SELECT sample, total, {_DRAW.format(0)} AS a, {_DRAW.format(1)} AS b, {_DRAW.format(2)} AS c FROM t)
+SELECT sample, round(total * a / (a + b + c), 2) + 0.0 AS total_1, round(total * b / (a + b + c), 2) + 0.0 AS total_2, round(total * c / (a + b + c), 2) + 0.0 AS total_3 FROM d"""
+)
 def random_split(spark, sf):
     from .functions.sequences import random_split_columns
 
@@ -659,7 +665,92 @@ def random_split(spark, sf):
     return rounded(random_split_columns(totals, {"total": 3}), 2, "total_1", "total_2", "total_3")
 
 
-@query()
+@query(
+    f"""{L_SQL}, t AS (SELECT sample, sum(v) AS x FROM l GROUP BY 1),
+s AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM t),
+w AS (SELECT *, CASE WHEN iqr > 0 THEN least((hi - lo) / (log2(n) + 1), 2 * iqr / cbrt(n)) ELSE (hi - lo) / (log2(n) + 1) END AS width FROM s),
+b AS (SELECT *, greatest(1, CAST(ceil(coalesce((hi - lo) / nullif(width, 0), 1)) AS BIGINT)) AS bins FROM w)
+SELECT CAST(least(bins - 1, floor(coalesce((x - lo) * bins / nullif(hi - lo, 0), 0))) AS INTEGER) AS bin, round(lo + (hi - lo) / bins * least(bins - 1, floor(coalesce((x - lo) * bins / nullif(hi - lo, 0), 0))), 2) + 0.0 AS low,
+       round(lo + (hi - lo) / bins * (least(bins - 1, floor(coalesce((x - lo) * bins / nullif(hi - lo, 0), 0))) + 1), 2) + 0.0 AS high, count(*) AS n FROM t, b GROUP BY 1, 2, 3"""
+)
 def error_histogram(spark, sf):
     totals = I.total_fluorescence(V.lineitems(spark, sf))
     return rounded(T.histogram(totals, "total", "sample").select("bin", "low", "high", "n"), 2, "low", "high")
+
+
+@query(f"{L_SQL}{_TWO} SELECT 0 AS a, 1 AS b, round(regr_slope(w1, w0), 6) + 0.0 AS slope, round(regr_intercept(w1, w0), 6) + 0.0 AS intercept, round(regr_r2(w1, w0), 6) + 0.0 AS r_square, round(corr(w0, w1), 6) + 0.0 AS pearson FROM w")
+def component_cross_correlation(spark, sf):
+    stack = V.lineitems(spark, sf)
+    scores = A.fit_components(stack, A.mean_components(stack, F.col("sample") % 2))
+    return rounded(T.cross_correlation(scores.select("sample", F.posexplode("scores").alias("component", "value"))), 6, "slope", "intercept", "r_square", "pearson")
+
+
+@query(
+    f"""{L_SQL}{_MEAN}, u AS (SELECT l.sample, sum(v * h) / sum(h * h) AS s FROM l JOIN m USING (ex, em) GROUP BY 1), a AS (SELECT l.sample, sqrt(avg(pow(v - s * h, 2))) AS rmse FROM l JOIN m USING (ex, em) JOIN u ON u.sample = l.sample GROUP BY 1),
+c AS (SELECT sample % 2 AS k, ex, em, avg(v) AS h FROM l GROUP BY 1, 2, 3), x AS (SELECT l.sample, sum(v * h) / sum(h * h) AS s FROM l JOIN c ON c.k = sample % 2 AND c.ex = l.ex AND c.em = l.em GROUP BY 1),
+b AS (SELECT l.sample, sqrt(avg(pow(v - s * h, 2))) AS rmse FROM l JOIN c ON c.k = l.sample % 2 AND c.ex = l.ex AND c.em = l.em JOIN x ON x.sample = l.sample GROUP BY 1)
+SELECT sample, round(100 * (1 - b.rmse / a.rmse), 4) + 0.0 AS reduction FROM a JOIN b USING (sample)"""
+)
+def rmse_reduction(spark, sf):
+    """Errors of a component for each half of the samples against one for all."""
+    stack = V.lineitems(spark, sf)
+    every = A.mean_components(stack)
+    unified = A.sample_errors(stack, A.fit_components(stack, every), every)
+    own = None
+    for k, part in enumerate(A.mean_components(stack, F.col("sample") % 2)):
+        half = stack.with_frame(stack.frame.where(F.col("sample") % 2 == k))
+        e = A.sample_errors(half, A.fit_components(half, part[None]), part[None])
+        own = e if own is None else own.unionByName(e)
+    return rounded(T.rmse_reduction(own, unified), 4, "reduction")
+
+
+@query(f"{L_SQL}{_MEAN}, u AS (SELECT l.sample, sum(v * h) / sum(h * h) AS s FROM l JOIN m USING (ex, em) GROUP BY 1) SELECT round(sqrt(sum(pow(v - s * h, 2) * CASE WHEN l.ex > 240 THEN 1 ELSE 0 END)), 2) + 0.0 AS error FROM l JOIN m USING (ex, em) JOIN u ON u.sample = l.sample")
+def masked_norm_error(spark, sf):
+    import numpy as np
+
+    stack = V.lineitems(spark, sf)
+    parts = A.mean_components(stack)
+    mask = np.repeat((np.array(stack.ex) > 240)[:, None], len(stack.em), axis=1)
+    return rounded(A.masked_norm_error(stack, A.fit_components(stack, parts), parts, mask), 2, "error")
+
+
+@query(f"WITH {_RUNS} SELECT CAST(run AS INTEGER) AS run, CAST(1 AS INTEGER) AS iter, round(avg(sample * 1.5::DOUBLE), 6) + 0.0 AS error FROM r GROUP BY 1")
+def error_means(spark, sf):
+    history = _runs(spark, sf).select("run", F.lit(1).alias("iter"), "sample", (F.col("sample") * 1.5).alias("error"))
+    return rounded(T.error_means(history), 6, "error")
+
+
+@query("SELECT vec_id AS sample FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)")
+def unmatched_labels(spark, sf):
+    """Samples without a row in the reference table."""
+    stack = V.embeddings(spark, sf)
+    return stack.frame.select("sample").join(stack.ref.select("sample"), "sample", "left_anti")
+
+
+@query("SELECT event_type || '_S.dat' AS name, event_type || '_B.dat' AS blank, count(*) AS n FROM events GROUP BY 1, 2")
+def companion_pairing(spark, sf):
+    """Names of samples' files with the names of their blanks'."""
+    from .sources.text import companion
+
+    names = V.table(spark, sf, "events").select(F.concat("event_type", F.lit("_S.dat")).alias("name"))
+    return names.select("name", companion(F.col("name"), "_S.", "_B.").alias("blank")).groupBy("name", "blank").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""{L_SQL}, x AS (SELECT * FROM (VALUES (244.0::DOUBLE), (252.0), (268.0)) t(x)), y AS (SELECT * FROM (VALUES (304.0::DOUBLE), (317.0)) t(y)),
+p AS (SELECT x, min_by(ex, (abs(ex - x), ex)) AS ex0 FROM x, exs GROUP BY 1), q AS (SELECT y, min_by(em, (abs(em - y), em)) AS em0 FROM y, ems GROUP BY 1)
+SELECT sample, x AS ex, y AS em, round(v, 2) + 0.0 AS intensity FROM l JOIN p ON ex = ex0 JOIN q ON em = em0"""
+)
+def interpolate_nearest(spark, sf):
+    return shown(P.interpolation(V.lineitems(spark, sf), (244, 252, 268), (304, 317), "nearest"), 2)
+
+
+@query(f"{L_SQL}{ABS_SQL} SELECT l.sample, ex, em, round(CASE WHEN em <= ex OR abs(em - ex) <= 10 OR abs(em - 2 * ex) <= 10 THEN 0 ELSE v / 100.0::DOUBLE * pow(10, (x.a + y.a) / 2) END, 3) + 0.0 AS intensity FROM l JOIN ai x ON x.sample = l.sample AND x.x = ex JOIN ai y ON y.sample = l.sample AND y.x = em WHERE ex BETWEEN 250 AND 320 AND em BETWEEN 310 AND 370")
+def preprocessing(spark, sf):
+    """Cut, Raman units, inner filter effect and Rayleigh bands as one plan."""
+    from .plans.preprocess import Preprocessing
+
+    stack = V.lineitems(spark, sf)
+    bands = {"width_o1": 20, "width_o2": 20, "interpolation_method_o1": "zero", "interpolation_method_o2": "zero"}
+    plan = Preprocessing((250, 320, 310, 370), {"manual_rsu": 100.0}, V.absorbances(stack), V.ABSORBANCE_AXIS, rayleigh=bands)
+    return shown(plan(stack), 3)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shipping import ship
+
 #: An axis longer than this isn't an instrument's.
 LONGEST_AXIS = 20_000
 SCHEMA = T.StructType([T.StructField("sample", T.LongType()), T.StructField("index", T.StringType()), T.StructField("cluster", T.StringType()), T.StructField("intensity", T.ArrayType(T.DoubleType()))])
@@ -47,6 +49,9 @@ class Stack:
     em: tuple[float, ...]
     ref: DataFrame | None = field(default=None)
 
+    def __post_init__(self) -> None:
+        ship(self.frame.sparkSession)
+
     @property
     def shape(self) -> tuple[int, int]:
         return len(self.ex), len(self.em)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def warping_path(x: Sequence[float], y: Sequence[float]) -> list[tuple[int, int]]:
     """Pairs of places along the cheapest path between two sequences, from the first that a border is met."""
@@ -36,6 +38,7 @@ def dynamic_time_warping(x: Sequence[float], y: Sequence[float]) -> tuple[list[f
 def warp_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     """Adds aligned_x and aligned_y to rows with two arrays of doubles."""
     names = df.columns
+    ship(df.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -50,8 +53,13 @@ def warp_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 def random_split_columns(df: DataFrame, splits: Mapping[str, int], seed: int = 42, id_col: str = "sample") -> DataFrame:
     """Replaces each column of splits by that many random parts that sum to it, in its place.
 
-    Parts come from hashes of seed, id, column and place, so reruns agree.
+    Parts come from the md5 of seed, id, column and place, so reruns agree.
     """
+
+    def draw(column: str, i: int):
+        text = F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.lit(column), F.lit(str(i)))
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
+
     out = []
     for c in df.columns:
         n = splits.get(c)
@@ -59,7 +67,7 @@ def random_split_columns(df: DataFrame, splits: Mapping[str, int], seed: int = 4
             out.append(F.col(c))
             continue
         n = max(int(n), 1)
-        draws = [(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.lit(c), F.lit(i)), F.lit(1 << 30)) + 1) / float(1 << 30) for i in range(n)]
+        draws = [draw(c, i) for i in range(n)]
         total = sum(draws[1:], draws[0])
         out += [(F.col(c) * d / total).alias(f"{c}_{i + 1}" if n > 1 else c) for i, d in enumerate(draws)]
     return df.select(*out)

@@ -274,3 +274,41 @@ def silhouette(distance: DataFrame, labels: DataFrame) -> DataFrame:
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (most == 0), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), most))
     return s.select(F.col("i").alias("sample"), value.alias("silhouette"))
 
+
+
+def unfold_by_mode(tensor: np.ndarray, mode: int) -> np.ndarray:
+    """The mode's fibres as rows; the other modes keep their order."""
+    if not 0 <= mode < np.ndim(tensor):
+        raise ValueError(f"a tensor of {np.ndim(tensor)} modes has no mode {mode}")
+    return np.moveaxis(tensor, mode, 0).reshape(np.shape(tensor)[mode], -1)
+
+
+def masked_norm_error(stack: Stack, scores: DataFrame, components: np.ndarray, mask: np.ndarray | None = None) -> DataFrame:
+    """error: the Frobenius norm of the residual where mask is true; one row."""
+    if mask is not None and np.shape(mask) != stack.shape:
+        raise ValueError(f"the mask is {np.shape(mask)}; a sample is {stack.shape}")
+    keep = F.array(*[F.lit(float(m)) for m in (np.ones(stack.shape) if mask is None else np.asarray(mask, bool)).ravel()])
+    rest = F.zip_with(F.zip_with("intensity", "fitted", lambda x, y: x - y), keep, lambda e, m: e * m)
+    return reconstructed(stack, scores, components).agg(F.sqrt(F.sum(_squares(rest))).alias("error"))
+
+
+def replace_factor_with_prior(factors: Sequence[np.ndarray], prior: Sequence[float], mode: int, rank: int | str = "best-fit", unfolded: np.ndarray | None = None, frozen: int | None = None) -> tuple[list[np.ndarray], int]:
+    """The factors with one column of a mode replaced by the prior, and which column it was.
+
+    best-fit takes the column most correlated with the prior. With the mode's
+    unfolding the columns of the other of two factors are fitted anew to what
+    the kept column leaves (all of them, or all but a frozen one), negatives 0.
+    """
+    out = [np.array(f, float) for f in factors]
+    p = np.asarray(prior, float)
+    if rank == "best-fit":
+        size = [np.corrcoef(p, column)[0, 1] for column in out[mode].T]
+        rank = int(np.nanargmax(size))
+    out[mode][:, rank] = p
+    if unfolded is not None and len(out) == 2:
+        other = 1 - mode
+        data = np.asarray(unfolded, float) if mode == 0 else np.asarray(unfolded, float).T
+        free = [k for k in range(out[mode].shape[1]) if k != frozen]
+        rest = data - (np.outer(out[mode][:, frozen], out[other][:, frozen]) if frozen is not None else 0)
+        out[other][:, free] = np.maximum(0, np.linalg.lstsq(out[mode][:, free], rest, rcond=None)[0].T)
+    return out, rank

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..frames import Stack
 from ..functions.special import correlation_p_value
+from ..shipping import ship
 
 
 def pixel_statistics(stack: Stack) -> DataFrame:
@@ -62,6 +63,7 @@ def correlation(stack: Stack, variables: Sequence[str], fit_intercept: bool = Tr
 def with_p_values(df: DataFrame, columns: Sequence[str], n: str = "n") -> DataFrame:
     """Adds <column>_p: two-sided p-values of correlations over n pairs."""
     names = df.columns
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

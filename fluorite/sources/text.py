@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..frames import Stack, fold, nearest
 from ..operators import kernels as K
+from ..shipping import ship
 
 NUMBER = r"\d+(?:\.\d+)?"
 # strptime's letters and Spark's
@@ -201,6 +202,7 @@ def read_abs_dataset(
     if not wavelength_alignment:
         raise ValueError(f"files have {len(set(axes))} different axes; set wavelength_alignment")
     target = common_axis(axes)
+    ship(spark)
 
     def run(batches):
         for pdf in batches:
