@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+__all__ = ["KEY", "ascii_lower", "attach", "held_out", "materialize", "maybe_broadcast", "read", "release", "row_key", "ship", "small"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A row is told from another by its id and this hash of its text.
 KEY = "__row_key"
@@ -19,23 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors' Python workers, once for an application."""
-    context = spark.sparkContext
-    root = Path(__file__).resolve().parents[1]
-    if context.applicationId not in _shipped and root.is_dir():
-        archive = Path(tempfile.mkdtemp(prefix="ship")) / f"{root.name}.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-    return spark
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage.
 
