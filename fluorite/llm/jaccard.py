@@ -18,7 +18,7 @@ from .graph import connected_components
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hashes a worker remembers at a time.
-_REMEMBER = 1 << 19
+_REMEMBER = 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ def jaccard_components(
                 if len(s):
                     parts.append(s)
                     held += len(s)
-                if held > 1 << 21:
+                if held > 1 << 20:
                     yield packed(parts)
                     parts, held = [], 0
         if held:
@@ -225,8 +225,8 @@ def jaccard_components(
         most = most or f"least({a}.n, {b}.n)"
         return f"({most}) * {den} >= ({a}.n + {b}.n - ({most})) * {num}"
 
-    def postings(kind: str) -> DataFrame:
-        each = rows.where("cls is not null").select("cls", "n", "r", F.explode(kind).alias("token"))
+    def postings(kind: str, *more: str) -> DataFrame:
+        each = rows.where("cls is not null").select("cls", "n", "r", *more, F.explode(kind).alias("token"))
         return each.repartition("token").dropDuplicates(["token", "cls"])
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def jaccard_components(
     rare = postings("rare")
     met = rare.alias("x").join(rare.alias("y"), F.expr("x.token = y.token and x.cls < y.cls and " + alike("x", "y"))).select(*named_pair)
     without_rare = "least(x.n - x.r, y.n - y.r)"
-    shared = materialize(postings("often"))
+    shared = materialize(postings("often", "often"))
     hubs = materialize(shared.groupBy("token").agg(F.min(F.struct("r", "n", "cls")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "hub.*"))
     stars = shared.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.cls <> y.cls and " + alike("x", "y", without_rare))).select(*named_pair)
     links = linked(met.union(stars))
@@ -271,7 +271,8 @@ def jaccard_components(
     placed = grouped(shared).join(grouped(hubs).select("token", F.col("component").alias("main")), "token")
     placed = materialize(placed)
     apart = placed.where("component <> main")
-    rest = apart.alias("x").join(placed.alias("y"), F.expr("x.token = y.token and x.component <> y.component and " + alike("x", "y", without_rare))).select(*named_pair)
+    once = "x.token = array_min(array_intersect(x.often, y.often))"  # a pair comes from its first common token only
+    rest = apart.alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token and x.component <> y.component and {alike('x', 'y', without_rare)} and {once}")).select(*named_pair)
     more = linked(rest)
     release(spark)
     if not more.isEmpty():
