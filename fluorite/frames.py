@@ -130,22 +130,42 @@ def arrays(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(x, float).ravel()))
 
 
-def axis_of(df: DataFrame, column: str) -> tuple[float, ...]:
-    """Distinct values of an axis column, ascending."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(LONGEST_AXIS + 1).collect()]
-    if len(values) > LONGEST_AXIS:
-        raise ValueError(f"{column} has more than {LONGEST_AXIS} values")
-    return tuple(sorted(float(v) for v in values))
+def axes_of(long: DataFrame) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Distinct values of ex and em, ascending, from the distinct pairs: one job."""
+    most = 50 * LONGEST_AXIS
+    pairs = long.select("ex", "em").where("ex is not null and em is not null").distinct().limit(most + 1).collect()
+    ex, em = (tuple(sorted({float(p[i]) for p in pairs})) for i in (0, 1))
+    if len(pairs) > most or max(len(ex), len(em)) > LONGEST_AXIS:
+        raise ValueError(f"an axis has more than {LONGEST_AXIS} values, or the grid more than {most}")
+    return ex, em
 
 
 def fold(long: DataFrame, ex: Sequence[float] | None = None, em: Sequence[float] | None = None, fill: float = float("nan"), labels: DataFrame | None = None, ref: DataFrame | None = None) -> Stack:
-    """A stack from rows (sample, ex, em, intensity); pixels without a row are ``fill``. labels: sample, index, cluster."""
-    ex = tuple(ex) if ex is not None else axis_of(long, "ex")
-    em = tuple(em) if em is not None else axis_of(long, "em")
+    """A stack from rows (sample, ex, em, intensity). labels: sample, index, cluster.
+
+    Pixels without a row are ``fill``, rows off the axes are left out, and of
+    rows for the same pixel any counts.
+    """
+    if ex is None or em is None:
+        found = axes_of(long)
+        ex, em = ex if ex is not None else found[0], em if em is not None else found[1]
+    ex, em = tuple(ex), tuple(em)
     width = len(em)
     pos = (F.array_position(numbers(ex), F.col("ex")) - 1) * width + F.array_position(numbers(em), F.col("em")) - 1
-    packed = long.select(F.col("sample").cast("long").alias("sample"), pos.cast("int").alias("pos"), F.col("intensity").cast("double").alias("v")).groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
-    filled = packed.select("sample", F.transform(F.sequence(F.lit(0), F.lit(len(ex) * width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(fill))).alias("intensity"))
+    cells = long.select(F.col("sample").cast("long").alias("sample"), pos.cast("int").alias("pos"), F.col("intensity").cast("double").alias("v")).where("pos >= 0")
+    packed = cells.groupBy("sample").agg(F.collect_list(F.struct("pos", "v")).alias("cells"))
+    size = len(ex) * width
+    ship(long.sparkSession)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            out = np.full((batch.num_rows, size), fill)
+            out[np.repeat(np.arange(batch.num_rows), counts), flat.field(0).to_numpy()] = flat.field(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), arrays(out)], ["sample", "intensity"])
+
+    filled = packed.mapInArrow(spread, "sample long, intensity array<double>")
     if labels is None:
         frame = filled.select("sample", F.col("sample").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), "intensity")
     else:

@@ -55,7 +55,7 @@ def hash_order(seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string")).cast("binary"))
 
 
-def split_numbers(stack: Stack, n_split: int, rule: str = "random", random_state: int | None = None, kw_top: str | None = None, kw_bot: str | None = None) -> DataFrame:
+def split_numbers(stack: Stack, n_split: int, rule: str = "random", random_state: int | None = None, kw_top: str | Sequence[int] | None = None, kw_bot: str | Sequence[int] | None = None) -> DataFrame:
     """sample, split from 1: parts of equal size, the first ones longer by one.
 
     rule: random (by a seeded hash) or sequential. With kw_top and kw_bot the
@@ -77,11 +77,17 @@ def split_numbers(stack: Stack, n_split: int, rule: str = "random", random_state
     return pairs.join(tops, "pair").select("sample", "split")
 
 
-def paired(frame: DataFrame, kw_top: str, kw_bot: str) -> DataFrame:
-    """sample, side (top, bot), pair: the place among the samples of that keyword."""
-    side = F.when(F.contains("index", F.lit(kw_top)), "top").when(F.contains("index", F.lit(kw_bot)), "bot")
-    marked = frame.select("sample", side.alias("side")).where("side is not null")
-    return marked.withColumn("pair", F.row_number().over(W.partitionBy("side").orderBy("sample")))
+def paired(frame: DataFrame, top: str | Sequence[int], bot: str | Sequence[int]) -> DataFrame:
+    """sample, side (top, bot), pair: the place among the samples whose label has that keyword, or in a list of samples."""
+    if isinstance(top, str):
+        side = F.when(F.contains("index", F.lit(top)), "top").when(F.contains("index", F.lit(bot)), "bot")
+        marked = frame.select("sample", side.alias("side")).where("side is not null")
+        return marked.withColumn("pair", F.row_number().over(W.partitionBy("side").orderBy("sample")))
+    if len(top) != len(bot):
+        raise ValueError("both lists of samples must be as long")
+    at = [F.array_position(F.array(*[F.lit(int(i)).cast("long") for i in ids]), F.col("sample")).cast("int") for ids in (top, bot)]
+    marked = frame.select("sample", F.when(at[0] > 0, "top").when(at[1] > 0, "bot").alias("side"), F.when(at[0] > 0, at[0]).otherwise(at[1]).alias("pair"))
+    return marked.where("side is not null")
 
 
 def splitting(stack: Stack, n_split: int, **rule) -> list[Stack]:

@@ -9,7 +9,7 @@ grows with them is collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -272,7 +272,7 @@ def rank_one(h: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndar
     return np.array(b).T, np.array(c).T
 
 
-def with_pairs(stack: Stack, kw_top: str, kw_bot: str) -> DataFrame:
+def with_pairs(stack: Stack, kw_top: str | Sequence[int], kw_bot: str | Sequence[int]) -> DataFrame:
     """The frame with a pair's bottom sample in the row of its top one, as partner; samples in no pair stay."""
     from ..operators.samples import paired
 

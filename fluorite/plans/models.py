@@ -29,8 +29,8 @@ class Fitted:
     score: DataFrame  # sample, scores, fmax, intercept: refitted on the components
     fmax: DataFrame
     beta: np.ndarray | None
-    kw_top: str | None
-    kw_bot: str | None
+    kw_top: str | Sequence[int] | None  # a keyword of labels, or the samples themselves
+    kw_bot: str | Sequence[int] | None
 
     @property
     def nnls_fmax(self) -> DataFrame:
@@ -69,7 +69,7 @@ class Fitted:
         return self.stack.spark.createDataFrame(rows, "component int, ex double, em double, value double")
 
 
-def paired_scores(stack: Stack, components: np.ndarray, beta: np.ndarray, kw_top: str, kw_bot: str) -> DataFrame:
+def paired_scores(stack: Stack, components: np.ndarray, beta: np.ndarray, kw_top, kw_bot) -> DataFrame:
     """Scores of both samples of each pair from one fit: top on beta times, bot on once the components."""
     from ..operators.samples import paired
 
@@ -94,7 +94,7 @@ def paired_scores(stack: Stack, components: np.ndarray, beta: np.ndarray, kw_top
     return named.select("sample", scores.alias("scores")).select("sample", "scores", F.zip_with("scores", largest, lambda x, y: x * y).alias("fmax"), F.lit(0.0).alias("intercept"))
 
 
-def _prepared(stack: Stack, kw_top: str | None, kw_bot: str | None, prior: DataFrame | None) -> DataFrame:
+def _prepared(stack: Stack, kw_top, kw_bot, prior: DataFrame | None) -> DataFrame:
     if (kw_top is None) != (kw_bot is None):
         raise ValueError("only one of kw_top and kw_bot is given")
     frame = with_pairs(stack, kw_top, kw_bot) if kw_top else stack.frame
@@ -134,8 +134,8 @@ class PARAFAC(Fitted):
     gamma_ex: float | Mapping[int, float] = 0
     gamma_em: float | Mapping[int, float] = 0
     ref_components: Mapping[int, np.ndarray] | None = None
-    kw_top: str | None = None
-    kw_bot: str | None = None
+    kw_top: str | Sequence[int] | None = None
+    kw_bot: str | Sequence[int] | None = None
     lam: float | Mapping[int, float] = 0
     max_iter_als: int = 100
     tol: float = 1e-6
@@ -306,8 +306,8 @@ class EEMNMF(Fitted):
     gamma_B: float | Mapping[int, float] = 0
     gamma_C: float | Mapping[int, float] = 0
     ref_components: Mapping[int, np.ndarray] | None = None
-    kw_top: str | None = None
-    kw_bot: str | None = None
+    kw_top: str | Sequence[int] | None = None
+    kw_bot: str | Sequence[int] | None = None
     lam: float | Mapping[int, float] = 0
     fit_rank_one: bool | Mapping[int, bool] = False
     normalization: str | None = None
@@ -427,8 +427,8 @@ class HED:
     child_structure_dict: Mapping[int, int]
     solver: str = "hals"
     gamma_H: float | Mapping[int, float] = 0
-    kw_top: str | None = None
-    kw_bot: str | None = None
+    kw_top: str | Sequence[int] | None = None
+    kw_bot: str | Sequence[int] | None = None
     lam: float | Mapping[int, float] = 0
     normalization: str | None = None
     max_iter_als: int = 300

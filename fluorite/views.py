@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import Stack, axis_of, fold
+from .frames import Stack, axes_of, fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +24,13 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitems(spark: SparkSession, sf_dir: str) -> Stack:
     """L: a supplier's sales by discount and tax, a non-negative matrix; absent cells are 0."""
-    long = lineitem_pixels(spark, sf_dir)
+    cells = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("sample"), (240 + 10 * F.round(F.col("l_discount") * 100)).cast("double").alias("ex"),
+        (300 + 10 * F.round(F.col("l_tax") * 100)).cast("double").alias("em"), "l_extendedprice",
+    )
+    long = cells.groupBy("sample", "ex", "em").agg(F.sum("l_extendedprice").cast("double").alias("intensity"))
     ref = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"), F.col("s_acctbal").cast("double").alias("balance"))
-    return fold(long, axis_of(long, "ex"), axis_of(long, "em"), fill=0.0, ref=ref)
-
-
-def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem")
-    return d.groupBy(F.col("l_suppkey").alias("sample"), (240 + 10 * F.round(F.col("l_discount") * 100)).cast("double").alias("ex"), (300 + 10 * F.round(F.col("l_tax") * 100)).cast("double").alias("em")).agg(F.sum("l_extendedprice").cast("double").alias("intensity"))
+    return fold(long, *axes_of(cells), fill=0.0, ref=ref)  # the grid is read from the rows themselves, before they are summed
 
 
 #: A synthetic absorbance on five wavelengths: 0.01 + sample % 7 / 100 + (wavelength - 240) / 10000

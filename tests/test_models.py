@@ -100,6 +100,8 @@ def test_pairs_give_ratios(spark):
     m = PARAFAC(2, kw_top="top", kw_bot="bot", lam=1.0, max_iter_als=40, tol=1e-9).fit(stack)
     assert np.allclose(m.beta, [1.2, 1.6], atol=0.02)
     assert m.predict(stack, fit_beta=True).count() == 12
+    same = PARAFAC(2, kw_top=list(range(0, 12, 2)), kw_bot=list(range(1, 12, 2)), lam=1.0, max_iter_als=40, tol=1e-9).fit(stack)
+    assert np.allclose(same.beta, m.beta)
 
 
 def test_hierarchy_keeps_what_has_no_children(planted):
@@ -171,3 +173,20 @@ def test_streamed_scores(spark, planted, tmp_path):
     done.stop()
     got = np.array([r["scores"] for r in spark.table("scored").orderBy("sample").collect()])
     assert np.allclose(got, scores)
+
+
+def test_helpers_of_the_algebra(planted):
+    scores, x, stack = planted
+    assert A.unfold_by_mode(x, 1).shape == (len(EX), 12 * len(EM))
+    with pytest.raises(ValueError):
+        A.unfold_by_mode(x, 3)
+    parts = np.einsum("jr,kr->rjk", B, C)
+    fitted = A.fit_components(stack, parts)
+    assert A.masked_norm_error(stack, fitted, parts).first()["error"] < 1e-8
+    with pytest.raises(ValueError):
+        A.masked_norm_error(stack, fitted, parts, np.ones((2, 2), bool))
+    out, k = A.replace_factor_with_prior([B, C], B[:, 1] * 2, 0)
+    assert k == 1 and np.allclose(out[0][:, 1], B[:, 1] * 2) and np.allclose(out[1], C)
+    out, _ = A.replace_factor_with_prior([B, C], B[:, 1] * 2, 0, unfolded=B @ C.T)
+    assert np.allclose(out[1], C / [1, 2])
+    assert np.allclose(A.khatri_rao_matrix([B, C]), np.einsum("jr,kr->jkr", B, C).reshape(-1, 2))
