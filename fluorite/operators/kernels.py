@@ -200,11 +200,9 @@ def impute(s: np.ndarray, ex: np.ndarray, em: np.ndarray, method: str = "linear"
     if known.all() or not known.any():
         return s.copy() if known.any() or isinstance(fill, str) else np.full_like(s, fill)
     out = s.copy()
-    points = np.column_stack([g[known] for g in np.meshgrid(_unit(ex), _unit(em), indexing="ij")])
-    values = s[known]
-    want = np.column_stack([g[~known] for g in np.meshgrid(_unit(ex), _unit(em), indexing="ij")])
-    if len(points) >= 3:
-        out[~known] = scattered(points, values, want, method)
+    if known.sum() >= 3:
+        points, want, ids, weights = triangles(known, tuple(map(float, ex)), tuple(map(float, em)))
+        out[~known] = blended(points, s[known], want, ids, weights, method)
     if isinstance(fill, str):
         if fill not in ("linear_ex", "linear_em"):
             raise ValueError(f"fill_value must be a number, linear_ex or linear_em; got {fill!r}")
@@ -224,54 +222,60 @@ def _unit(axis: np.ndarray) -> np.ndarray:
     return (axis - axis[0]) / ((axis[-1] - axis[0]) or 1.0)
 
 
-def scattered(points: np.ndarray, values: np.ndarray, want: np.ndarray, method: str) -> np.ndarray:
-    """Each wanted point from the best small triangle of known ones around it; NaN if there is none.
+_triangles: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    On a grid with bands missing, the known neighbours to the four sides of a
-    point and its nearest ones make the candidates; the triangle with the least
-    longest side is taken, ties by the order of the points.
+
+def triangles(known: np.ndarray, ex: tuple[float, ...], em: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(known points, wanted points, corners, weights of corners) for a pattern of known pixels; samples mostly share one.
+
+    On a grid with bands missing, the known neighbours to the four sides and
+    quarters of a point and its nearest ones make the candidates; the triangle
+    whose farthest corner is nearest is taken, ties by the order of the points.
+    Corners are -1 where there is no triangle.
     """
-    out = np.full(len(want), np.nan)
-    gradients = _gradients(points, values) if method == "cubic" else None
-    for n, w in enumerate(want):
-        d = points - w
-        far = np.hypot(*d.T)
-        order = np.argsort(far, kind="stable")
-        near = list(order[:12])
-        for side in (d[:, 0] >= 0, d[:, 0] <= 0, d[:, 1] >= 0, d[:, 1] <= 0):
-            near += [i for i in order if side[i]][:6]
-        for half in ((d[:, 0] >= 0) & (d[:, 1] >= 0), (d[:, 0] >= 0) & (d[:, 1] <= 0), (d[:, 0] <= 0) & (d[:, 1] >= 0), (d[:, 0] <= 0) & (d[:, 1] <= 0)):
-            near += [i for i in order if half[i]][:6]
-        near = sorted(set(near), key=lambda i: (far[i], i))
-        best = None
-        for a in range(len(near)):
-            for b in range(a + 1, len(near)):
-                for c in range(b + 1, len(near)):
-                    if best is not None and far[near[c]] > best[0]:
-                        break
-                    t = points[[near[a], near[b], near[c]]]
-                    det = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[2, 0] - t[0, 0]) * (t[1, 1] - t[0, 1])
-                    if abs(det) < 1e-14:
-                        continue
-                    u = ((w[0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[2, 0] - t[0, 0]) * (w[1] - t[0, 1])) / det
-                    v = ((t[1, 0] - t[0, 0]) * (w[1] - t[0, 1]) - (w[0] - t[0, 0]) * (t[1, 1] - t[0, 1])) / det
-                    if u < -1e-12 or v < -1e-12 or u + v > 1 + 1e-12:
-                        continue
-                    size = far[near[c]]
-                    if best is None or size < best[0]:
-                        best = (size, (near[a], near[b], near[c]), np.array([1 - u - v, u, v]))
-        if best is None:
-            continue
-        _, ids, weight = best
-        ids = list(ids)
-        if gradients is None:
-            out[n] = weight @ values[ids]
-        else:
-            smooth = weight**2 * (3 - 2 * weight)
-            smooth /= smooth.sum()
-            tangent = values[ids] + ((w - points[ids]) * gradients[ids]).sum(1)
-            out[n] = smooth @ tangent
-    return out
+    key = (known.tobytes(), ex, em)
+    if key not in _triangles:
+        if len(_triangles) >= 64:
+            _triangles.clear()
+        grid = np.meshgrid(_unit(np.array(ex)), _unit(np.array(em)), indexing="ij")
+        points, want = (np.column_stack([g[m] for g in grid]) for m in (known, ~known))
+        found = [_triangle(points, w) for w in want]
+        _triangles[key] = (points, want, np.array([f[0] for f in found]).reshape(-1, 3), np.array([f[1] for f in found]).reshape(-1, 3))
+    return _triangles[key]
+
+
+def _triangle(points: np.ndarray, w: np.ndarray) -> tuple[tuple[int, int, int], tuple[float, float, float]]:
+    d = points - w
+    far = np.hypot(*d.T)
+    order = np.argsort(far, kind="stable")
+    up, down, right, left = d[:, 0] >= 0, d[:, 0] <= 0, d[:, 1] >= 0, d[:, 1] <= 0
+    near = set(order[:12].tolist())
+    for side in (up, down, right, left, up & right, up & left, down & right, down & left):
+        near.update(order[side[order]][:6].tolist())
+    ranked = sorted(near, key=lambda i: (far[i], i))
+    for c in range(2, len(ranked)):  # the farthest corner, the nearest first
+        for b in range(1, c):
+            for a in range(b):
+                t = points[[ranked[a], ranked[b], ranked[c]]]
+                det = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[2, 0] - t[0, 0]) * (t[1, 1] - t[0, 1])
+                if abs(det) < 1e-14:
+                    continue
+                u = ((w[0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[2, 0] - t[0, 0]) * (w[1] - t[0, 1])) / det
+                v = ((t[1, 0] - t[0, 0]) * (w[1] - t[0, 1]) - (w[0] - t[0, 0]) * (t[1, 1] - t[0, 1])) / det
+                if u >= -1e-12 and v >= -1e-12 and u + v <= 1 + 1e-12:
+                    return (ranked[a], ranked[b], ranked[c]), (1 - u - v, u, v)
+    return (-1, -1, -1), (np.nan, np.nan, np.nan)
+
+
+def blended(points: np.ndarray, values: np.ndarray, want: np.ndarray, ids: np.ndarray, weights: np.ndarray, method: str) -> np.ndarray:
+    """Values at the wanted points: linear in the triangle, or corners' tangent planes blended smoothly."""
+    if method == "linear":
+        return (weights * values[ids]).sum(axis=1)
+    smooth = weights**2 * (3 - 2 * weights)
+    smooth /= smooth.sum(axis=1, keepdims=True)
+    slopes = _gradients(points, values)
+    tangents = values[ids] + ((want[:, None, :] - points[ids]) * slopes[ids]).sum(axis=2)
+    return (smooth * tangents).sum(axis=1)
 
 
 def _gradients(points: np.ndarray, values: np.ndarray, n: int = 8) -> np.ndarray:
