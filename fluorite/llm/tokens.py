@@ -136,23 +136,20 @@ class Merges:
         return self._short(parts) if len(parts) < 64 else self._long(parts)
 
     def _short(self, parts: list[str]) -> int:
-        rank = self.rank
-        while len(parts) > 1:
-            ranks = [rank.get(p, 1 << 30) for p in zip(parts, parts[1:], strict=False)]
+        """Merges the first of the pairs of least rank, again and again."""
+        get, none = self.rank.get, 1 << 30
+        ranks = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks:
             least = min(ranks)
-            if least == 1 << 30:
+            if least == none:
                 break
             i = ranks.index(least)
-            a, b = parts[i], parts[i + 1]
-            new, j = [], 0
-            while j < len(parts):  # all places of the pair, from the left
-                if j + 1 < len(parts) and parts[j] == a and parts[j + 1] == b:
-                    new.append(a + b)
-                    j += 2
-                else:
-                    new.append(parts[j])
-                    j += 1
-            parts = new
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
         return len(parts)
 
     def _long(self, parts: list[str]) -> int:
