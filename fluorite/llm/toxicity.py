@@ -161,7 +161,8 @@ def train_lexicon(
             got = [lexicon.features(t, automaton) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(1)], ["density", "largest", "y"])
 
-    seen = rows.mapInArrow(measure, "density double, largest double, y int").orderBy("density", "largest", "y").toPandas()  # about most_rows at most
+    seen = rows.mapInArrow(measure, "density double, largest double, y int").toPandas()  # about most_rows at most
+    seen = seen.sort_values(["density", "largest", "y"])
     x = np.column_stack([np.ones(len(seen)), seen["density"], seen["largest"]])
     lexicon.coefs = tuple(float(v) for v in _logistic(x, seen["y"].to_numpy(float)))
     return lexicon
