@@ -166,20 +166,20 @@ def fit_field(texts: list[bytes], good: np.ndarray, rounds: int = 3, steps: int
     groups = [g for g in np.array_split(order, max(1, len(order) // 256)) if len(g)]
     padded = [_padded(starts[g], lines[g]) for g in groups]
     n = len(length)
-    for _ in range(rounds):
+    for turn in range(rounds):
         theta = np.concatenate([field.weights, field.pairs.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         same = owner[1:] == owner[:-1]
         seen = np.zeros((2, 2))
         np.add.at(seen, (label[:-1][same].astype(int), label[1:][same].astype(int)), 1)
-        for it in range(1, steps + 1):
-            node = features @ theta[:-4]
+        for it in range(1, (steps // 3 if turn else steps) + 1):  # later rounds start near their end
+            node = (features @ theta[:-4].astype(np.float32)).astype(float)
             p, expected = np.zeros(n), np.zeros((2, 2))
             for place, mask in padded:
                 _, q, e = forward_backward(np.where(mask, node[place], 0), mask, theta[-4:].reshape(2, 2))
                 p[place[mask]] = q[mask]
                 expected += e
-            gradient = np.concatenate([features.T @ (p - label), (expected - seen).ravel()]) / n + ridge * theta
+            gradient = np.concatenate([features.T @ (p - label).astype(np.float32), (expected - seen).ravel()]) / n + ridge * theta
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             theta = theta - rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
         field.weights, field.pairs = theta[:-4].astype(np.float32), theta[-4:].reshape(2, 2)
