@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluorite.llm.common import KEY, attach, materialize, read
+from fluorite.llm.common import KEY, attach, materialize, read, release, row_key
 from fluorite.llm.decontamination import decontaminate
 from fluorite.llm.jaccard import jaccard_components
 from fluorite.llm.lines import dedup_lines
@@ -21,8 +21,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template recurs; n_chars, if there is such a column, follows the text."""
-    kept = dedup_lines(docs)
+    """All documents, without lines whose template recurs; n_chars, if there is such a column, follows the text.
+
+    Near copies, as the next stage has them, count as one document.
+    """
+    texts = docs.select(row_key(F.col("text")).alias(KEY), "text")
+    classes = materialize(jaccard_components(texts, k=5, num=80, den=100, id_col=KEY).select(KEY, F.col("component_id").alias("cls")).distinct())
+    release(spark)
+    kept = dedup_lines(docs, classes=classes)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)

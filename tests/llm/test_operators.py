@@ -289,6 +289,23 @@ def test_lines_that_recur_in_other_company(docs_of):
     assert all(got[100 + i][1] == 0 for i in range(50)) and got[200] == (passage, 0)
 
 
+def own_lines(rng, n, words=12):
+    return [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(words)) for _ in range(n)]
+
+
+def stage_texts(spark, docs):
+    import corpus_pipeline
+
+    return {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+
+
+def test_a_passage_at_either_end_recurs(spark, docs_of):
+    rng = random.Random(11)
+    passage, own = "the same passage at the ends of many texts", [own_lines(rng, 4) for _ in range(12)]
+    rows = [(i, "\n".join([passage, *x] if i % 2 else [*x, passage])) for i, x in enumerate(own)]
+    assert stage_texts(spark, docs_of(rows)) == {i: "\n".join(x) for i, x in enumerate(own)}
+
+
 # --- SQL
 
 
