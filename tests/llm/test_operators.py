@@ -306,6 +306,13 @@ def test_a_passage_at_either_end_recurs(spark, docs_of):
     assert stage_texts(spark, docs_of(rows)) == {i: "\n".join(x) for i, x in enumerate(own)}
 
 
+def test_a_block_of_lines_recurs(spark, docs_of):
+    rng = random.Random(12)
+    block, own = own_lines(rng, 4, 8), [own_lines(rng, 6) for _ in range(12)]
+    rows = [(i, "\n".join([*x[: i % 7], *block, *x[i % 7 :]])) for i, x in enumerate(own)]
+    assert stage_texts(spark, docs_of(rows)) == {i: "\n".join(x) for i, x in enumerate(own)}
+
+
 # --- SQL
 
 
