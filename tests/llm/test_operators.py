@@ -313,6 +313,14 @@ def test_a_block_of_lines_recurs(spark, docs_of):
     assert stage_texts(spark, docs_of(rows)) == {i: "\n".join(x) for i, x in enumerate(own)}
 
 
+def test_near_copies_do_not_hide_a_passage(spark, docs_of):
+    rng = random.Random(13)
+    passage, own = "a passage of unrelated texts and of many near copies", [own_lines(rng, 4) for _ in range(11)]
+    last = [[*own[10][:3], own[10][3] + f" {''.join(rng.choice('xyz') for _ in range(9))}"] for _ in range(60)]
+    rows = [(i, "\n".join([*x[:2], passage, *x[2:]])) for i, x in enumerate(own[:10] + last)]
+    assert stage_texts(spark, docs_of(rows)) == {i: "\n".join(x) for i, x in enumerate(own[:10] + last)}
+
+
 # --- SQL
 
 
