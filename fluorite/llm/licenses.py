@@ -49,7 +49,7 @@ Unless required by applicable law or agreed to in writing, software distributed
 }
 
 #: A line that only says who has the copyright.
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*+(?:copyright\b|\(c\)|©)[^\n]*+$"
+COPYRIGHT = r"(?md)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)[^\n]*+$"
 
 
 def canonical(text: Column) -> Column:

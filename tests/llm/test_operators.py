@@ -253,6 +253,14 @@ def test_licenses(spark, docs_of):
     assert got[4]["line_licenses"] == ["MIT-notice"] and got[4]["n_license_lines"] == 1
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_forms_of_copyright_lines(spark, docs_of, end):
+    forms = ["Copyright 2020 A. Name", "(c) 2020 A. Name", "© 2020 A. Name", " * (C) A. Name", "-- © A. Name"]
+    rows = [(i, f"{form}{end}{end}{KNOWN['ISC']}") for i, form in enumerate(forms)]
+    got = {r["doc_id"]: r["license"] for r in scan_licenses(docs_of(rows), known_licenses(spark)).collect()}
+    assert got == dict.fromkeys(range(len(forms)), "ISC")
+
+
 @pytest.mark.parametrize("inline", [50_000, 0])
 def test_every_window_is_found(spark, docs_of, inline):
     rng = random.Random(3)
