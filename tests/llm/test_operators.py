@@ -17,7 +17,7 @@ from fluorite.llm.jaccard import jaccard_components
 from fluorite.llm.licenses import KNOWN, known_licenses, scan_licenses
 from fluorite.llm.lines import dedup_lines
 from fluorite.llm.mixing import mix_sources
-from fluorite.llm.neighbours import SmallWorld, link_vectors, unit
+from fluorite.llm.neighbours import SmallWorld, build_shard, link_vectors, search_shard, unit
 from fluorite.llm.personal import PATTERNS, find_personal
 from fluorite.llm.quality import fit_field, forward_backward, line_features
 from fluorite.llm.tokens import Merges, TokenCounter
@@ -242,6 +242,26 @@ def test_linked_vectors_against_all_pairs(spark):
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_a_large_group_does_not_hide_lost_small_groups(monkeypatch):
+    rng = np.random.default_rng(2)
+    centre, pairs = rng.standard_normal((1, 32)), rng.standard_normal((100, 32))
+    x = np.concatenate([centre + 0.02 * rng.standard_normal((400, 32)), pairs, pairs + 0.02 * rng.standard_normal((100, 32))])
+    blob, ids, least = build_shard(np.arange(600), x), np.arange(600), 0.95
+    in_group = unit(x) @ unit(centre)[0] > 0.9
+    whole = SmallWorld.within
+
+    def short(self, q, slack, beam):
+        """Small groups' links to others are lost by narrow beams."""
+        i, j = whole(self, q, slack, 64)
+        stays = (q[i] @ unit(centre)[0] > 0.9) | (np.einsum("nd,nd->n", q[i], self.x[j]) > 1 - 1e-6) | (beam > 16)
+        return i[stays], j[stays]
+
+    monkeypatch.setattr(SmallWorld, "within", short)
+    a, b, _, beam = search_shard(blob, ids, x, least)
+    assert in_group.sum() == 400 and beam > 16
+    assert {(i, i + 100) for i in range(400, 500)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 # --- licences, decontamination, lines
 
 
