@@ -235,7 +235,9 @@ def jaccard_components(
         bits = classes.select("cls", "bits")
         both = pairs.join(bits.toDF("a", "xa"), "a").join(bits.toDF("b", "xb"), "b")
         for x, y in (("xa", "xb"), ("xb", "xa")):
-            both = both.withColumn(x, F.expr(f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p | q), {x})"))
+            twice = f"zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p | q)"
+            more = f"transform(sequence(1, size({y})), i -> aggregate(sequence(i, size({x}), size({y})), 0L, (s, j) -> s | element_at({x}, j)))"
+            both = both.withColumn(x, F.expr(f"case when size({x}) > 2 * size({y}) then {more} when size({x}) > size({y}) then {twice} else {x} end"))
         only = "aggregate(zip_with({0}, {1}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)"
         both = both.withColumn("most", F.expr(f"least(na - {only.format('xa', 'xb')}, nb - {only.format('xb', 'xa')})"))
         pairs = materialize(both.where(f"most * {den} >= (na + nb - most) * {num}").select("a", "b", "na", "nb"))

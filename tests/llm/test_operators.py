@@ -213,6 +213,16 @@ def test_components_against_all_pairs(docs_of, k, num, often):
     assert got == dict(enumerate(brute_components(texts, k, num, 100)))
 
 
+def test_components_of_sets_of_unequal_sizes(docs_of):
+    rng = random.Random(4)
+    texts = []
+    for n, more in [(18, 18), (18, 20), (35, 38), (66, 70)] * 3:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n + more)]
+        texts += [" ".join(words[:n]), " ".join(words)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs_of(list(enumerate(texts))), k=3, num=40).collect()}
+    assert got == dict(enumerate(brute_components(texts, 3, 40, 100)))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5000, 5000)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
