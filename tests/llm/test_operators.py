@@ -327,6 +327,28 @@ def test_lines_that_recur_in_other_company(docs_of):
     assert all(got[100 + i][1] == 0 for i in range(50)) and got[200] == (passage, 0)
 
 
+def test_templates_generalise_fields_without_digits(docs_of):
+    rng = random.Random(21)
+    name = lambda: "".join(rng.choice("bcdfghkl") for _ in range(7))
+    own = [own_lines(rng, 3) for _ in range(12)]
+    said = [f"session of user {name()} was closed by the server after a long wait" for _ in own]
+    rows = [(i, "\n".join([x[0], s, *x[1:]])) for i, (x, s) in enumerate(zip(own, said, strict=True))]
+    other = ["session of user " + " ".join(own_lines(rng, 1, 10)) for _ in range(12)]
+    rows += [(100 + i, "\n".join([*own_lines(rng, 3), s])) for i, s in enumerate(other)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in dedup_lines(docs_of(rows)).collect()}
+    assert all(got[i] == ("\n".join(x), 1) for i, x in enumerate(own))  # the name is a field, though it has no digit
+    assert all(got[100 + i][1] == 0 for i in range(12))  # the same node, no template
+
+
+def test_a_text_of_very_many_lines(docs_of):
+    rng = random.Random(22)
+    own = own_lines(rng, 20_000, 2)
+    rows = [(1, "\n".join(x for i, line in enumerate(own) for x in ([line, "said in many texts"] if i % 4 == 0 else [line])))]
+    rows += [(2 + i, "\n".join([*own_lines(rng, 5), "said in many texts"])) for i in range(4)]
+    got = {r["doc_id"]: r for r in dedup_lines(docs_of(rows)).collect()}
+    assert got[1]["text"] == "\n".join(own) and got[1]["n_dropped"] == 5_000 and got[1]["n_lines"] == 25_000
+
+
 def own_lines(rng, n, words=12):
     return [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(words)) for _ in range(n)]
 
