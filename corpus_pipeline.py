@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluorite.llm.common import KEY, attach, materialize, read, release, row_key
+from fluorite.llm.common import KEY, attach, materialize, read
 from fluorite.llm.decontamination import decontaminate
 from fluorite.llm.jaccard import jaccard_components
 from fluorite.llm.lines import dedup_lines
@@ -23,12 +23,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs; n_chars, if there is such a column, follows the text.
 
-    Near copies, as the next stage has them, count as one document.
+    Rows repeated with the same text count as one document; an empty table gives an empty table.
     """
-    texts = docs.select(row_key(F.col("text")).alias(KEY), "text")
-    classes = materialize(jaccard_components(texts, k=5, num=80, den=100, id_col=KEY).select(KEY, F.col("component_id").alias("cls")).distinct())
-    release(spark)
-    kept = dedup_lines(docs, classes=classes)
+    kept = dedup_lines(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
@@ -66,8 +63,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = attach(docs, parts)
     mine = F.filter("found.parts", lambda p: p["source"].eqNullSafe(F.col("row.source")))
     rows = rows.select("row", mine.alias("mine"))
-    repeated = parts.where("size(parts) > 1").isEmpty()
-    place = F.lit(1) if repeated else F.row_number().over(W.partitionBy("row.doc_id", F.xxhash64("row.text"), "row.source").orderBy(F.lit(1)))
+    once = parts.where("size(parts) > 1").isEmpty()
+    place = F.lit(1) if once else F.row_number().over(W.partitionBy("row.doc_id", F.xxhash64("row.text"), "row.source").orderBy(F.lit(1)))
     rows = rows.withColumn("place", place).where("size(mine) >= place").select("row", F.element_at("mine", F.col("place")).alias("mine"))
     return rows.select("row.*", F.col("mine.size").alias("mix_size"), F.col("mine.target").alias("mix_target"), F.col("mine.taken").alias("mix_taken"))
 
