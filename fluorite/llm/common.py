@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["KEY", "ascii_lower", "attach", "held_out", "materialize", "maybe_broadcast", "read", "release", "row_key", "ship", "small"]
+__all__ = ["KEY", "ascii_lower", "attach", "held_out", "materialize", "maybe_broadcast", "read", "row_key", "ship", "small"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A row is told from another by its id and this hash of its text.
@@ -24,24 +23,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage.
 
-    The folder is the one in spark.checkpoint.dir; only where none is set
-    (local tests) a temporary one is used.
+    The folder is the one in spark.checkpoint.dir. Where none is set a local
+    master (tests) gets a temporary one; a cluster, whose machines don't share
+    such a folder, raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ascii_lower(col: Column) -> Column:
-    return F.translate(col, UPPER, LOWER)
+    """Lower case of A-Z alone. Texts without other capitals take the fast way, which changes nothing else in them."""
+    others = col.rlike(r"[\P{ASCII}&&[\p{javaUpperCase}\p{Lt}]]")
+    return F.when(others, F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))
 
 
 def row_key(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, materialize, maybe_broadcast, read, release, row_key, ship, small
+from .common import KEY, materialize, maybe_broadcast, read, row_key, ship, small
 from .graph import connected_components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +205,6 @@ def jaccard_components(
 
     for seed in range(3):
         counts = materialize(texts.select("text").mapInArrow(count_tokens, "bucket int, rest binary").groupBy("bucket").applyInPandas(frequent, "token long, n long"))
-        release(spark)
         least = often
         while not small(counts.where(F.col("n") >= least), most_often):
             least *= 2
@@ -263,7 +262,6 @@ def jaccard_components(
     hubs = materialize(shared.groupBy("token").agg(F.min(F.struct("r", "n", "cls")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "hub.*"))
     stars = shared.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.cls <> y.cls and " + alike("x", "y", without_rare))).select(*named_pair)
     links = linked(met.union(stars))
-    release(spark)
     group = materialize(connected_components(links))
 
     def grouped(df: DataFrame) -> DataFrame:
@@ -276,7 +274,6 @@ def jaccard_components(
     once = "x.token = array_min(array_intersect(x.often, y.often))"  # a pair comes from its first common token only
     rest = apart.alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token and x.component <> y.component and {alike('x', 'y', without_rare)} and {once}")).select(*named_pair)
     more = linked(rest)
-    release(spark)
     if not more.isEmpty():
         group = materialize(connected_components(links.union(more)))
     named = classes.select("cls", F.col("first").alias("own")).join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
