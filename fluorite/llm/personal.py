@@ -45,9 +45,18 @@ def _matches(text: Column, pattern: str, kind: str, within: Column | None = None
     """array<struct<kind, at, gap, value, left, right>>: matches in order, with the text between them."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     flat = lambda c: F.translate(c, "\n\t\r\x0b\x0c", "     ")
-    # the widest context word is 64 characters long
-    before = lambda i: F.substring_index(F.rtrim(flat(F.right(F.get(between, i), F.lit(64)))), " ", -1)
-    after = lambda i: F.substring_index(F.ltrim(flat(F.left(F.get(between, i + 1), F.lit(64)))), " ", 1)
+
+    # most words lie within 64 characters; where no blank shows that one ends there, all of the gap is read
+    def before(i: Column) -> Column:
+        gap = F.get(between, i)
+        near = F.rtrim(flat(F.right(gap, F.lit(64))))
+        return F.substring_index(F.when((F.length(gap) <= 64) | F.contains(near, F.lit(" ")), near).otherwise(F.rtrim(flat(gap))), " ", -1)
+
+    def after(i: Column) -> Column:
+        gap = F.get(between, i + 1)
+        near = F.ltrim(flat(F.left(gap, F.lit(64))))
+        return F.substring_index(F.when((F.length(gap) <= 64) | F.contains(near, F.lit(" ")), near).otherwise(F.ltrim(flat(gap))), " ", 1)
+
     context = kind == "candidate"
     none = F.lit(None).cast("string")
 
@@ -86,8 +95,9 @@ def find_personal(
     Returns id, __row_key (a hash of the text), and base and found: arrays of
     struct (kind, start, end, value), by kind, then start; start counts code
     points, end is exclusive. A row for each row of docs; null and empty texts
-    have empty arrays; repeated rows get the same spans each; empty input: no
-    rows. Other columns of docs are ignored.
+    have empty arrays; repeated rows get the same spans each; long texts are
+    read whole, context words of any length too; empty input: no rows. Other
+    columns of docs are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
@@ -100,7 +110,8 @@ def find_personal(
     placed = materialize(each.withColumn("start", start).withColumn("end", F.col("start") + F.length("value")).where((F.col("kind") != "card") | (F.length("value") >= 13)))
     base = placed.where((F.col("kind") != "candidate") & is_valid(F.col("kind"), F.col("value")))
 
-    # candidates without the signs around them, their shape, and the kind that they are sure to be of
+    # candidates without the signs around them, their shape, and the kind that they are sure to be of;
+    # no shape of a seed has fewer than five signs, so shorter candidates can't be reached
     inner = F.col("inner")
     led = F.length("value") - F.length(F.ltrim(F.col("value"), F.lit(AROUND)))
     some = placed.where("kind = 'candidate'").withColumn("inner", F.trim(F.col("value"), F.lit(AROUND))).where(F.length("inner") >= 5)
@@ -110,7 +121,10 @@ def find_personal(
     some = some.select("id", KEY, "start", "end", F.col("inner").alias("value"), F.md5(inner.cast("binary")).alias("v"), shape.alias("shape"), kind.alias("seed"), F.lower(F.trim(F.col("left"), F.lit(AROUND))).alias("left"), F.lower(F.trim(F.col("right"), F.lit(AROUND))).alias("right"))
     some = materialize(some)
     sides = [some.where(F.length(side) > 0).select(F.concat_ws("|", F.lit(side), F.col(side), "shape").alias("p"), "v", "seed") for side in ("left", "right")]
-    edges = materialize(reduce(DataFrame.union, sides).groupBy("p", "v").agg(F.max("seed").alias("seed")))
+    every = reduce(DataFrame.union, sides)
+    # only patterns with enough seeds can ever be confident; both sums are combined before they are dealt out
+    sown = every.where("seed is not null").groupBy("p", "seed", "v").agg(F.lit(1).alias("one")).groupBy("p", "seed").agg(F.count("one").alias("n")).where(F.col("n") >= least_seeds).select("p").distinct()
+    edges = materialize(every.join(maybe_broadcast(materialize(sown)), "p", "left_semi").groupBy("p", "v").agg(F.max("seed").alias("seed")))
     seeds = edges.where("seed is not null").select("v", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit(1).alias("sure")).distinct()
     degree = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     unsure = edges.where("seed is null").select("p", "v")
