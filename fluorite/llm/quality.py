@@ -31,14 +31,14 @@ for _i, _bytes in enumerate(KINDS.values()):
     _KIND[list(_bytes)] = _i
 #: A share of a line counts as it is and by which of these it is over.
 STEPS = (0.01, 0.05, 0.15, 0.4)
-#: Text bytes whose features are made at a time, longer texts excepted.
+#: Text bytes whose features are made at a time, and lines of a longer text.
 SLAB = 1 << 20
+PIECE = 1 << 15
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line with those of its neighbours, lengths, lines of each text)."""
-    whole = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(whole, np.uint8)
+def own_features(lines: list[bytes], first_of: list[bool], seen: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(features of every line by itself, lengths). first_of: whether a text begins there; seen has the text's lines so far."""
+    data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     kind = _KIND[data]
@@ -47,30 +47,45 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for i in range(len(KINDS)):
         total = np.concatenate([[0], np.cumsum(kind == i, dtype=np.int64)])
         shares.append((total[ends] - total[starts]) / np.maximum(length, 1))
-    lines = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
     repeats, alike = np.zeros(len(length)), np.zeros(len(length))
-    at = 0
-    for t in texts:
-        seen: set[bytes] = set()
-        for line in t.split(b"\n"):
-            words = line.split()
-            if words:
-                repeats[at] = line in seen
-                alike[at] = 1 - len(set(words)) / len(words)
-                seen.add(line)
-            at += 1
+    for at, line in enumerate(lines):
+        if first_of[at]:
+            seen.clear()
+        words = line.split()
+        if words:
+            repeats[at] = line in seen
+            alike[at] = 1 - len(set(words)) / len(words)
+            seen.add(line)
     blank = shares[3]
     per_word = length / (blank * length + 1)
     own = [np.ones(len(length)), np.log1p(length) / 5, length == 0, repeats, alike, *[alike > x for x in (0.3, 0.5, 0.7, 0.85)], np.minimum(per_word, 30) / 10, per_word > 12]
     for s in shares:
         own += [s, *[s > x for x in STEPS]]
-    own = np.column_stack(own).astype(np.float32)
-    last = np.cumsum(lines) - 1
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    before[np.concatenate([[0], last[:-1] + 1])] = 0  # without a neighbour all are 0, the constant too
+    return np.column_stack(own).astype(np.float32), length
+
+
+def _split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    cut = [t.split(b"\n") for t in texts]
+    return [line for lines in cut for line in lines], np.array([len(lines) for lines in cut], np.int64)
+
+
+def _neighbours(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values of the line before and of the line after; 0 at the ends of texts."""
+    last = np.cumsum(counts) - 1
+    before, after = np.zeros_like(values), np.zeros_like(values)
+    before[1:], after[:-1] = values[:-1], values[1:]
+    before[np.concatenate([[0], last[:-1] + 1])] = 0
     after[last] = 0
-    return np.concatenate([own, before, after], axis=1), length, lines
+    return before, after
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line with those of its neighbours, lengths, lines of each text)."""
+    lines, counts = _split(texts)
+    first_of = np.zeros(len(lines), bool)
+    first_of[np.cumsum(counts) - counts] = True
+    own, length = own_features(lines, first_of.tolist(), set())
+    return np.concatenate([own, *_neighbours(own, counts)], axis=1), length, counts
 
 
 @dataclass
@@ -81,9 +96,22 @@ class LineField:
     pairs: np.ndarray
     coefs: np.ndarray
 
-    def marginals(self, features: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of bad against good of every line, lengths, lines of each text), with features of ``PIECE`` lines at a time."""
+        lines, counts = _split(texts)
+        first_of = np.zeros(len(lines), bool)
+        first_of[np.cumsum(counts) - counts] = True
+        by_place = self.weights.reshape(3, -1).T.astype(float)  # for the line itself, as the one before, as the one after
+        seen, score, length = set(), [], []
+        for at in range(0, len(lines), PIECE):
+            own, some = own_features(lines[at : at + PIECE], first_of[at : at + PIECE].tolist(), seen)
+            score.append(own @ by_place)
+            length.append(some)
+        score = np.concatenate(score)
+        return score[:, 0] + _neighbours(score[:, 1], counts)[0] + _neighbours(score[:, 2], counts)[1], np.concatenate(length), counts
+
+    def marginals(self, node: np.ndarray, lines: np.ndarray) -> np.ndarray:
         """Probability of bad for every line."""
-        node = (features @ self.weights).astype(float)
         out = np.empty(len(node))
         starts = np.concatenate([[0], np.cumsum(lines)[:-1]])
         order, at = np.argsort(lines, kind="stable"), 0
@@ -98,9 +126,9 @@ class LineField:
             at = upto
         return out
 
-    def quality(self, features: np.ndarray, length: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    def quality(self, node: np.ndarray, length: np.ndarray, lines: np.ndarray) -> np.ndarray:
         """Share of each text, by length, that is good."""
-        p = self.marginals(features, lines)
+        p = self.marginals(node, lines)
         starts = np.concatenate([[0], np.cumsum(lines)[:-1]]).astype(int)
         weight = length + 1
         return np.add.reduceat((1 - p) * weight, starts) / np.add.reduceat(weight, starts)
@@ -166,13 +194,13 @@ def fit_field(texts: list[bytes], good: np.ndarray, rounds: int = 3, steps: int
     groups = [g for g in np.array_split(order, max(1, len(order) // 256)) if len(g)]
     padded = [_padded(starts[g], lines[g]) for g in groups]
     n = len(length)
-    for turn in range(rounds):
+    for _ in range(rounds):
         theta = np.concatenate([field.weights, field.pairs.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         same = owner[1:] == owner[:-1]
         seen = np.zeros((2, 2))
         np.add.at(seen, (label[:-1][same].astype(int), label[1:][same].astype(int)), 1)
-        for it in range(1, (steps // 3 if turn else steps) + 1):  # later rounds start near their end
+        for it in range(1, steps + 1):
             node = (features @ theta[:-4].astype(np.float32)).astype(float)
             p, expected = np.zeros(n), np.zeros((2, 2))
             for place, mask in padded:
@@ -183,31 +211,44 @@ def fit_field(texts: list[bytes], good: np.ndarray, rounds: int = 3, steps: int
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             theta = theta - rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
         field.weights, field.pairs = theta[:-4].astype(np.float32), theta[-4:].reshape(2, 2)
-        p = field.marginals(features, lines)
+        node = (features @ field.weights).astype(float)
+        p = field.marginals(node, lines)
         worst = np.maximum.reduceat(p, starts)[owner]
         label = (in_bad & ((p >= 0.5) | (p == worst))).astype(float)
-    share = field.quality(features, length, lines)
+    share = field.quality((features @ field.weights).astype(float), length, lines)
     field.coefs = _logistic(_scale(share), good.astype(float), ridge=0.01)
     return field
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3_000, most_bytes: int = 12_000_000) -> LineField:
-    """Fits on about ``most_rows`` labelled rows that are not held out, chosen by a hash of their id, and of those on whole texts up to ``most_bytes``.
-
-    Without rows of both labels every score is the prior: high if there are no bad rows.
+    """Fits on about ``most_rows`` labelled rows that are not held out, chosen by a hash of their id and text.
+
+    ``most_bytes`` bounds the whole texts that are gathered: they are taken in
+    order of the hash up to the first that doesn't fit, so long texts have the
+    same chance as short ones. Of several labels for an id the lesser counts;
+    rows repeated with the same id and text are one. Without rows of both
+    labels (an empty table, say) every score is the prior: high if there are no
+    bad rows.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
-    marks = bounded_sample(marks.where(~held_out(F.col("id"))), most_rows)
+    marks = bounded_sample(marks.where(~held_out(F.col("id"))), most_rows, "id")
     marks = maybe_broadcast(materialize(marks), 2 * most_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id").orderBy(F.xxhash64("id"), "text").select("text", "y")
-    texts, good, total = [], [], 0
-    for r in rows.limit(2 * most_rows).toLocalIterator():
-        text = (r["text"] or "").encode()
-        if total + len(text) > most_bytes:
-            continue
-        total += len(text)
-        texts.append(text)
-        good.append(r["y"] == 1)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marks, "id")
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    sizes = rows.groupBy("h").agg(F.max(F.octet_length("text")).alias("size")).orderBy("h").limit(2 * most_rows).collect()  # two numbers a row
+    total, upto = 0, None
+    for r in sizes:
+        total += r["size"]
+        if total > most_bytes and upto is not None:
+            break
+        upto = r["h"]
+    texts, good, last = [], [], None
+    if upto is not None:
+        for r in rows.where(F.col("h") <= upto).select("h", "text", "y").orderBy("h").toLocalIterator():
+            if r["h"] != last:
+                texts.append(r["text"].encode())
+                good.append(r["y"] == 1)
+            last = r["h"]
     good = np.array(good, bool)
     if not len(good) or good.all() or not good.any():
         width = line_features([b""])[0].shape[1]
@@ -219,7 +260,8 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
     """Returns id, score (0 to 1, higher: better), good_share and n_lines for each row of docs.
 
     Null and empty texts are one empty line. Repeated rows get equal scores.
-    Empty input: no rows. Other columns of docs are ignored.
+    Texts of very many lines are measured in pieces, and then hold some hundred
+    bytes a line. Empty input: no rows. Other columns of docs are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -239,8 +281,8 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
         for batch in batches:
             share, count = [np.empty(0)], [np.empty(0, np.int64)]
             for some in slabs(batch.column(1).cast(pa.large_binary()).to_pylist()):
-                features, length, lines = line_features(some)
-                share.append(field.quality(features, length, lines))
+                node, length, lines = field.scores(some)
+                share.append(field.quality(node, length, lines))
                 count.append(lines)
             good = np.concatenate(share)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(field.score(good)), pa.array(good), pa.array(np.concatenate(count))], ["id", "score", "good_share", "n_lines"])

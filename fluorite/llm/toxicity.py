@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -67,7 +69,12 @@ class Lexicon:
                 low = lowered(text)
             if (start == 0 or not low[start - 1].isalnum()) and (end == len(low) or not low[end].isalnum()):
                 (excused if excuse else found).append((start, end, weight))
-        return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b, _ in excused)]
+        if not excused:
+            return found
+        excused.sort()
+        reach = list(accumulate((b for _, b, _ in excused), max))  # how far the phrases up to each go
+        starts = [a for a, _, _ in excused]
+        return [h for h in found if not (i := bisect_right(starts, h[0])) or reach[i - 1] < h[1]]
 
     def features(self, text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[float, float, int]:
         """Weight of hits over the root of the length in words; the largest weight; hits."""
@@ -82,26 +89,26 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(c[0] + c[1] * density + c[2] * largest, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
-    """Newton's method with a ridge; x has a column of ones first."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Newton's method with a ridge; x has a column of ones first, weight says how often a row counts."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def bounded_sample(rows: DataFrame, bound: int, key: str = "id") -> DataFrame:
-    """At most about ``bound`` rows, chosen by a hash of their id; all of them if there are no more."""
+def bounded_sample(rows: DataFrame, bound: int, *key: str) -> DataFrame:
+    """At most about ``bound`` rows, chosen by a hash of their key; all of them if there are no more. Rows of one key go together."""
     n = rows.count()
     if n <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int((1 << 20) * bound / n)))
+    return rows.where(F.pmod(F.xxhash64(F.lit(n), *key), F.lit(1 << 40)) < F.lit((1 << 40) * bound // n))
 
 
 def train_lexicon(
@@ -111,31 +118,33 @@ def train_lexicon(
     text_col: str = "text",
     label_col: str = "toxic",
     most_rows: int = 20_000,
-    most_terms: int = 500,
     least_docs: int = 3,
 ) -> Lexicon:
     """Learns terms, exception phrases and the scale from labelled rows that are not held out.
 
-    ``most_rows`` bounds the labelled rows that are used. A word is a term if
-    toxic documents have it far oftener than others: a log odds ratio (with 0.5
-    added to each count) of 2 or more, by a lower bound of two standard errors,
-    and in at least ``least_docs`` toxic documents. Its weight is that ratio
-    over the largest. A phrase of a term and its neighbour that is commoner
-    among other documents is an exception. Without rows of both labels there
-    are no terms, and every score is low.
+    ``most_rows`` bounds the labelled rows that are used, and with them all that
+    is learned: about so many ids, and if ids repeat in docs about so many rows
+    of different texts, chosen by hashes. A word is a term if toxic documents
+    have it far oftener than others: a log odds ratio (with 0.5 added to each
+    count) of 2 or more, by a lower bound of two standard errors, and in at
+    least ``least_docs`` toxic documents. Its weight is that ratio over the
+    largest. A phrase of a term and its neighbour that is commoner among other
+    documents is an exception. Of several labels for an id the larger counts.
+    Without rows of both labels (an empty table, say) there are no terms, and
+    every score is low, or high if all rows are toxic.
     """
-    # two labels for an id: the larger; ids that repeat in docs all take it
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    marks = bounded_sample(marks.where(~held_out(F.col("id"))), most_rows)
+    marks = bounded_sample(marks.where(~held_out(F.col("id"))), most_rows, "id")
     marks = maybe_broadcast(materialize(marks), 2 * most_rows)
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(marks, "id").select("text", "y")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(marks, "id")
+    rows = bounded_sample(rows, 2 * most_rows, "id", "text").select("text", "y")
 
     def fold_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, labels_ = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {w for w in (w.strip(".,;:!?\"'()*#%&$") for w in text.translate(_LETTERS).split()) if 2 <= len(w) <= 40 and w.isalpha()}
+                own = {w for w in (w.strip(".,;:!?\"'()*#%&$") for w in text.translate(_LETTERS).split()) if len(w) >= 2 and w.isalpha()}
                 words += own
                 labels_ += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels_, pa.int32())], ["w", "y"])
@@ -148,7 +157,7 @@ def train_lexicon(
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))
     sure = odds - 2 * F.sqrt(1 / a + 1 / b)
-    terms = {r["w"]: float(r["odds"]) for r in counts.select("w", odds.alias("odds"), sure.alias("sure")).where("sure >= 2").orderBy(F.desc("sure"), "w").limit(most_terms).collect()}
+    terms = {r["w"]: float(r["odds"]) for r in counts.select("w", odds.alias("odds"), sure.alias("sure")).where("sure >= 2").orderBy("w").collect()}  # of the bounded sample's words
     largest = max(terms.values(), default=1.0)
     lexicon = Lexicon({w: v / largest for w, v in terms.items()})
     if not terms:
@@ -161,10 +170,10 @@ def train_lexicon(
             got = [lexicon.features(t, automaton) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(1)], ["density", "largest", "y"])
 
-    seen = rows.mapInArrow(measure, "density double, largest double, y int").toPandas()  # about most_rows at most
+    seen = rows.mapInArrow(measure, "density double, largest double, y int").groupBy("density", "largest", "y").count().toPandas()  # about 2 * most_rows at most; rows repeated are one
     seen = seen.sort_values(["density", "largest", "y"])
     x = np.column_stack([np.ones(len(seen)), seen["density"], seen["largest"]])
-    lexicon.coefs = tuple(float(v) for v in _logistic(x, seen["y"].to_numpy(float)))
+    lexicon.coefs = tuple(float(v) for v in _logistic(x, seen["y"].to_numpy(float), weight=seen["count"].to_numpy(float)))
     return lexicon
 
 
@@ -182,25 +191,28 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, pos: int, neg: int, least_doc
                 plain, own = None, set()
                 for start, end, _ in lexicon.hits(text, automaton):
                     plain = plain if plain is not None else folded(text)
-                    before, after = plain[max(0, start - 40) : start].split(" "), plain[end : end + 40].split(" ")
-                    if len(before) > 1 and before[-1] == "" and before[-2].isalpha():
-                        own.add(f"{before[-2]} {plain[start:end]}")
-                    if len(after) > 1 and after[0] == "" and after[1].isalpha():
-                        own.add(f"{plain[start:end]} {after[1]}")
+                    before = plain[plain.rfind(" ", 0, start - 1) + 1 : start - 1] if plain[start - 1 : start] == " " else ""
+                    stop = plain.find(" ", end + 1)
+                    after = plain[end + 1 : stop if stop >= 0 else len(plain)] if plain[end : end + 1] == " " else ""
+                    if before.isalpha():
+                        own.add(f"{before} {plain[start:end]}")
+                    if after.isalpha():
+                        own.add(f"{plain[start:end]} {after}")
                 out += own
                 ys += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(ys, pa.int32())], ["w", "y"])
 
     counts = rows.mapInArrow(phrases, "w string, y int").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     clean = counts.where((F.col("b") >= max(least_docs, 3)) & (F.col("b") / neg > 4 * (F.col("a") + 0.5) / pos))
-    return {r["w"] for r in clean.orderBy(F.desc("b"), "w").limit(1000).collect()}
+    return {r["w"] for r in clean.select("w").collect()}  # of the bounded sample
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """Returns id, score (0 to 1) and n_hits for each row of docs, reading nothing else of it.
 
     Null and empty texts have no hits and the score that goes with that.
-    Repeated rows get equal scores. Empty input: no rows. With ``with_row`` the
+    Repeated rows get equal scores; a long text costs time in proportion to its
+    length and hits. Empty input: no rows. With ``with_row`` the
     struct row follows, with all columns of docs.
     """
     ship(docs.sparkSession)

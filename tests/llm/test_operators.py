@@ -74,6 +74,40 @@ def test_folding_and_exceptions():
     assert lexicon.hits("idiot proof", a) == [] and len(lexicon.hits("idiot$$$", a)) == 1
 
 
+def test_hits_against_plain_search():
+    rng = random.Random(6)
+    lexicon = Lexicon({"ab": 1.0, "ba": 0.5, "ab ba": 0.7}, {"ab ba ab", "ba ba"})
+    a = lexicon.automaton()
+    for _ in range(300):
+        text = " ".join(rng.choice(["ab", "ba", "AB", "c", "abba", "4b"]) for _ in range(rng.randint(0, 12)))
+        low = folded(text)
+
+        def places(phrases, low=low):
+            found = [(m.start(), m.start() + len(p), w) for p, w in phrases for m in re.finditer(f"(?={re.escape(p)})", low)]
+            return [f for f in found if (f[0] == 0 or not low[f[0] - 1].isalnum()) and (f[1] == len(low) or not low[f[1]].isalnum())]
+
+        excused = places([(p, 0) for p in lexicon.exceptions])
+        want = [h for h in places(lexicon.terms.items()) if not any(e[0] <= h[0] and h[1] <= e[1] for e in excused)]
+        assert sorted(lexicon.hits(text, a)) == sorted(want)
+
+
+def test_a_long_text_with_many_excuses_is_quick():
+    import time
+
+    lexicon = Lexicon({"bad": 1.0}, {"bad luck"})
+    start = time.time()
+    assert len(lexicon.hits("bad luck bad " * 100_000, lexicon.automaton())) == 100_000 and time.time() - start < 10
+
+
+def test_long_words_and_many_terms_are_learned(spark, docs_of):
+    from fluorite.llm.toxicity import train_lexicon
+
+    slur = "z" * 70
+    rows = [(i, f"plain words {slur} here" if i % 2 else f"plain words more here {i}") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert slur in train_lexicon(docs_of(rows), labels).terms
+
+
 @tables
 @pytest.mark.parametrize(("name", "label", "least"), [("op2_toxicity", "toxic", 0.9), ("op4_line_quality", "quality", 0.85)])
 def test_held_out_labels(spark, name, label, least):
@@ -95,6 +129,37 @@ def test_forward_backward_against_all_labellings():
     assert np.isclose(expected[1, 1], sum(w * sum(y[i] and y[i + 1] for i in range(3)) for w, y in zip(weight, every, strict=True)) / weight.sum())
 
 
+def test_scores_in_pieces_against_plain_products(monkeypatch):
+    from fluorite.llm import quality
+
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["", "a b c", "BUY NOW!!", "x y z w", "%% $$ 12"]) for _ in range(n)).encode() for n in (1, 3, 40, 7, 1, 90)]
+    features, length, lines = quality.line_features(texts)
+    field = quality.LineField(np.random.default_rng(0).standard_normal(features.shape[1]).astype(np.float32), np.array([[0.4, -0.2], [-0.3, 0.6]]), np.zeros(3))
+    whole = features.astype(float) @ field.weights
+    monkeypatch.setattr(quality, "PIECE", 8)
+    node, own_length, own_lines = field.scores(texts)
+    assert np.allclose(node, whole, atol=1e-4) and (length == own_length).all() and (lines == own_lines).all()
+    at = 0
+    for n, share in zip(lines, field.quality(node, length, lines), strict=True):  # padded batches against texts by themselves
+        _, p, _ = forward_backward(whole[None, at : at + n], np.ones((1, n), bool), field.pairs)
+        assert np.isclose(share, ((1 - p[0]) * (length[at : at + n] + 1)).sum() / (length[at : at + n] + 1).sum(), atol=1e-5)
+        at += n
+
+
+def test_a_text_of_line_breaks_stays_small():
+    import tracemalloc
+
+    from fluorite.llm import quality
+
+    field = quality.LineField(np.zeros(3 * quality.own_features([b""], [True], set())[0].shape[1], np.float32), np.zeros((2, 2)), np.zeros(3))
+    tracemalloc.start()
+    node, length, lines = field.scores([b"\n" * 400_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(node) == lines[0] == 400_001 and peak < 400 * len(node)
+
+
 def test_bad_lines_lower_quality():
     rng = random.Random(0)
     line = lambda: " ".join(rng.choice(["the", "of", "and", "river", "stone"]) for _ in range(12)) + "."
@@ -102,7 +167,7 @@ def test_bad_lines_lower_quality():
     good = ["\n".join(line() for _ in range(5)) for _ in range(40)]
     bad = ["\n".join([line()] + [junk() for _ in range(4)]) for _ in range(40)]
     field = fit_field([t.encode() for t in good + bad], np.array([True] * 40 + [False] * 40))
-    share = field.quality(*line_features([t.encode() for t in good + bad]))
+    share = field.quality(*field.scores([t.encode() for t in good + bad]))
     assert field.score(share)[:40].min() > 0.5 > field.score(share)[40:].max()
 
 
@@ -142,6 +207,14 @@ def test_patterns_find_unseen_identifiers(docs_of):
     assert found[100] == [("ip", "300.301.302.99")] and found[101] == []
 
 
+def test_context_words_of_any_length(docs_of):
+    long = "z" * 70
+    rows = [(i, f"aaaaaaa{long} {100 + i}.{200 + i % 50}.44.11 x") for i in range(30)]
+    rows += [(100, f"aaaaaaa{long} 300.301.44.11 x"), (101, f"bbbbbbb{long} 300.302.44.11 y")]
+    found = {r["doc_id"]: [s["value"] for s in r["found"]] for r in find_personal(docs_of(rows), least_patterns=1).collect()}
+    assert found[100] == ["300.301.44.11"] and found[101] == []
+
+
 # --- mixing
 
 
