@@ -6,13 +6,22 @@ transitions that open a piece. What it must see to the right (a contraction, the
 end of white space) is bounded and folded into the input symbol. Text is cut
 into chunks; each chunk becomes a map from any state to the state after it, the
 maps are composed by a parallel prefix scan, and then all chunks emit at once.
-The second machine reads a piece; its closing transition is annotated with the
-number of tokens the merges leave. Its paths are compiled as they are met.
+
+The second machine reads the bytes of pieces, and each transition carries the
+number of tokens that its byte adds (0 or less where tokens grow together). It
+rests on a property of byte-pair encoding: a sequence of tokens is the encoding
+of its bytes exactly if every two neighbours are (see Vocabulary.border), so the
+last token of every prefix follows from earlier prefixes' last tokens. A state
+is what can still matter of them: for every place from which a token may still
+run on, where in the vocabulary's tree it is, the last token before it and how
+many tokens lie between. States and transitions are compiled when they are
+first met. An opening resets the machine, so a chunk's map is constant from its
+first opening on: chunks are read from there at once, then their heads from the
+state that the chunk before hands on.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -32,9 +41,11 @@ FREE, IN_L, IN_N, IN_O, JOINED, IN_B, ONE, TWO = range(8)
 N_SYMBOLS, N_STATES = 9, 8
 CHUNK = 256
 #: Characters that are turned into arrays at a time, longer texts excepted.
-SLAB = 1 << 20
-#: Compiled paths that a worker keeps.
-PATHS = 1 << 20
+SLAB = 1 << 19
+#: Compiled states that a worker keeps from one slab to the next; 1 KB each.
+STATES = 1 << 17
+#: Rounds in which all chunks pass their states on at once; the rest is read in order.
+ROUNDS = 8
 
 # Unicode's White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -119,67 +130,178 @@ def openings(symbol: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out.T.reshape(-1)[: len(symbol)])
 
 
-class Merges:
-    """Number of tokens of a piece, by byte-pair merges in order of rank."""
+def shown_bytes() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Vocabulary:
+    """Tokens in order of their merges, 0 to 255 the bytes; a tree of those that encode themselves."""
+
+    def __init__(self, merges: list[tuple[str, str]]) -> None:
+        shown = shown_bytes()
+        names = {c: b for c, b in shown.items()}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.parts: list[tuple[int, int] | None] = [None] * 256
+        spelled: list[bytes] = [bytes([b]) for b in range(256)]
+        for x, y in merges:
+            if x + y in names or x not in names or y not in names:
+                raise ValueError("merges that make a token twice or of unknown parts aren't supported")
+            token = len(self.parts)
+            self.rank[names[x], names[y]] = token
+            self.parts.append((names[x], names[y]))
+            spelled.append(spelled[names[x]] + spelled[names[y]])
+            names[x + y] = token
+        self.known: dict[int, bool] = {}
+        own = [True] * 256
+        for token in range(256, len(self.parts)):
+            x, y = self.parts[token]
+            own.append(own[x] and own[y] and self.border(x, y, token, token))
+        # the tree: child of (node * 256 + byte), token that ends at a node, and whether the node goes on
+        self.child: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        self.goes_on: list[bool] = [True]
+        for token, letters in enumerate(spelled):
+            if own[token]:
+                node = 0
+                for b in letters:
+                    self.goes_on[node] = True
+                    node = self.child.setdefault(node << 8 | b, len(self.token))
+                    if node == len(self.token):
+                        self.token.append(-1)
+                        self.goes_on.append(False)
+                self.token[node] = token
+
+    def border(self, x: int, y: int, made_x: int = 1 << 40, made_y: int = 1 << 40) -> bool:
+        """Whether no merge joins x and y across their border while they are made.
+
+        Going back in time the later of the two last merges beside the border is
+        undone. In between the two tokens beside it stand side by side; a merge
+        of them would come first if it is before those that used them up, and in
+        a tie if it is to their left.
+        """
+        rank, parts = self.rank, self.parts
+        while True:
+            joined = rank.get((x, y))
+            if joined is not None and joined < made_x and joined <= made_y:
+                return False
+            if x > y:
+                if x < 256:
+                    return True
+                made_x, x = x, parts[x][1]
+            else:
+                if y < 256:
+                    return True
+                made_y, y = y, parts[y][0]
+
+    def neighbours(self, x: int, y: int) -> bool:
+        key = x << 32 | y
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) > 1 << 20:
+                self.known.clear()
+            found = self.known[key] = self.border(x, y)
+        return found
+
+
+class Transducer:
+    """The second machine, compiled as it is run. State 0 opens a piece."""
 
     def __init__(self, merges: list[tuple[str, str]]) -> None:
-        self.rank = {tuple(pair): i for i, pair in enumerate(merges)}
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        shown = {b: chr(b) for b in plain}
-        for i, b in enumerate(b for b in range(256) if b not in shown):
-            shown[b] = chr(256 + i)
-        self.shown = {b: shown[b] for b in range(256)}
-        self.paths: dict[str, int] = {}
-
-    def __call__(self, piece: str) -> int:
-        parts = list(piece.encode().decode("latin-1").translate(self.shown))
-        return self._short(parts) if len(parts) < 64 else self._long(parts)
-
-    def _short(self, parts: list[str]) -> int:
-        """Merges the first of the pairs of least rank, again and again."""
-        get, none = self.rank.get, 1 << 30
-        ranks = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == none:
+        self.vocabulary = Vocabulary(merges)
+        self.reset()
+
+    def reset(self) -> None:
+        #: What a state knows: (node, last token before it or -1, tokens since), the last place first.
+        self.states: list[tuple[tuple[int, int, int], ...]] = [((0, -1, 0),)]
+        self.number = {self.states[0]: 0}
+        self.table = np.full(1 << 18, -1, np.int32)
+        self.emits = np.zeros(1 << 10, np.int8)
+
+    def compile(self, key: int) -> int:
+        v, after, token, count = self.vocabulary, [], -1, 0
+        byte, neighbours = key & 255, self.vocabulary.neighbours
+        for node, last, since in self.states[key >> 8]:
+            node = v.child.get(node << 8 | byte)
+            if node is not None:
+                if token < 0 and (t := v.token[node]) >= 0 and (last < 0 or neighbours(last, t)):
+                    token, count = t, since
+                if v.goes_on[node]:
+                    after.append((node, last, since))
+        emitted = 1 - count
+        state = ((0, token, 0), *[(node, last, since + emitted) for node, last, since in after], emitted)
+        at = self.number.setdefault(state, len(self.states))
+        if at == len(self.states):
+            self.states.append(state[:-1])
+            if at == len(self.emits):
+                self.emits = np.concatenate([self.emits, np.zeros_like(self.emits)])
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            self.emits[at] = emitted
+        self.table[key] = at
+        return at
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        key = state.astype(np.intp) << 8 | byte
+        after = self.table[key]
+        new = after < 0
+        if new.any():
+            for k in np.unique(key[new]).tolist():
+                self.compile(k)
+            after = self.table[key]
+        return after
+
+    def run(self, data: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """The tokens that every byte adds; opens: bytes with which a piece begins, the first one too."""
+        n = -(-len(data) // CHUNK)
+        grid, fresh = (np.zeros(n * CHUNK, d) for d in (np.uint8, bool))
+        grid[: len(data)], fresh[: len(data)] = data, opens
+        fresh[len(data) :] = True
+        grid, fresh = (np.ascontiguousarray(v.reshape(n, CHUNK).T) for v in (grid, fresh))
+        states = np.full((CHUNK, n), -1, np.int32)
+        lanes, state = np.empty(0, np.intp), np.empty(0, np.int32)
+        for j in range(CHUNK):  # each chunk from its first opening, whatever comes before
+            new = np.flatnonzero(fresh[j] & (states[j - 1] < 0)) if j else np.flatnonzero(fresh[0])
+            if len(new):
+                lanes, state = np.concatenate([lanes, new]), np.concatenate([state, np.zeros(len(new), np.int32)])
+            state = self.step(np.where(fresh[j, lanes], 0, state), grid[j, lanes])
+            states[j, lanes] = state
+        came = np.full(n, -1, np.int32)
+        for _ in range(ROUNDS):  # and up to there from the state that the chunk before hands on
+            comes = np.concatenate([came[:1], states[-1, :-1]])
+            lanes = np.flatnonzero((comes != came) & ~fresh[0])
+            if not len(lanes):
                 break
-            i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), none)
-        return len(parts)
-
-    def _long(self, parts: list[str]) -> int:
-        """With a heap over a linked list: n log n."""
-        n = len(parts)
-        left, right, rank = list(range(-1, n - 1)), list(range(1, n + 1)), self.rank
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        count = n
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if parts[i] != a or j >= n or parts[j] != b:
-                continue
-            parts[i], parts[j] = a + b, ""
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            count -= 1
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := rank.get((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return count
+            came = comes
+            self._read_on(grid, fresh, states, lanes, comes[lanes])
+        for k in np.flatnonzero(states[0] < 0).tolist():  # what is left of very long pieces
+            at = int(states[-1, k - 1])
+            for j, byte in enumerate(grid[:, k].tolist()):
+                if fresh[j, k]:
+                    break
+                key = at << 8 | byte
+                at = int(self.table[key])
+                if at < 0:
+                    at = self.compile(key)
+                states[j, k] = at
+        return self.emits[states].T.reshape(-1)[: len(data)]
+
+    def _read_on(self, grid: np.ndarray, fresh: np.ndarray, states: np.ndarray, lanes: np.ndarray, state: np.ndarray) -> None:
+        """Reads the heads of chunks, up to their first opening."""
+        for j in range(CHUNK):
+            on = ~fresh[j, lanes]
+            lanes, state = lanes[on], state[on]
+            if not len(lanes):
+                return
+            state = states[j, lanes] = self.step(state, grid[j, lanes])
 
 
 class TokenCounter:
     """Counts of whole texts. special: strings that are one token wherever they stand."""
 
     def __init__(self, merges: list[tuple[str, str]], special: list[str]) -> None:
-        self.merges, self.special = Merges(merges), sorted(special, key=len, reverse=True)
+        self.machine, self.special = Transducer(merges), sorted(special, key=len, reverse=True)
 
     @staticmethod
     def parameters(file: str) -> tuple[list[tuple[str, str]], list[str]]:
@@ -223,21 +345,19 @@ class TokenCounter:
         ends = np.cumsum([len(s) + 1 for _, s in segments]) - 1
         codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         opened = openings(symbols(codes, ends))
-        stops = np.union1d(opened, ends)
-        starts = stops[:-1]
-        paths = self.merges.paths
-        if len(paths) > PATHS:
-            paths.clear()
-        inside = ~np.isin(starts, ends, assume_unique=True)
-        pieces = [whole[a:b] for a, b in zip(starts[inside].tolist(), stops[1:][inside].tolist(), strict=True)]
-        for p in set(pieces).difference(paths):
-            paths[p] = self.merges(p)
-        n = np.fromiter(map(paths.__getitem__, pieces), np.int64, len(pieces))
-        owner = np.searchsorted(ends, starts[inside])
-        for (i, _), total in zip(segments, np.bincount(owner, n, len(segments)).astype(np.int64).tolist(), strict=True):
+        width = 1 + (codes >= 0x80) + (codes >= 0x800).astype(np.int64) + (codes >= 0x10000)
+        place = np.cumsum(width) - width  # of characters among the bytes
+        data = np.frombuffer(whole.encode(), np.uint8)
+        opens = np.zeros(len(data), bool)
+        opens[place[opened]] = True
+        opens[place[ends]] = True  # what stands between texts is a piece of its own
+        if len(self.machine.states) > STATES:
+            self.machine.reset()
+        emitted = self.machine.run(data, opens)
+        starts = np.concatenate([[0], place[ends[:-1]] + 1])
+        totals = np.add.reduceat(emitted, starts, dtype=np.int64) - emitted[place[ends]]
+        for (i, _), total in zip(segments, totals.tolist(), strict=True):
             counts[i] += total
-        for p in [p for p in paths if len(p) > 256] if len(pieces) and max(map(len, pieces)) > 256 else []:
-            del paths[p]  # long pieces don't come again
 
 
 _counters: dict[str, TokenCounter] = {}

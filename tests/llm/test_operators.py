@@ -20,7 +20,7 @@ from fluorite.llm.mixing import mix_sources
 from fluorite.llm.neighbours import SmallWorld, build_shard, link_vectors, search_shard, unit
 from fluorite.llm.personal import PATTERNS, find_personal
 from fluorite.llm.quality import fit_field, forward_backward, line_features
-from fluorite.llm.tokens import Merges, TokenCounter
+from fluorite.llm.tokens import TokenCounter
 from fluorite.llm.toxicity import Lexicon, folded
 
 SF = "/root/testdata/sf0.001"
@@ -55,12 +55,44 @@ def test_counts_of_any_text(both, text):
     assert ours([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
-def test_long_and_short_merges_agree(both):
-    merges: Merges = both[1].merges
+def test_long_pieces_without_an_end(both):
+    library, ours = both
     rng = random.Random(2)
-    for _ in range(200):
-        parts = [rng.choice("abcdethon") for _ in range(rng.randint(1, 60))]
-        assert merges._short(list(parts)) == merges._long(list(parts))
+    texts = ["x" * 30_001, "ab" * 9_000, "é" * 4_000, "".join(rng.choice("abcdethon") for _ in range(20_000)), "=-" * 7_000, "日本" * 3_000]
+    assert ours(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counts_when_states_are_dropped(both, monkeypatch):
+    from fluorite.llm import tokens
+
+    library, ours = both
+    monkeypatch.setattr(tokens, "STATES", 10)
+    monkeypatch.setattr(tokens, "SLAB", 50)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abst'rvelmd  \n.!1é") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    assert ours(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_neighbours_against_merging(both):
+    """Two tokens stay as they are side by side exactly if merging their bytes by rank gives them back."""
+    v = both[1].machine.vocabulary
+
+    def spell(t):
+        return [t] if v.parts[t] is None else spell(v.parts[t][0]) + spell(v.parts[t][1])
+
+    def merged(units):
+        while True:
+            found = [(v.rank[p], i) for i, p in enumerate(zip(units, units[1:], strict=False)) if p in v.rank]
+            if not found:
+                return units
+            token, i = min(found)
+            units[i : i + 2] = [token]
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        x, y = (rng.choice([rng.randrange(256), rng.randrange(2000), rng.randrange(len(v.parts))]) for _ in range(2))
+        if merged(spell(x)) == [x] and merged(spell(y)) == [y]:
+            assert v.neighbours(x, y) == (merged(spell(x) + spell(y)) == [x, y]), (x, y)
 
 
 # --- toxicity and quality
