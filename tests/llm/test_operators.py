@@ -385,7 +385,31 @@ def test_licenses(spark, docs_of):
     rows = [(1, "MIT License\n"), (2, f"Copyright (c) 2020 A. Name\n\n{text}"), (3, KNOWN["ISC"] + " more"), (4, "words\nReleased under the MIT licence!\nwords")]
     got = {r["doc_id"]: r for r in scan_licenses(docs_of(rows), known_licenses(spark)).collect()}
     assert got[2]["license"] == "MIT" and got[1]["license"] is None and got[3]["license"] is None
-    assert got[4]["line_licenses"] == ["MIT-notice"] and got[4]["n_license_lines"] == 1
+    assert got[4]["notices"] == ["MIT"] and got[4]["n_notice_lines"] == 1 and got[4]["license"] is None
+
+
+@pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_published_licences_by_digest(spark, docs_of, file, name):
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    text = path.read_text()
+    rows = [(1, text), (2, "(c) 2020 A. Name\n" + " ".join(text.upper().split(" "))), (3, text.replace("\n", "\r\n ")), (4, text + " more")]
+    got = {r["doc_id"]: r["license"] for r in scan_licenses(docs_of(rows), known_licenses(spark)).collect()}
+    assert got == {1: name, 2: name, 3: name, 4: None}
+
+
+def test_licences_in_both_engines(spark, docs_of, tmp_path):
+    """The query's SQL and the operator on texts that the driver's tables don't hold."""
+    forms = ["(c) 2020 Foo Inc\nAll rights reserved.", "© 2021 Bar\n\nall RIGHTS reserved", "Copyright Foo\n" + KNOWN["BSD-3-Clause"], KNOWN["Unlicense"].replace("\n", "\n\n  "), "sublicence \n\n organised", "Licensed under CC BY-NC 4.0.\nx\nLicensed under CC BY NC 4 0", "", "\n\n", None, "noncommercial programme\nReleased under the MIT licence"]
+    (tmp_path / "t").mkdir()
+    docs_of(list(enumerate(forms))).coalesce(1).write.parquet(str(tmp_path / "t/documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/t/documents.parquet/*.parquet'")
+    result = con.execute(queries.SQL["op7_license_scan"])
+    names = [d[0] for d in result.description]
+    df = queries.QUERIES["op7_license_scan"](spark, str(tmp_path / "t")).select(*names)
+    assert sorted(map(tuple, df.collect())) == sorted(result.fetchall())
 
 
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
