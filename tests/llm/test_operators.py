@@ -377,6 +377,34 @@ def test_a_large_group_does_not_hide_lost_small_groups(monkeypatch):
     assert {(i, i + 100) for i in range(400, 500)} <= set(zip(a.tolist(), b.tolist(), strict=True))
 
 
+def test_a_forest_holds_the_same_nodes():
+    from fluorite.llm.neighbours import forest
+
+    rng = random.Random(9)
+    pairs = np.array([(rng.randrange(40), rng.randrange(40) + 40 * (k % 3)) for k in range(300)])
+    a, b = forest(pairs[:, 0], pairs[:, 1])
+
+    def groups(edges):
+        up = {}
+        top = lambda i: i if up.setdefault(i, i) == i else top(up[i])
+        for x, y in edges:
+            up[max(top(x), top(y))] = min(top(x), top(y))
+        return {i: top(i) for i in list(up)}
+
+    assert groups(zip(a.tolist(), b.tolist(), strict=True)) == groups(map(tuple, pairs.tolist())) and len(a) < len(np.unique(pairs))
+
+
+def test_many_small_shards_give_the_same_links(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 16)), 200, axis=0) + 0.01 * rng.standard_normal((200, 16)), rng.standard_normal((200, 16))])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    for size in (64 << 20, 128 * 40):
+        got = {r["vec_id"]: r for r in link_vectors(vectors, shard_bytes=size, part_size=100).collect()}
+        assert [got[i]["n_links"] for i in range(400)] == links.tolist() and all(got[i]["component_id"] == 0 for i in range(200)) and got[0]["audited_recall"] >= 0.98
+
+
 # --- licences, decontamination, lines
 
 
