@@ -88,6 +88,7 @@ def jaccard_components(
     orders: int = 3,
     often: int = 16,
     most_often: int = 1 << 20,
+    bucket_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     with_key: bool = False,
@@ -95,19 +96,24 @@ def jaccard_components(
     """Groups of documents whose sets of k-word shingles have a Jaccard similarity of num / den or more.
 
     1. Documents with the same set are one class, so copies cost no pairs.
-    2. Tokens (shingles) of all documents are counted. Global orders put tokens
-       that ``often`` or more documents have last, and go by a hash otherwise;
-       ``often`` is doubled until at most ``most_often`` tokens are last. To
-       link, two sets must share one of their first n - ceil(n * num / den) + 1
-       tokens under every order; any order gives the same links.
-    3. Classes that share a rare token of the first order are paired: a token
-       has fewer than ``often`` classes, so pairs grow with the input.
+    2. Tokens (shingles) of all documents are counted, in buckets whose number
+       follows the size of all texts (``bucket_bytes`` of text a bucket). Global
+       orders put the most frequent tokens last: those of ``often`` documents or
+       more, or the most frequent ``most_often`` or so of them (their table is
+       broadcast). The others go by a hash. To link, two sets must share one of
+       their first n - ceil(n * num / den) + 1 tokens under every order; any
+       order gives the same links.
+    3. Classes that share a rare token of the first order are paired. A token
+       that more than ``often`` classes put first is crowded, and pairs only
+       with its hub at first: the class with the fewest rare tokens; links make
+       components. Then classes in other components than their hub's are paired
+       with those that share a token of the second order too.
     4. Two sets without a common rare token share at most their frequent tokens,
-       and so must have few rare ones. Each class is first tried against a hub of
-       each of its frequent tokens, the class with the fewest rare tokens; links
-       make components. Then classes in other components than their hub's are
-       paired with what else of that token the counts of rare tokens allow. So a
-       large group of near copies doesn't give all its pairs.
+       and so must have few rare ones. Each class is tried against a hub of each
+       of its frequent tokens as well. Then classes in other components than
+       their hub's are paired with what else of that token the counts of rare
+       tokens allow. So a large group of near copies doesn't give all its pairs,
+       and pairs of a token don't grow with the square of its documents.
     5. Bitmaps of the sets bound what a pair shares. Pairs that may still link
        go through the filters under the other orders; the rest are verified on
        whole sets. Components are made from all links.
@@ -123,15 +129,17 @@ def jaccard_components(
     spark = ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(text_col)).alias("key"))
     steps = np.arange(orders, dtype=np.uint64) * _GOLD
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(24, max(12, (total // bucket_bytes).bit_length()))
 
     def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The 44 upper bits of all tokens, dealt by 12 of them, as packed numbers of the other 32."""
+        """The upper bits of all tokens, dealt by the first few, as packed numbers of the 32 that follow."""
         shingle = Shingler(k, seed)
 
         def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
             token = np.sort(np.concatenate(parts))
-            bucket = (token >> np.uint64(52)).astype(np.int32)
-            rest = (token >> np.uint64(20)).astype(np.uint32)
+            bucket = (token >> np.uint64(64 - bits)).astype(np.int32)
+            rest = (token >> np.uint64(32 - bits)).astype(np.uint32)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             groups = np.split(rest, cuts)
             return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts]).astype(int)]), pa.array([g.tobytes() for g in groups], pa.binary())], ["bucket", "rest"])
@@ -158,7 +166,7 @@ def jaccard_components(
     def is_frequent(s: np.ndarray, last: np.ndarray) -> np.ndarray:
         if not len(last) or not len(s):
             return np.zeros(len(s), bool)
-        upper = s >> np.uint64(20)
+        upper = s >> np.uint64(32 - bits)
         return last[np.minimum(np.searchsorted(last, upper), len(last) - 1)] == upper
 
     def in_order(s: np.ndarray, frequent: np.ndarray, order: int) -> np.ndarray:
@@ -187,9 +195,10 @@ def jaccard_components(
                     pa.array([d[1] for d in digests], pa.int64()),
                     _lists([s[f[~m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
                     _lists([s[f[m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
+                    _lists([s[in_order(s, m, 1)] if len(s) else s for s, m in zip(sets, marks, strict=True)]),
                     _lists([_bitmap(s) if len(s) else s for s in sets]),
                 ],
-                ["id", "key", "n", "r", "cls", "more", "rare", "often", "bits"],
+                ["id", "key", "n", "r", "cls", "more", "rare", "often", "second", "bits"],
             )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +219,9 @@ def jaccard_components(
             least *= 2
         found = counts.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64)  # most_often at most
         hot = spark.sparkContext.broadcast(np.sort(found.astype(np.uint64)))
-        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("key", "n", "r", "cls", "more")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "often", "bits")])
+        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("key", "n", "r", "cls", "more")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "often", "second", "bits")])
         rows = materialize(texts.mapInArrow(prefixes, schema))
-        classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.first("bits").alias("bits"), F.min("more").alias("m0"), F.max("more").alias("m1"))
+        classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.first("bits").alias("bits"), F.first("often").alias("often"), F.first("second").alias("second"), F.min("more").alias("m0"), F.max("more").alias("m1"))
         classes = materialize(classes)
         if classes.where("m0 <> m1").isEmpty():
             break
@@ -224,9 +233,12 @@ def jaccard_components(
         most = most or f"least({a}.n, {b}.n)"
         return f"({most}) * {den} >= ({a}.n + {b}.n - ({most})) * {num}"
 
-    def postings(kind: str, *more: str) -> DataFrame:
-        each = rows.where("cls is not null").select("cls", "n", "r", *more, F.explode(kind).alias("token"))
-        return each.repartition("token").dropDuplicates(["token", "cls"])
+    def postings(kind: str) -> DataFrame:
+        return rows.where("cls is not null").select("cls", "n", "r", F.explode(kind).alias("token")).dropDuplicates(["token", "cls"])
+
+    def hubs_of(kind: DataFrame, least: int) -> DataFrame:
+        found = kind.groupBy("token").agg(F.min(F.struct("r", "n", "cls")).alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > least)
+        return materialize(found.select("token", "hub.*"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) that pass all filters and are similar enough."""
@@ -255,24 +267,36 @@ def jaccard_components(
         return materialize(checked.where(F.col("c") * den >= (F.col("na") + F.col("nb") - F.col("c")) * num).select("a", "b"))
 
     named_pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.expr("if(x.cls < y.cls, x.n, y.n)").alias("na"), F.expr("if(x.cls < y.cls, y.n, x.n)").alias("nb")]
-    rare = postings("rare")
-    met = rare.alias("x").join(rare.alias("y"), F.expr("x.token = y.token and x.cls < y.cls and " + alike("x", "y"))).select(*named_pair)
     without_rare = "least(x.n - x.r, y.n - y.r)"
-    shared = materialize(postings("often", "often"))
-    hubs = materialize(shared.groupBy("token").agg(F.min(F.struct("r", "n", "cls")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "hub.*"))
-    stars = shared.alias("x").join(hubs.alias("y"), F.expr("x.token = y.token and x.cls <> y.cls and " + alike("x", "y", without_rare))).select(*named_pair)
-    links = linked(met.union(stars))
+    rare, shared = materialize(postings("rare")), materialize(postings("often"))
+    crowds, hubs = hubs_of(rare, often), hubs_of(shared, 1)
+    crowded = maybe_broadcast(crowds.select("token"))
+    crowd, thin = rare.join(crowded, "token", "left_semi"), rare.join(crowded, "token", "left_anti")
+    met = thin.alias("x").join(thin.alias("y"), F.expr("x.token = y.token and x.cls < y.cls and " + alike("x", "y"))).select(*named_pair)
+
+    def stars(kind: DataFrame, centres: DataFrame, most: str | None = None) -> DataFrame:
+        return kind.alias("x").join(maybe_broadcast(centres).alias("y"), F.expr("x.token = y.token and x.cls <> y.cls and " + alike("x", "y", most))).select(*named_pair)
+
+    links = linked(met.union(stars(shared, hubs, without_rare)).union(stars(crowd, crowds)))
     group = materialize(connected_components(links))
 
     def grouped(df: DataFrame) -> DataFrame:
         found = df.join(group.select(F.col("node").alias("cls"), "component"), "cls", "left")
         return found.withColumn("component", F.coalesce("component", "cls"))
 
-    placed = grouped(shared).join(grouped(hubs).select("token", F.col("component").alias("main")), "token")
-    placed = materialize(placed)
-    apart = placed.where("component <> main")
-    once = "x.token = array_min(array_intersect(x.often, y.often))"  # a pair comes from its first common token only
-    rest = apart.alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token and x.component <> y.component and {alike('x', 'y', without_rare)} and {once}")).select(*named_pair)
+    def apart_and_all(kind: DataFrame, centres: DataFrame, also: str) -> tuple[DataFrame, DataFrame]:
+        """Classes in another component than their hub's, and all classes of those tokens; with the tokens ``also``."""
+        placed = materialize(grouped(kind).join(maybe_broadcast(grouped(centres).select("token", F.col("component").alias("main"))), "token"))
+        some = materialize(placed.where("component <> main"))
+        tokens = some.select("token").distinct()
+        more = classes.select("cls", F.col(also).alias("also"))
+        return some.join(more, "cls"), placed.join(maybe_broadcast(materialize(tokens)), "token", "left_semi").join(more, "cls")
+
+    apart, every = apart_and_all(shared, hubs, "often")
+    once = "x.token = array_min(array_intersect(x.also, y.also))"  # a pair comes from its first common token only
+    rest = apart.alias("x").join(every.alias("y"), F.expr(f"x.token = y.token and x.component <> y.component and {alike('x', 'y', without_rare)} and {once}")).select(*named_pair)
+    apart, every = (df.withColumn("also", F.explode("also")) for df in apart_and_all(crowd, crowds, "second"))
+    rest = rest.union(apart.alias("x").join(every.alias("y"), F.expr(f"x.token = y.token and x.also = y.also and x.component <> y.component and {alike('x', 'y')}")).select(*named_pair))
     more = linked(rest)
     if not more.isEmpty():
         group = materialize(connected_components(links.union(more)))

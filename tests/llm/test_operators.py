@@ -300,8 +300,8 @@ def brute_components(texts, k, num, den):
     return [(len(sets[i]), top(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("k", "num", "often"), [(3, 90, 16), (3, 90, 2), (5, 80, 4)])
-def test_components_against_all_pairs(docs_of, k, num, often):
+@pytest.mark.parametrize(("k", "num", "often", "most"), [(3, 90, 16, 1 << 20), (3, 90, 2, 1 << 20), (5, 80, 4, 1 << 20), (5, 80, 2, 40), (3, 90, 2, 0)])
+def test_components_against_all_pairs(docs_of, k, num, often, most):
     rng = random.Random(k * often)
     words = [f"w{i}" for i in range(400)]
     passage = [rng.choice(words) for _ in range(40)]
@@ -314,7 +314,7 @@ def test_components_against_all_pairs(docs_of, k, num, often):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             texts.append(" ".join(copy) + rng.choice(["", " end"]))
     texts += [" ".join(passage)] * 3 + ["A b", "a  B", "", None]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs_of(list(enumerate(texts))), k=k, num=num, often=often).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs_of(list(enumerate(texts))), k=k, num=num, often=often, most_often=most, bucket_bytes=1000).collect()}
     assert got == dict(enumerate(brute_components(texts, k, num, 100)))
 
 
