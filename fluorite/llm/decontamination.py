@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, ascii_lower, materialize, maybe_broadcast, read, row_key, small
+from .common import KEY, ascii_lower, materialize, maybe_broadcast, read, row_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -16,24 +16,49 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _doubled(df: DataFrame, base: str, prefix: str, width: int, join) -> tuple[DataFrame, str]:
-    """A column over every ``width`` neighbours of base; the halves are columns of their own, each made once."""
+def _over_neighbours(df: DataFrame, base: str, name: str, width: int, join, overlapping: bool) -> tuple[DataFrame, str]:
+    """A column over every ``width`` neighbours of base, from columns over half as many, each made once.
+
+    ``overlapping``: whether the halves may overlap, as those of a minimum may.
+    """
     made = {1: base}
 
     def build(df: DataFrame, w: int) -> DataFrame:
         if w in made:
             return df
         a = 1 << ((w - 1).bit_length() - 1)
-        b = w - a if prefix == "g" else a
+        b = a if overlapping else w - a
         df = build(build(df, a), b)
         n = F.greatest(F.size(base) - (w - 1), F.lit(0))
-        made[w] = f"__{prefix}{w}"
+        made[w] = f"__{name}{w}"
         return df.withColumn(made[w], F.zip_with(F.slice(made[a], F.lit(1), n), F.slice(made[b], F.lit(1 + w - b), n), join))
 
     df = build(df, width)
     return df, made[width]
 
 
+def _gram(length: int, n: int, k: int) -> int:
+    """Words of the grams that runs of so many words are winnowed by."""
+    return k if length == n else (length + 1) // 2
+
+
+def _winnowed(df: DataFrame, lengths: list[int], n: int, k: int) -> DataFrame:
+    """Adds fps: array of (len, fp), for each length the least gram hash of every run of so many words of w."""
+    df = df.withColumn("__h", F.transform("w", lambda x: F.xxhash64(x)))
+    parts = []
+    for length in lengths:
+        size = _gram(length, n, k)
+        df, grams = _over_neighbours(df, "__h", f"g{length}_", size, lambda x, y: F.xxhash64(x, y), overlapping=False)
+        df, minima = _over_neighbours(df, grams, f"m{length}_", length - size + 1, lambda x, y: F.least(x, y), overlapping=True)
+        parts.append(F.expr(f"transform(array_distinct({minima}), x -> struct({length} as len, x as fp))"))
+    return df.withColumn("fps", F.concat(*parts))
+
+
+def _runs(w: str, length: str) -> Column:
+    """array<(pos, len, run)>: every run of so many words, as a digest."""
+    return F.expr(f"if(size({w}) >= {length}, transform(sequence(1, size({w}) - {length} + 1), i -> struct(i as pos, {length} as len, md5(concat_ws(' ', slice({w}, i, {length}))) as run)), null)")
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -43,83 +68,53 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    inline_bound: int = 50_000,
+    broadcast_bound: int = 200_000,
     with_key: bool = False,
 ) -> DataFrame:
     """Words of documents that lie in a run of n words of a benchmark item.
 
     Texts are winnowed: the least k-gram hash of every n - k + 1 neighbouring
-    k-grams is a fingerprint, so any shared run of n words shares one. Documents
-    with a benchmark fingerprint have their hits extended: each n-word window is
-    looked up among the windows of the items, and the words under matching
-    windows are hit. An item of fewer than n words is one window; it has no
-    guaranteed fingerprint, so document runs of its length are looked up
-    directly.
+    k-grams is a fingerprint, so any shared run of n words shares one. An item
+    of fewer than n words is one run; runs of its length are winnowed by grams
+    of half of it. Fingerprints of documents and of the benchmark are joined,
+    and documents that share one have their hits extended: their runs of that
+    length are joined to the items' runs, and the words under equal runs are
+    hit. It is the same plan for a benchmark of any size; tables of at most
+    ``broadcast_bound`` rows are broadcast.
 
     Returns id, n_words, n_hit, item_ids (sorted as strings) and contaminated, a
     row for each row of docs; nothing else of docs is read. Null text has no
     words. Rows repeated with the same id and text get the same result each.
     Items that are null or have no words match nothing; repeated items count
-    once. Empty docs: no rows. Empty benchmark: nothing is hit.
-
-    Fingerprints of the benchmark go into the plan as constants if there are at
-    most ``inline_bound``; beyond that documents are joined on them. With
-    ``with_key`` the hash of the text follows.
+    once. Long texts are read whole. Empty docs: no rows. Empty benchmark:
+    nothing is hit. With ``with_key`` the hash of the text follows.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("w")).where("item is not null and size(w) > 0")
-    items = items.withColumn("__h", F.expr("transform(w, x -> xxhash64(x))")).withColumn("len", F.least(F.size("w"), F.lit(n)))
-    items, grams = _doubled(items, "__h", "g", k, lambda x, y: F.xxhash64(x, y))
-    items, minima = _doubled(items, grams, "m", n - k + 1, lambda x, y: F.least(x, y))
-    runs = F.expr("transform(sequence(1, size(w) - len + 1), i -> struct(xxhash64(concat_ws(' ', slice(w, i, len))) as h, md5(concat_ws(' ', slice(w, i, len))) as run))")
-    items = materialize(items.select("item", "len", F.array_distinct(minima).alias("fps"), F.explode(runs).alias("r")).select("item", "len", "fps", "r.h", "r.run"))
+    items = materialize(items.withColumn("len", F.least(F.size("w"), F.lit(n))))
     lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # n values at most
-    windows = items.select("len", "h", "run", "item").distinct()
-    fps = items.where(F.col("len") == n).select(F.explode("fps").alias("fp")).distinct()
-    inline = small(fps, inline_bound) and small(windows.select("h", "len").distinct(), inline_bound)
-
-    rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias(KEY), words_of(F.col(text_col)).alias("w"))
-    base = rows.select("id", KEY, F.size("w").cast("long").alias("n_words"), "w").withColumn("__h", F.expr("transform(w, x -> xxhash64(x))"))
-
-    none = F.array().cast("array<struct<pos:int,len:int,run:string>>")
-
-    def found_in(w: str, length: int, known: list[int] | None) -> Column:
-        """The document's runs of so many words; those with known hashes if they are given."""
-        first = f"sequence(1, size({w}) - {length - 1})"
-        if known is None:
-            runs = F.expr(f"transform({first}, i -> i)")
-        else:
-            runs = F.filter(F.expr(first), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, length))).isin(known))
-        runs = F.transform(runs, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.md5(F.concat_ws(" ", F.slice(w, i, length)).cast("binary")).alias("run")))
-        return F.when(F.size(w) >= length, runs).otherwise(none)
-
-    marked, grams = _doubled(base, "__h", "g", k, lambda x, y: F.xxhash64(x, y))
-    marked, minima = _doubled(marked, grams, "m", n - k + 1, lambda x, y: F.least(x, y))
-    if inline:
-        prints = [r["fp"] for r in fps.collect()]
-        by_len: dict[int, list[int]] = {}
-        for r in windows.select("len", "h").distinct().collect():
-            by_len.setdefault(r["len"], []).append(r["h"])
-        parts = []
-        for length in lengths:
-            found = found_in("w", length, by_len[length])
-            parts.append(F.when(F.exists(minima, lambda x: x.isin(prints)), found).otherwise(none) if length == n else found)
-        kept = materialize(marked.select("id", KEY, "n_words", (F.concat(*parts) if parts else none).alias("hits")))
-        hits = kept.where(F.size("hits") > 0).select("id", KEY, F.explode("hits").alias("x")).select("id", KEY, "x.*").distinct()
-    else:
-        kept = materialize(marked.select("id", KEY, "n_words", F.array_distinct(minima).alias("fps")))
-        marks = kept.select("id", KEY, F.explode("fps").alias("fp")).join(maybe_broadcast(fps), "fp", "left_semi").select("id", KEY).distinct()
-        texts = base.select("id", KEY, "w")
-        near = texts.alias("a").join(marks.alias("b"), F.expr(f"a.id <=> b.id and a.{KEY} = b.{KEY}"), "left_semi")
-        tried = [(near if length == n else texts).select("id", KEY, F.explode(found_in("w", length, None)).alias("x")).select("id", KEY, "x.*") for length in lengths]
-        hits = reduce(DataFrame.unionByName, tried).join(windows.select("len", "run").distinct(), ["len", "run"], "left_semi").distinct() if tried else None
-    base_rows = kept.select("id", KEY, "n_words")
+    rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(text_col)).alias(KEY), F.col(text_col).alias("text"))
     if not lengths:
-        return base_rows.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"), *[KEY] * with_key)
-    found = hits.join(maybe_broadcast(windows.select("len", "run", "item").distinct()), ["len", "run"])
-    by_doc = found.groupBy("id", KEY).agg(F.collect_set(F.struct("pos", "len")).alias("runs"), F.array_sort(F.collect_set("item")).alias("item_ids"))
+        plain = rows.select("id", KEY, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+        return plain.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"), *[KEY] * with_key)
+    theirs = [_winnowed(items.where(F.col("len") == length), [length], n, k).select(F.explode("fps").alias("x")).select("x.*") for length in lengths]
+    fps = maybe_broadcast(materialize(reduce(DataFrame.union, theirs).distinct()), broadcast_bound)
+    windows = items.select("item", F.explode(_runs("w", "len")).alias("x")).groupBy("x.len", "x.run").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    windows = materialize(windows)
+
+    # winnowed once: of a text its first fingerprint is kept, for its number of words, and those that the benchmark has
+    marked = _winnowed(rows.select("id", KEY, words_of(F.col("text")).alias("w")), lengths, n, k)
+    each = marked.select("id", KEY, F.size("w").cast("long").alias("n_words"), F.posexplode_outer("fps").alias("at", "x")).select("id", KEY, "n_words", "at", "x.len", "x.fp")
+    kept = materialize(each.join(fps.withColumn("known", F.lit(True)), ["len", "fp"], "left").where("known or coalesce(at, 0) = 0").select("id", KEY, "n_words", "at", "len", "known"))
+    base = kept.where("coalesce(at, 0) = 0").select("id", KEY, "n_words")
+    marks = kept.where("known").groupBy("id", KEY).agg(F.collect_set("len").alias("lens"))
+    marks = maybe_broadcast(materialize(marks), broadcast_bound)
+    near = rows.alias("a").join(marks.alias("b"), F.expr(f"a.id <=> b.id and a.{KEY} = b.{KEY}")).select("a.id", f"a.{KEY}", words_of(F.col("text")).alias("w"), "lens")
+    runs = near.select("id", KEY, "w", F.explode("lens").alias("l")).select("id", KEY, F.explode(_runs("w", "l")).alias("x")).select("id", KEY, "x.*")
+    hits = runs.join(maybe_broadcast(windows, broadcast_bound), ["len", "run"])
+    by_doc = hits.groupBy("id", KEY).agg(F.collect_set(F.struct("pos", "len")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["len"] - 1))))).cast("long")
     by_doc = by_doc.select("id", KEY, covered.alias("n_hit"), "item_ids")
-    out = base_rows.alias("d").join(by_doc.alias("f"), F.expr(f"d.id <=> f.id and d.{KEY} = f.{KEY}"), "left")
+    out = base.alias("d").join(by_doc.alias("f"), F.expr(f"d.id <=> f.id and d.{KEY} = f.{KEY}"), "left")
     return out.select(
         F.col("d.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),

@@ -39,7 +39,7 @@ OPERATORS = {
     "jaccard": lambda d, l, b: jaccard_components(d),
     "licenses": lambda d, l, b: scan_licenses(d, known_licenses(d.sparkSession)),
     "decontamination": lambda d, l, b: decontaminate(d, b),
-    "decontamination_joined": lambda d, l, b: decontaminate(d, b, inline_bound=0),
+    "decontamination_joined": lambda d, l, b: decontaminate(d, b, broadcast_bound=0),
     "lines": lambda d, l, b: dedup_lines(d),
 }
 
@@ -65,8 +65,8 @@ def test_defined_results(odd, labels, benchmark):
     assert tokens[(1, 0)] == 0 and tokens[(2, 0)] == 0
     groups = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in OPERATORS["jaccard"](odd, labels, benchmark).collect()]
     assert (1, 0, 1) in groups and (2, 0, 2) in groups and (4, 1, 4) in groups and (None, 10, 5) in groups and groups.count((5, 10, 5)) == 2
-    for inline in (50_000, 0):
-        hits = [(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate(odd, benchmark, inline_bound=inline).collect()]
+    for bound in (200_000, 0):
+        hits = [(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate(odd, benchmark, broadcast_bound=bound).collect()]
         assert hits.count((5, 12, 11, ["1"])) == 2 and (None, 12, 11, ["1"]) in hits
         assert (4, 1, 1, ["4"]) in hits and (1, 0, 0, []) in hits and (9, 3, 2, ["5"]) in hits
     mixed = {(r["doc_id"], r["size"]): r for r in OPERATORS["mixing"](odd, labels, benchmark).collect()}

@@ -448,11 +448,11 @@ def test_forms_of_copyright_lines(spark, docs_of, end):
     assert got == dict.fromkeys(range(len(forms)), "ISC")
 
 
-@pytest.mark.parametrize("inline", [50_000, 0])
-def test_every_window_is_found(spark, docs_of, inline):
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_every_window_is_found(spark, docs_of, bound):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(50)]
-    items = [[rng.choice(words) for _ in range(rng.choice([3, 8, 10, 25, 40]))] for _ in range(20)]
+    items = [[rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 5, 8, 9, 10, 25, 40]))] for _ in range(20)]
     docs = []
     for i in range(60):
         d = [rng.choice(words) for _ in range(rng.randint(0, 60))]
@@ -461,7 +461,7 @@ def test_every_window_is_found(spark, docs_of, inline):
         d[len(d) // 2 : len(d) // 2] = item[at : at + rng.randint(1, 20)]
         docs.append((i, " ".join(d)))
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate(docs_of(docs), benchmark, inline_bound=inline).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate(docs_of(docs), benchmark, broadcast_bound=bound).collect()}
     for i, text in docs:
         w, hit, found = text.split(), set(), set()
         for j, item in enumerate(items):
