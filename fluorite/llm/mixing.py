@@ -51,7 +51,8 @@ def mix_sources(
     """How many words of each document a mix takes.
 
     Returns id, size, source, source_size, target and taken, a row for each row
-    of docs. Every document gets a random key, the md5 of seed and id. Within a
+    of docs. Every document gets a random key, the md5 of seed and id
+    (or text, without an id). Within a
     source documents stand in order of their keys; the first three hex digits
     are ranges of equal expected size, so a source with a third of all rows is
     split over 4096 of them. Prefix sums are range totals summed over ranges,
@@ -70,7 +71,7 @@ def mix_sources(
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         row_key(F.col(text_col)).alias(KEY),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit(""))).cast("binary")).alias("key"),
     ).withColumn("range", F.substring("key", 1, 3))
     rows = materialize(rows)
     ranges = materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
@@ -96,7 +97,7 @@ SQL = {
     "op5_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight,

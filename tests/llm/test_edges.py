@@ -17,7 +17,10 @@ from fluorite.llm.toxicity import score_toxicity, train_lexicon
 
 from .conftest import ODD_ROWS
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers
+except ImportError:
+    public_tokenizers = None
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +47,10 @@ OPERATORS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(OPERATORS))
+NAMES = [pytest.param(n, marks=pytest.mark.skipif(n == "tokens" and public_tokenizers is None, reason="no vocabulary files")) for n in sorted(OPERATORS)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_a_row_for_each_row(name, odd, labels, benchmark):
     out = OPERATORS[name](odd, labels, benchmark)
     rows = out.collect()
@@ -53,7 +59,7 @@ def test_a_row_for_each_row(name, odd, labels, benchmark):
     assert ids == [1, 2, 3, 4, 5, 5, 5, 6, 7, 8, 9, None, None]
 
 
-@pytest.mark.parametrize("name", sorted(OPERATORS))
+@pytest.mark.parametrize("name", NAMES)
 def test_empty_tables(name, odd, labels, benchmark):
     none = odd.where(F.lit(False))
     assert OPERATORS[name](none, labels.where(F.lit(False)), benchmark.where(F.lit(False))).collect() == []
@@ -61,8 +67,9 @@ def test_empty_tables(name, odd, labels, benchmark):
 
 
 def test_defined_results(odd, labels, benchmark):
-    tokens = {(r["doc_id"], r["n_bytes"]): r["n_tokens"] for r in OPERATORS["tokens"](odd, labels, benchmark).collect()}
-    assert tokens[(1, 0)] == 0 and tokens[(2, 0)] == 0
+    if public_tokenizers is not None:
+        tokens = {(r["doc_id"], r["n_bytes"]): r["n_tokens"] for r in OPERATORS["tokens"](odd, labels, benchmark).collect()}
+        assert tokens[(1, 0)] == 0 and tokens[(2, 0)] == 0
     groups = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in OPERATORS["jaccard"](odd, labels, benchmark).collect()]
     assert (1, 0, 1) in groups and (2, 0, 2) in groups and (4, 1, 4) in groups and (None, 10, 5) in groups and groups.count((5, 10, 5)) == 2
     for bound in (200_000, 0):
