@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["KEY", "ascii_lower", "attach", "held_out", "materialize", "maybe_broadcast", "read", "row_key", "ship", "small"]
+__all__ = ["KEY", "ascii_lower", "attach", "held_out", "materialize", "maybe_broadcast", "pieces", "read", "release", "row_key", "ship", "small"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A row is told from another by its id and this hash of its text.
@@ -37,6 +40,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of frames that nothing refers to any more.
+
+    Spark's cleaner finds them when the driver's JVM collects garbage, by
+    default every half hour; between two steps that shuffle as much as the
+    input that is too late for the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower case of A-Z alone. Texts without other capitals take the fast way, which changes nothing else in them."""
     others = col.rlike(r"[\P{ASCII}&&[\p{javaUpperCase}\p{Lt}]]")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, materialize, maybe_broadcast, read, row_key, ship, small
+from .common import KEY, materialize, maybe_broadcast, pieces, read, release, row_key, ship, small
 from .graph import connected_components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,9 +104,9 @@ def jaccard_components(
        their first n - ceil(n * num / den) + 1 tokens under every order; any
        order gives the same links.
     3. Classes that share a rare token of the first order are paired. A token
-       that more than ``often`` classes put first is crowded, and pairs only
-       with its hub at first: the class with the fewest rare tokens; links make
-       components. Then classes in other components than their hub's are paired
+       that ``often`` documents or more have, but too few to be last, is crowded:
+       its classes pair only with its hub at first, the class with the fewest
+       rare tokens; links make components. Then classes in other components than their hub's are paired
        with those that share a token of the second order too.
     4. Two sets without a common rare token share at most their frequent tokens,
        and so must have few rare ones. Each class is tried against a hub of each
@@ -145,7 +145,7 @@ def jaccard_components(
             return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts]).astype(int)]), pa.array([g.tobytes() for g in groups], pa.binary())], ["bucket", "rest"])
 
         parts, held = [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for text in _texts(batch, 0):
                 s = shingle(text)
                 if len(s):
@@ -180,7 +180,7 @@ def jaccard_components(
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(k, seed), hot.value
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle(t) for t in _texts(batch, 1)]
             digests = [digest(s) if len(s) else (None, None) for s in sets]
             marks = [is_frequent(s, last) for s in sets]
@@ -195,7 +195,7 @@ def jaccard_components(
                     pa.array([d[1] for d in digests], pa.int64()),
                     _lists([s[f[~m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
                     _lists([s[f[m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
-                    _lists([s[in_order(s, m, 1)] if len(s) else s for s, m in zip(sets, marks, strict=True)]),
+                    _lists([s[in_order(s, m, 1)] if len(s) and crowded else s[:0] for s, m in zip(sets, marks, strict=True)]),
                     _lists([_bitmap(s) if len(s) else s for s in sets]),
                 ],
                 ["id", "key", "n", "r", "cls", "more", "rare", "often", "second", "bits"],
@@ -203,7 +203,7 @@ def jaccard_components(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(k, seed), hot.value
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [s for s in map(shingle, _texts(batch, 1)) if len(s)]
             for at in range(0, len(sets), 256):
                 some = sets[at : at + 256]
@@ -214,9 +214,12 @@ def jaccard_components(
 
     for seed in range(3):
         counts = materialize(texts.select("text").mapInArrow(count_tokens, "bucket int, rest binary").groupBy("bucket").applyInPandas(frequent, "token long, n long"))
+        release(spark)
         least = often
         while not small(counts.where(F.col("n") >= least), most_often):
             least *= 2
+        between = counts.where(F.col("n") < least).select(F.col("token").alias("upper"))
+        crowded = not between.isEmpty()
         found = counts.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64)  # most_often at most
         hot = spark.sparkContext.broadcast(np.sort(found.astype(np.uint64)))
         schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("key", "n", "r", "cls", "more")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "often", "second", "bits")])
@@ -234,7 +237,7 @@ def jaccard_components(
         return f"({most}) * {den} >= ({a}.n + {b}.n - ({most})) * {num}"
 
     def postings(kind: str) -> DataFrame:
-        return rows.where("cls is not null").select("cls", "n", "r", F.explode(kind).alias("token")).dropDuplicates(["token", "cls"])
+        return rows.where("cls is not null").select("cls", "n", "r", F.explode(kind).alias("token"))
 
     def hubs_of(kind: DataFrame, least: int) -> DataFrame:
         found = kind.groupBy("token").agg(F.min(F.struct("r", "n", "cls")).alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > least)
@@ -268,16 +271,22 @@ def jaccard_components(
 
     named_pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.expr("if(x.cls < y.cls, x.n, y.n)").alias("na"), F.expr("if(x.cls < y.cls, y.n, x.n)").alias("nb")]
     without_rare = "least(x.n - x.r, y.n - y.r)"
-    rare, shared = materialize(postings("rare")), materialize(postings("often"))
-    crowds, hubs = hubs_of(rare, often), hubs_of(shared, 1)
-    crowded = maybe_broadcast(crowds.select("token"))
-    crowd, thin = rare.join(crowded, "token", "left_semi"), rare.join(crowded, "token", "left_anti")
+    rare, shared = postings("rare"), materialize(postings("often").dropDuplicates(["token", "cls"]))
+    hubs = hubs_of(shared, 1)
+    if crowded:  # there are none as long as all tokens of ``often`` documents are last
+        rare = rare.withColumn("upper", F.shiftrightunsigned("token", 32 - bits))
+        crowd = materialize(rare.join(maybe_broadcast(between), "upper", "left_semi").drop("upper").dropDuplicates(["token", "cls"]))
+        crowds = hubs_of(crowd, 1)
+        rare = rare.join(maybe_broadcast(between), "upper", "left_anti").drop("upper")
+    thin = rare.repartition("token").dropDuplicates(["token", "cls"])  # fewer than ``often`` documents a token
     met = thin.alias("x").join(thin.alias("y"), F.expr("x.token = y.token and x.cls < y.cls and " + alike("x", "y"))).select(*named_pair)
 
     def stars(kind: DataFrame, centres: DataFrame, most: str | None = None) -> DataFrame:
         return kind.alias("x").join(maybe_broadcast(centres).alias("y"), F.expr("x.token = y.token and x.cls <> y.cls and " + alike("x", "y", most))).select(*named_pair)
 
-    links = linked(met.union(stars(shared, hubs, without_rare)).union(stars(crowd, crowds)))
+    met = met.union(stars(shared, hubs, without_rare))
+    links = linked(met.union(stars(crowd, crowds)) if crowded else met)
+    release(spark)
     group = materialize(connected_components(links))
 
     def grouped(df: DataFrame) -> DataFrame:
@@ -295,9 +304,11 @@ def jaccard_components(
     apart, every = apart_and_all(shared, hubs, "often")
     once = "x.token = array_min(array_intersect(x.also, y.also))"  # a pair comes from its first common token only
     rest = apart.alias("x").join(every.alias("y"), F.expr(f"x.token = y.token and x.component <> y.component and {alike('x', 'y', without_rare)} and {once}")).select(*named_pair)
-    apart, every = (df.withColumn("also", F.explode("also")) for df in apart_and_all(crowd, crowds, "second"))
-    rest = rest.union(apart.alias("x").join(every.alias("y"), F.expr(f"x.token = y.token and x.also = y.also and x.component <> y.component and {alike('x', 'y')}")).select(*named_pair))
+    if crowded:
+        apart, every = (df.withColumn("also", F.explode("also")) for df in apart_and_all(crowd, crowds, "second"))
+        rest = rest.union(apart.alias("x").join(every.alias("y"), F.expr(f"x.token = y.token and x.also = y.also and x.component <> y.component and {alike('x', 'y')}")).select(*named_pair))
     more = linked(rest)
+    release(spark)
     if not more.isEmpty():
         group = materialize(connected_components(links.union(more)))
     named = classes.select("cls", F.col("first").alias("own")).join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, materialize, maybe_broadcast, read, ship
+from .common import held_out, materialize, maybe_broadcast, pieces, read, ship
 
 # Characters that look like a letter, and the letter. One character stands for one.
 HOMOGLYPHS = {
@@ -217,14 +217,16 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     """
     ship(docs.sparkSession)
     if with_row:
-        rows = docs.select(F.struct(*docs.columns).alias("id"), F.col(text_col).alias("text"))
+        rows = docs.select(F.struct(*docs.columns).alias("id"))
+        place = docs.columns.index(text_col)
     else:
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            got = [lexicon.features(t.as_py(), automaton) for t in batch.column(1)]
+        for batch in pieces(batches):
+            texts = batch.column(0).flatten()[place] if with_row else batch.column(1)
+            got = [lexicon.features(t.as_py(), automaton) for t in texts]
             score = lexicon.score(np.array([g[0] for g in got]), np.array([g[1] for g in got])) if got else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array([g[2] for g in got], pa.int64())], ["id", "score", "n_hits"])
 
