@@ -18,13 +18,13 @@ from .operators import stats as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-E_SQL = """WITH e AS (
-  SELECT vec_id AS sample, CAST(label AS VARCHAR) AS cluster, i - 1 AS pos, CAST(240 + 10 * ((i - 1) // 8) AS DOUBLE) AS ex, CAST(300 + 10 * ((i - 1) % 8) AS DOUBLE) AS em,
-         CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i))"""
-L_SQL = """WITH l0 AS (
+E_SQL = """WITH e AS MATERIALIZED (
+  SELECT vec_id AS sample, CAST(label AS VARCHAR) AS cluster, i - 1 AS pos, CAST(240 + 10 * ((i - 1) // 8) AS DOUBLE) AS ex, CAST(300 + 10 * ((i - 1) % 8) AS DOUBLE) AS em, CAST(x AS DOUBLE) AS v
+  FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
+L_SQL = """WITH l0 AS MATERIALIZED (
   SELECT l_suppkey AS sample, CAST(240 + 10 * round(l_discount * 100) AS DOUBLE) AS ex, CAST(300 + 10 * round(l_tax * 100) AS DOUBLE) AS em, CAST(sum(l_extendedprice) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3),
 exs AS (SELECT DISTINCT ex FROM l0), ems AS (SELECT DISTINCT em FROM l0),
-l AS (SELECT s.sample, exs.ex, ems.em, coalesce(l0.v, 0) AS v FROM (SELECT DISTINCT sample FROM l0) s CROSS JOIN exs CROSS JOIN ems LEFT JOIN l0 ON l0.sample = s.sample AND l0.ex = exs.ex AND l0.em = ems.em)"""
+l AS MATERIALIZED (SELECT s.sample, exs.ex, ems.em, coalesce(l0.v, 0) AS v FROM (SELECT DISTINCT sample FROM l0) s CROSS JOIN exs CROSS JOIN ems LEFT JOIN l0 ON l0.sample = s.sample AND l0.ex = exs.ex AND l0.em = ems.em)"""
 ABS_SQL = """, a AS (SELECT sample, wl, 0.01::DOUBLE + (sample % 7) / 100.0::DOUBLE + (wl - 240) / 10000.0::DOUBLE AS a FROM (SELECT DISTINCT sample FROM l), (VALUES (240.0::DOUBLE), (280.0), (320.0), (350.0), (400.0)) w(wl)),
 seg AS (SELECT sample, wl AS x0, a AS y0, lead(wl) OVER w AS x1, lead(a) OVER w AS y1 FROM a WINDOW w AS (PARTITION BY sample ORDER BY wl)),
 pts AS (SELECT DISTINCT ex AS x FROM l UNION SELECT DISTINCT em FROM l),
@@ -571,21 +571,21 @@ def _model_scores(model) -> DataFrame:
 def parafac_hals(spark, sf):
     from .plans.models import PARAFAC
 
-    return _model_scores(PARAFAC(2, max_iter_als=20).fit(V.lineitems(spark, sf)))
+    return _model_scores(PARAFAC(2, max_iter_als=30).fit(V.lineitems(spark, sf)))
 
 
 @query()
 def nmf_hals(spark, sf):
     from .plans.models import EEMNMF
 
-    return _model_scores(EEMNMF(2, solver="hals", max_iter_als=20).fit(V.lineitems(spark, sf)))
+    return _model_scores(EEMNMF(2, solver="hals", max_iter_als=30).fit(V.lineitems(spark, sf)))
 
 
 @query()
 def nmf_mu(spark, sf):
     from .plans.models import EEMNMF
 
-    return _model_scores(EEMNMF(2, solver="mu", beta_loss="kullback-leibler", max_iter_als=10).fit(V.lineitems(spark, sf)))
+    return _model_scores(EEMNMF(2, solver="mu", beta_loss="kullback-leibler", max_iter_als=30).fit(V.lineitems(spark, sf)))
 
 
 @query()
@@ -593,7 +593,7 @@ def hed(spark, sf):
     from .plans.models import HED
 
     stack = V.lineitems(spark, sf)
-    return _model_scores(HED(A.mean_components(stack, F.col("sample") % 2), {0: 2, 1: 1}, gamma_H=1e6, max_iter_als=5).fit(stack))
+    return _model_scores(HED(A.mean_components(stack, F.col("sample") % 2), {0: 2, 1: 1}, gamma_H=1e6, max_iter_als=30).fit(stack))
 
 
 @query()
@@ -754,3 +754,6 @@ def preprocessing(spark, sf):
     bands = {"width_o1": 20, "width_o2": 20, "interpolation_method_o1": "zero", "interpolation_method_o2": "zero"}
     plan = Preprocessing((250, 320, 310, 370), {"manual_rsu": 100.0}, V.absorbances(stack), V.ABSORBANCE_AXIS, rayleigh=bands)
     return shown(plan(stack), 3)
+
+
+from . import roundtrips  # noqa: E402, F401  (adds its queries)

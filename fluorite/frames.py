@@ -144,7 +144,7 @@ def fold(long: DataFrame, ex: Sequence[float] | None = None, em: Sequence[float]
     """A stack from rows (sample, ex, em, intensity). labels: sample, index, cluster.
 
     Pixels without a row are ``fill``, rows off the axes are left out, and of
-    rows for the same pixel any counts.
+    rows for the same pixel the largest counts.
     """
     if ex is None or em is None:
         found = axes_of(long)
@@ -153,7 +153,7 @@ def fold(long: DataFrame, ex: Sequence[float] | None = None, em: Sequence[float]
     width = len(em)
     pos = (F.array_position(numbers(ex), F.col("ex")) - 1) * width + F.array_position(numbers(em), F.col("em")) - 1
     cells = long.select(F.col("sample").cast("long").alias("sample"), pos.cast("int").alias("pos"), F.col("intensity").cast("double").alias("v")).where("pos >= 0")
-    packed = cells.groupBy("sample").agg(F.collect_list(F.struct("pos", "v")).alias("cells"))
+    packed = cells.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("cells"))
     size = len(ex) * width
     ship(long.sparkSession)
 

@@ -76,7 +76,7 @@ class SplitValidation:
         self.full = copy.deepcopy(self.base_model).fit(stack)
         fitted, self.members = {}, {}
         for combination in itertools.combinations(range(1, self.n_splits + 1), self.size):
-            name = "".join(string.ascii_uppercase[i - 1] for i in combination)
+            name = "".join(string.ascii_uppercase[i - 1] for i in combination) if self.n_splits <= 26 else "-".join(map(str, combination))
             part = S._among(stack, self.numbers.where(F.col("split").isin(list(combination))))
             self.members[name] = part
             fitted[name] = copy.deepcopy(self.base_model).fit(part)

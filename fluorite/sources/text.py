@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,33 +123,41 @@ def read_eem_dataset(
     pixels = read_matrices(spark, folder_path, delimiter, file_first_row)
     pixels = pixels.where(F.col("name").isin(list(custom_filename_list))) if custom_filename_list else pixels.where(label_matches(mandatory_keywords, optional_keywords, F.col("name")))
     axes = pixels.groupBy("name").agg(F.array_sort(F.collect_set("ex")).alias("ex"), F.array_sort(F.collect_set("em")).alias("em")).persist()
-    kinds = [(tuple(r["ex"]), tuple(r["em"])) for r in axes.select("ex", "em").distinct().limit(10_000).collect()]
+    kinds = [(tuple(r["ex"]), tuple(r["em"])) for r in axes.groupBy("ex", "em").agg(F.max("name").alias("last")).orderBy("last").select("ex", "em").toLocalIterator()]  # axis-sized
     if not kinds:
         raise ValueError(f"no matching file in {folder_path}")
     names = axes.select("name").withColumn("sample", (F.row_number().over(W.orderBy("name")) - 1).cast("long"))
     labels = names.select("sample", label_of(F.col("name"), index_pos, as_timestamp, timestamp_format).alias("index"), F.lit(None).cast("string").alias("cluster"))
-    long = pixels.join(names, "name").select("sample", "ex", "em", "intensity")
     if len(kinds) == 1:
-        return fold(long, *kinds[0], labels=labels)
+        return fold(pixels.join(names, "name").select("sample", "ex", "em", "intensity"), *kinds[0], labels=labels)
     if not wavelength_alignment:
         raise ValueError(f"files have {len(kinds)} different grids; set wavelength_alignment")
-    ordered = [(tuple(r["ex"]), tuple(r["em"])) for r in axes.orderBy("name").select("ex", "em").toLocalIterator()]
-    grid = [common_axis([o[i] for o in ordered]) for i in (0, 1)]
-    parts = []
-    for ex, em in kinds:
-        some = axes.where((F.col("ex") == _literal(ex)) & (F.col("em") == _literal(em))).select("name")
-        own = long.join(names.join(some, "name").select("sample"), "sample", "left_semi")
-        part = fold(own, ex, em, labels=labels)
-        m_ex, m_em = K.axis_weights(ex, grid[0], interpolation_method), K.axis_weights(em, grid[1], interpolation_method)
-        parts.append(part.map_kernel(lambda x, a=m_ex, b=m_em: K.resample(x, a, b), *grid).frame)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return Stack(out, *grid)
-
-
-def _literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    grid = [common_axis([k[i] for k in kinds]) for i in (0, 1)]
+    return Stack(_aligned(pixels, names, grid, interpolation_method).join(labels, "sample").select("sample", "index", "cluster", "intensity"), *grid)
+
+
+def _aligned(pixels: DataFrame, names: DataFrame, grid: Sequence[Sequence[float]], method: str) -> DataFrame:
+    """sample and intensity on one grid, however many grids the files have: a row for each file, one pass."""
+    ship(pixels.sparkSession)
+    packed = pixels.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ex", "em", "intensity"))).alias("p"))
+    packed = packed.select("name", F.array_distinct("p.ex").alias("ex"), F.array_sort(F.array_distinct("p.em")).alias("em"), F.col("p.intensity").alias("intensity"))
+
+    def run(batches):
+        weights = {}
+        for pdf in batches:
+            out = []
+            for ex, em, x in zip(pdf["ex"], pdf["em"], pdf["intensity"], strict=True):
+                if len(x) != len(ex) * len(em):
+                    raise ValueError("a file has a wavelength twice")
+                kind = (tuple(ex), tuple(em))
+                if kind not in weights:
+                    if len(weights) > 256:
+                        weights.clear()
+                    weights[kind] = [K.axis_weights(axis, target, method) for axis, target in zip(kind, grid, strict=True)]
+                out.append(K.resample(np.asarray(x, float).reshape(1, len(ex), len(em)), *weights[kind]).ravel().tolist())
+            yield pdf[["sample"]].assign(intensity=out)
+
+    return packed.join(names, "name").select("sample", "ex", "em", "intensity").mapInPandas(run, "sample long, intensity array<double>")
 
 
 def common_axis(axes: Sequence[Sequence[float]]) -> tuple[float, ...]:
