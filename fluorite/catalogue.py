@@ -641,16 +641,6 @@ def interpolate_cubic(spark, sf):
     return shown(P.interpolation(V.lineitems(spark, sf), (245, 252.5, 268, 300), (304, 317.5, 345), "cubic"), 4)
 
 
-@query()
-def dtw(spark, sf):
-    """The first and the last row of every sample's matrix, warped."""
-    from .functions.sequences import warp_pairs
-
-    stack = V.embeddings(spark, sf)
-    ends = stack.frame.select("sample", F.slice("intensity", 1, 8).alias("x"), F.slice("intensity", 57, 8).alias("y"))
-    return warp_pairs(ends, "x", "y").select("sample", F.size("aligned_x").alias("steps"))
-
-
 _DRAW = "(CAST('0x' || substring(md5('42:' || CAST(sample AS VARCHAR) || ':total:{}'), 1, 8) AS BIGINT) + 1) / 4294967296.0::DOUBLE"
 
 

@@ -242,3 +242,85 @@ def split_half_similarity(spark, sf):
     fitted = SplitValidation(EEMNMF(2, solver="hals", max_iter_als=15), n_splits=4, random_state=1).fit(planted(spark, sf))
     rows = [(f"{a}-{b}", k, round(float(v), 4)) for (a, b), of in fitted.compare_components().items() for k, v in enumerate(of)]
     return spark.createDataFrame(rows, "pair string, component int, similarity double")
+
+
+_KINDS = "CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END"
+
+
+def _two_kinds(spark: SparkSession, sf: str) -> Stack:
+    """Even parts have the first planted component only, odd ones the second."""
+    size, root = F.col("p_size").cast("double"), F.sqrt(F.col("p_retailprice").cast("double"))
+    even = F.col("p_partkey") % 2 == 0
+    cells = F.array(*[F.when(even, size * (B[0][i] * C[0][j])).otherwise(root * (B[1][i] * C[1][j])) for i in range(5) for j in range(6)])
+    frame = V.table(spark, sf, "part").select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
+    return Stack(frame, EX, EM, V.parts(spark, sf))
+
+
+@query(f"SELECT p_partkey AS sample, CAST({_KINDS} AS INTEGER) AS kind, 0.0::DOUBLE AS rmse FROM part")
+def cluster_models_predict(spark, sf):
+    """Each sample goes to the cluster whose model leaves the least error."""
+    from .plans.cluster import KMethod
+    from .plans.models import EEMNMF
+
+    stack = _two_kinds(spark, sf)
+    method = KMethod(EEMNMF(1, solver="hals", init="svd", max_iter_als=10), 2)
+    method.cluster_specific_models = {k: EEMNMF(1, solver="hals", init="svd", max_iter_als=10).fit(stack.with_frame(stack.frame.where(F.col("sample") % 2 == k))) for k in (0, 1)}
+    return method.predict(stack).select("sample", F.col("label").cast("int").alias("kind"), (F.abs(F.round("rmse", 3)) + F.lit(0.0)).alias("rmse"))
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id AS sample, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS x, list_transform(embedding[57:64], lambda x: CAST(x AS DOUBLE)) AS y FROM embeddings),
+c(sample, x, y, i, above, rows) AS (
+  SELECT sample, x, y, 1, [0.0::DOUBLE] || list_transform(range(2, 9), lambda j: 'Infinity'::DOUBLE), [[0.0::DOUBLE] || list_transform(range(2, 9), lambda j: 'Infinity'::DOUBLE)] FROM v
+  UNION ALL
+  SELECT sample, x, y, i + 1, row, list_append(rows, row) FROM (
+    SELECT *, list_reduce(list_transform(range(2, 9), lambda j: [abs(x[i + 1] - y[j]), least(above[j], above[j - 1])]), lambda a, b: list_append(a, b[1] + least(a[len(a)], b[2])), ['Infinity'::DOUBLE]) AS row FROM c WHERE i < 8)),
+f AS (SELECT sample, x, y, rows FROM c WHERE i = 8),
+p(sample, x, y, rows, i, j, ax, ay) AS (
+  SELECT sample, x, y, rows, 8, 8, [x[8]], [y[8]] FROM f
+  UNION ALL
+  SELECT sample, x, y, rows, ni, nj, list_prepend(x[ni], ax), list_prepend(y[nj], ay) FROM (
+    SELECT *, CASE WHEN up <= lf AND up <= dg THEN i - 1 WHEN lf <= dg THEN i ELSE i - 1 END AS ni, CASE WHEN up <= lf AND up <= dg THEN j WHEN lf <= dg THEN j - 1 ELSE j - 1 END AS nj
+    FROM (SELECT *, rows[i - 1][j] AS up, rows[i][j - 1] AS lf, rows[i - 1][j - 1] AS dg FROM p WHERE i > 1 AND j > 1)))
+SELECT sample, round(list_sum(list_transform(ax, lambda a, k: a * k)), 4) + 0.0 AS x, round(list_sum(list_transform(ay, lambda a, k: a * k)), 4) + 0.0 AS y, CAST(len(ax) AS INTEGER) AS steps FROM p WHERE i = 1 OR j = 1"""
+)
+def dtw(spark, sf):
+    """The first and the last row of every sample's matrix, warped; both aligned sequences, summed by place."""
+    from .functions.sequences import warp_pairs
+
+    ends = V.embeddings(spark, sf).frame.select("sample", F.slice("intensity", 1, 8).alias("x"), F.slice("intensity", 57, 8).alias("y"))
+    warped = warp_pairs(ends, "x", "y")
+
+    def weighed(name: str):
+        return (F.round(F.aggregate(F.transform(name, lambda v, k: v * (k + 1)), F.lit(0.0), lambda s, v: s + v), 4) + F.lit(0.0))
+
+    return warped.select("sample", weighed("aligned_x").alias("x"), weighed("aligned_y").alias("y"), F.size("aligned_x").alias("steps"))
+
+
+_PLANE = "(2.0::DOUBLE + 0.01 * sample + 0.03 * (ex - 250) + 0.02 * (em - 300))"
+
+
+def _planes(spark: SparkSession, sf: str) -> Stack:
+    value = lambda i, j: F.lit(2.0) + 0.01 * F.col("p_partkey") + 0.03 * (EX[i] - 250) + 0.02 * (EM[j] - 300)
+    cells = F.array(*[value(i, j).cast("double") for i in range(5) for j in range(6)])
+    frame = V.table(spark, sf, "part").select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
+    return Stack(frame, EX, EM)
+
+
+_GRID = f"(VALUES {', '.join(f'({v}::DOUBLE)' for v in EX)}) e(ex), (VALUES {', '.join(f'({v}::DOUBLE)' for v in EM)}) m(em)"
+
+
+@query(f"SELECT sample, ex, em, round({_PLANE}, 4) + 0.0 AS intensity FROM (SELECT p_partkey AS sample, ex, em FROM part, {_GRID})")
+def planes_imputed(spark, sf):
+    """Missing pixels inside a plane are the plane's, whatever the triangles."""
+    from .operators import pixelwise as P
+
+    return shown(P.nan_imputing(P.region_masking(_planes(spark, sf), 262, 281, 318, 332, "nan")), 4)
+
+
+@query(f"SELECT sample, ex, em, round({_PLANE}, 4) + 0.0 AS intensity FROM (SELECT p_partkey AS sample, ex, em FROM part, (VALUES (255.0::DOUBLE), (262.5), (288.0)) e(ex), (VALUES (304.0::DOUBLE), (317.5), (345.0)) m(em))")
+def planes_interpolated(spark, sf):
+    """Splines of a plane are the plane."""
+    from .operators import pixelwise as P
+
+    return shown(P.interpolation(_planes(spark, sf), (255, 262.5, 288), (304, 317.5, 345), "cubic"), 4)

@@ -48,6 +48,17 @@ def test_alignment(spark, tmp_path):
     assert np.allclose(a, b) and stack.em == (300.0, 305.0, 310.0)
 
 
+def test_every_file_of_many_grids_is_aligned(spark, tmp_path):
+    for k in range(30):  # a grid for each file, all of the same plane
+        ex = [250, 251 + k / 100, 260 + k, 295]
+        write(tmp_path / f"f{k:02d}.dat", [["x", *ex], *[[em, *[e + em + k for e in ex]] for em in (300, 310)]])
+    stack = X.read_eem_dataset(spark, str(tmp_path), wavelength_alignment=True)
+    got = to_numpy(stack)
+    assert len(got) == 30 and stack.ex == (250.0, 251.29, 289.0, 295.0)
+    want = np.array(stack.ex)[:, None] + np.array(stack.em)[None, :]
+    assert all(np.allclose(x, want + k) for k, x in enumerate(got))
+
+
 def test_absorbance_and_reference(spark, tmp_path):
     write(tmp_path / "S1ABS.dat", [[300, "8.24E-4"], ["text"], [290, "?"], [280, 0.5]])
     table, axis = X.read_abs_dataset(spark, str(tmp_path))
