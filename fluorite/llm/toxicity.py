@@ -125,7 +125,8 @@ def train_lexicon(
     ``most_rows`` bounds the labelled rows that are used, and with them all that
     is learned: about so many ids, and if ids repeat in docs about so many rows
     of different texts, chosen by hashes. A word is a term if toxic documents
-    have it far oftener than others: a log odds ratio (with 0.5 added to each
+    have it far oftener than others, documents with it between the same two
+    words counting as one, as copies do: a log odds ratio (with 0.5 added to each
     count) of 2 or more, by a lower bound of two standard errors, and in at
     least ``least_docs`` toxic documents. Its weight is that ratio over the
     largest. A phrase of a term and its neighbour that is commoner among other
@@ -142,18 +143,21 @@ def train_lexicon(
 
     def fold_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, labels_ = [], []
+            words, labels_, beside = [], [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {w for w in (w.strip(".,;:!?\"'()*#%&$") for w in text.translate(_LETTERS).split()) if len(w) >= 2 and w.isalpha()}
+                plain = ["", *(w.strip(".,;:!?\"'()*#%&$") for w in text.translate(_LETTERS).split()), ""]
+                own = {w: f"{plain[i - 1]} {plain[i + 1]}" for i, w in enumerate(plain) if len(w) >= 2 and w.isalpha()}
                 words += own
+                beside += own.values()
                 labels_ += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels_, pa.int32())], ["w", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels_, pa.int32()), pa.array(beside, pa.string())], ["w", "y", "beside"])
 
     totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Lexicon({}, coefs=(-3.0 if neg or not pos else 3.0, 0.0, 0.0))
-    counts = rows.mapInArrow(fold_words, "w string, y int").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= least_docs)
+    placed = rows.mapInArrow(fold_words, "w string, y int, beside string").select("w", "y", F.xxhash64("beside").alias("beside"))
+    counts = placed.groupBy("w", "y", "beside").agg(F.lit(1).alias("one")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") >= least_docs)
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))
     sure = odds - 2 * F.sqrt(1 / a + 1 / b)
