@@ -134,10 +134,12 @@ def test_a_long_text_with_many_excuses_is_quick():
 def test_long_words_and_many_terms_are_learned(spark, docs_of):
     from fluorite.llm.toxicity import train_lexicon
 
-    slur = "z" * 70
-    rows = [(i, f"plain words {slur} here" if i % 2 else f"plain words more here {i}") for i in range(80)]
+    slur, copied = "z" * 70, "y" * 70
+    beside = lambda i: "q" + "ab"[i % 2] * (i + 1)
+    rows = [(i, f"plain {beside(i)} {slur} here and the {copied} of one text" if i % 2 else f"plain words more here {i}") for i in range(80)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
-    assert slur in train_lexicon(docs_of(rows), labels).terms
+    terms = train_lexicon(docs_of(rows), labels).terms
+    assert slur in terms and copied not in terms  # what stands between the same words each time counts once
 
 
 @tables
