@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import Stack
+from ..frames import Stack, numbers
 from ..operators import stats as T
 from .models import Fitted, PARAFAC
 
@@ -23,6 +23,12 @@ def eem_grid(stack: Stack, scale_type: str = "linear") -> DataFrame:
     return long.withColumn("intensity", F.when(F.col("intensity") > 0, F.log10("intensity")))
 
 
+def absorbance_series(absorbances: DataFrame, axis: Sequence[float]) -> DataFrame:
+    """sample, wl, absorbance: the points of absorbance spectra on an axis."""
+    points = absorbances.select("sample", F.posexplode("absorbance").alias("at", "absorbance"))
+    return points.select("sample", F.get(numbers(axis), F.col("at")).alias("wl"), "absorbance")
+
+
 def index_series(values: DataFrame, column: str, q: float = 0.05) -> DataFrame:
     return values.join(F.broadcast(T.series_summary(values, column, q)))
 

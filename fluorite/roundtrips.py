@@ -324,3 +324,11 @@ def planes_interpolated(spark, sf):
     from .operators import pixelwise as P
 
     return shown(P.interpolation(_planes(spark, sf), (255, 262.5, 288), (304, 317.5, 345), "cubic"), 4)
+
+
+@query(f"{L_SQL} SELECT DISTINCT sample, wl, round(0.01::DOUBLE + (sample % 7) / 100.0::DOUBLE + (wl - 240) / 10000.0::DOUBLE, 6) + 0.0 AS absorbance FROM l, (VALUES (240.0::DOUBLE), (280.0), (320.0), (350.0), (400.0)) w(wl)")
+def absorbance_plot(spark, sf):
+    """The points behind a plot of absorbance spectra."""
+    from .plans.plots import absorbance_series
+
+    return rounded(absorbance_series(V.absorbances(V.lineitems(spark, sf)), V.ABSORBANCE_AXIS), 6, "absorbance")
