@@ -52,9 +52,21 @@ class EEMDataset:
     def _with(self, stack: Stack) -> EEMDataset:
         return EEMDataset(stack)
 
-    def process(self, kernel: Callable[[np.ndarray], np.ndarray], ex_range: Sequence[float] | None = None, em_range: Sequence[float] | None = None) -> EEMDataset:
-        """Any function of a (ex, em) matrix, sample by sample."""
-        return self._with(self.stack.map_kernel(lambda x: np.stack([kernel(s) for s in x]), ex_range, em_range))
+    def process(
+        self,
+        kernel: Callable[..., np.ndarray | tuple],
+        ex_range: Sequence[float] | None = None,
+        em_range: Sequence[float] | None = None,
+        absorbance: DataFrame | None = None,
+        blank: EEMDataset | None = None,
+        outputs: str | None = None,
+    ) -> EEMDataset | tuple[EEMDataset, DataFrame]:
+        """Any function of a (ex, em) matrix, sample by sample; with outputs, what it returns besides is a table."""
+        if absorbance is None and blank is None and outputs is None:
+            alone = lambda m: m[0] if isinstance(m, tuple) else m
+            return self._with(self.stack.map_kernel(lambda x: np.stack([alone(kernel(s)) for s in x]), ex_range, em_range))
+        stack, table = P.process_samples(self.stack, kernel, ex_range, em_range, absorbance, blank.stack if blank else None, outputs)
+        return (self._with(stack), table) if outputs else self._with(stack)
 
     # tables
     def zscore(self) -> DataFrame:

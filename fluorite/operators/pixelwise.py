@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,60 @@ from . import kernels as K
 NAN = float("nan")
 
 
+def process_samples(
+    stack: Stack,
+    kernel: Callable[..., np.ndarray | tuple],
+    ex: Sequence[float] | None = None,
+    em: Sequence[float] | None = None,
+    absorbance: DataFrame | None = None,
+    blank: Stack | None = None,
+    outputs: str | None = None,
+) -> tuple[Stack, DataFrame | None]:
+    """Any function of a (ex, em) matrix, sample by sample.
+
+    absorbance (sample, absorbance) and blank go to the kernel by these names,
+    each sample's own; samples without one are dropped, null ones are None.
+    outputs is the schema of what the kernel returns after the matrix, "mask
+    array<double>" say (matrices as arrays in row order); the table of sample
+    and outputs comes second. Stack and table each run the kernel.
+    """
+    names, shape = stack.frame.columns, stack.shape
+    frame = stack.frame
+    if absorbance is not None:
+        frame = frame.join(absorbance.select("sample", F.col("absorbance").alias("__absorbance")), "sample")
+    if blank is not None:
+        frame = frame.join(blank.frame.select("sample", F.col("intensity").alias("__blank")), "sample")
+        blank_shape = blank.shape
+    more = [f.name for f in stack.spark.createDataFrame([], outputs).schema] if outputs else []
+
+    def matrix(v, size: tuple[int, int]) -> np.ndarray:
+        return np.full(size, np.nan) if v is None else np.asarray(v, float).reshape(size)
+
+    def run(batches):
+        for pdf in batches:
+            done, others = [], []
+            for _, row in pdf.iterrows():
+                own = {}
+                if absorbance_given:
+                    own["absorbance"] = None if row["__absorbance"] is None else np.asarray(row["__absorbance"], float)
+                if blank_given:
+                    own["blank"] = None if row["__blank"] is None else matrix(row["__blank"], blank_shape)
+                got = kernel(matrix(row["intensity"], shape), **own)
+                first, rest = (got[0], got[1:]) if isinstance(got, tuple) else (got, ())
+                done.append(np.asarray(first, float).ravel())
+                others.append([np.ravel(o) if np.ndim(o) else o for o in rest[: len(more)]])
+            pdf["intensity"] = done
+            for i, name in enumerate(more):
+                pdf[name] = [o[i] for o in others]
+            yield pdf[[*names, *more]]
+
+    absorbance_given, blank_given = absorbance is not None, blank is not None
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in stack.frame.schema] + ([outputs] if outputs else []))
+    both = frame.mapInPandas(run, schema)
+    out = Stack(both.select(*names), tuple(ex if ex is not None else stack.ex), tuple(em if em is not None else stack.em), stack.ref)
+    return out, both.select("sample", *more) if outputs else None
+
+
 def threshold_masking(stack: Stack, threshold: float, fill: float = NAN, mask_type: str = "greater") -> Stack:
     """Pixels above (greater) or below (smaller) the threshold become fill; NaN stays."""
     if mask_type not in ("greater", "smaller"):

@@ -82,14 +82,16 @@ def residuals(stack: Stack, variable: str) -> DataFrame:
     return d.join(line, "pos").select("sample", *stack.place(F.col("pos")), (F.col("slope") * F.col("x") + F.col("b") - F.col("intensity")).alias("residual"))
 
 
-def calibrate(indicators: DataFrame, ref: DataFrame) -> DataFrame:
+def calibrate(indicators: DataFrame, ref: DataFrame, p_values: bool = False) -> DataFrame:
     """Lines y = indicator over x = reference for each pair of them.
 
     indicators: sample, indicator, value; ref: sample, variable, value. Returns
-    indicator, variable, n, slope, intercept, r_square, pearson.
+    indicator, variable, n, slope, intercept, r_square, pearson, and with
+    p_values pearson_p.
     """
     pairs = indicators.select("sample", "indicator", F.col("value").alias("y")).join(ref.select("sample", "variable", F.col("value").alias("x")).where("value is not null and not isnan(value)"), "sample")
-    return pairs.groupBy("indicator", "variable").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r_square"), F.corr("y", "x").alias("pearson"))
+    lines = pairs.groupBy("indicator", "variable").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r_square"), F.corr("y", "x").alias("pearson"))
+    return with_p_values(lines, ("pearson",)) if p_values else lines
 
 
 def predict_reference(indicators: DataFrame, lines: DataFrame) -> DataFrame:

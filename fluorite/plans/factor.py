@@ -106,9 +106,9 @@ def beta_parts(x: np.ndarray, fit: np.ndarray, loss: str) -> tuple[np.ndarray, n
 
 
 def one_pass(frame: DataFrame, shape: tuple[int, int], h: np.ndarray, rule: ScoreRule) -> Pass:
-    """One job. frame: intensity, and prior or partner (the pair's bottom sample) where the rule needs them."""
+    """One job. frame: intensity, and prior or partner (the pair's bottom sample) where the rule needs them; start: given scores, not solved."""
     r, p = h.shape
-    columns = [c for c in ("intensity", "partner", "prior") if c in frame.columns]
+    columns = [c for c in ("intensity", "partner", "prior", "start") if c in frame.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, g, xx, tb, bb, low = np.zeros((r, p)), np.zeros((r, r)), 0.0, np.zeros(r), np.zeros(r), np.zeros((r, p))
@@ -127,7 +127,9 @@ def one_pass(frame: DataFrame, shape: tuple[int, int], h: np.ndarray, rule: Scor
                     tb += (u * v).sum(0)
                     bb += (v * v).sum(0)
                 x = x[~paired]
-            if len(x):
+            if "start" in at:
+                parts.append((np.array(at["start"].to_pylist(), float), np.nan_to_num(x)))
+            elif len(x):
                 prior = np.array([q if q is not None else [np.nan] * r for q in at["prior"].to_pylist()], float) if "prior" in at else None
                 parts.append(rule.scores(x, h, prior))
             for w, full in parts:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import Stack
+from ..functions.sequences import random_split_columns
 from ..operators import algebra as A
 from ..operators import pixelwise as P
 from .factor import EPS, Pass, ScoreRule, error_of, hals, one_pass, order_like, rank_one, start_components, with_pairs
@@ -103,6 +104,32 @@ def _prepared(stack: Stack, kw_top, kw_bot, prior: DataFrame | None) -> DataFram
     return frame.persist()
 
 
+def _score_priors(w: DataFrame | None, a: DataFrame | None, flagged: Sequence[int], rank: int) -> DataFrame | None:
+    """sample, prior: of rank-one components (flagged) a's entries, of others w's, NaN where there are none."""
+    given = {"a": a, "w": w}
+    sides = [d.select("sample", F.col("prior").alias(name)) for name, d in given.items() if d is not None]
+    if not sides:
+        return None
+    both = sides[0] if len(sides) == 1 else sides[0].join(sides[1], "sample", "full")
+    entries = []
+    for k in range(rank):
+        name = "a" if k in flagged else "w"
+        entry = F.get(F.col(name), F.lit(k)) if given[name] is not None else F.lit(None).cast("double")
+        entries.append(F.coalesce(entry, F.lit(float("nan"))))
+    return both.select("sample", F.array(*entries).alias("prior"))
+
+
+def _masked(stack: Stack, mask: np.ndarray | DataFrame) -> Stack:
+    """Pixels that are false in mask become NaN: one mask for all samples, or sample and mask; samples without one stay."""
+    nan = float("nan")
+    if not isinstance(mask, DataFrame):
+        return P._where(stack, ~np.asarray(mask, bool), nan)
+    joined = stack.frame.join(mask.select("sample", F.col("mask").alias("__mask")), "sample", "left")
+    own = F.zip_with("intensity", "__mask", lambda v, m: F.when(m, v).otherwise(F.lit(nan)))
+    frame = joined.withColumn("intensity", F.when(F.col("__mask").isNull(), F.col("intensity")).otherwise(own))
+    return stack.with_frame(frame.drop("__mask"))
+
+
 @dataclass
 class PARAFAC(Fitted):
     """Trilinear model: sample scores, excitation and emission loadings.
@@ -110,8 +137,9 @@ class PARAFAC(Fitted):
     solver: hals, mu (multiplicative), or als without non-negativity. Priors
     are vectors by component; NaN entries have none. prior_dict_sample: sample,
     prior (array). Ratios: the k-th samples of both keywords are a pair, drawn
-    by lam to top = beta * bot. Missing pixels, and those of mask, take their
-    fit in every sweep.
+    by lam to top = beta * bot. Missing pixels, and those that are false in mask
+    (a matrix, or a table of sample and mask, an array of booleans), take their
+    fit in every sweep. The start ordinary_cp is a fit without priors and pairs.
     """
 
     n_components: int
@@ -141,7 +169,7 @@ class PARAFAC(Fitted):
     tol: float = 1e-6
     max_iter_nnls: int = 500
     random_state: int | None = None
-    mask: np.ndarray | None = None
+    mask: np.ndarray | DataFrame | None = None
     errors: list[float] = field(default_factory=list, init=False)
 
     def fit(self, stack: Stack) -> PARAFAC:
@@ -150,7 +178,7 @@ class PARAFAC(Fitted):
         self.stack, shape, r = stack, stack.shape, self.n_components
         work = P.tf_normalization(stack)[0] if self.tf_normalization else stack
         if self.mask is not None:
-            work = P._where(work, ~np.asarray(self.mask, bool), float("nan"))
+            work = _masked(work, self.mask)
         frame = _prepared(work, self.kw_top, self.kw_bot, self.prior_dict_sample)
         b, c = self._start(work)
         if self.ref_components:
@@ -173,7 +201,7 @@ class PARAFAC(Fitted):
                 with np.errstate(invalid="ignore", divide="ignore"):
                     self.beta = np.clip(np.where(s.bot_bot > 0, s.top_bot / s.bot_bot, 1.0), 0.95, 2)
                 rule.beta = self.beta
-        self.last = s
+        self.last_pass = s
         frame.unpersist()
         if not self.non_negativity:  # of two signs the one that makes loadings positive
             for m in (b, c):
@@ -202,8 +230,10 @@ class PARAFAC(Fitted):
         if self.init == "random":
             rng = np.random.default_rng(self.random_state or 0)
             return tuple(np.maximum(rng.random((n, self.n_components)), EPS) for n in stack.shape)
-        method = "nndsvd" if self.init == "ordinary_cp" else self.init
-        b, c = rank_one(start_components(stack, self.n_components, method, self.random_state), stack.shape)
+        if self.init == "ordinary_cp":
+            plain = PARAFAC(self.n_components, sort_components_by_em=False, max_iter_als=self.max_iter_als, tol=self.tol, random_state=self.random_state).fit(stack)
+            return plain.ex_loadings.copy(), plain.em_loadings.copy()
+        b, c = rank_one(start_components(stack, self.n_components, self.init, self.random_state), stack.shape)
         rng = np.random.default_rng(self.random_state or 0)  # no two components start alike
         return b * (1 + 0.01 * rng.random(b.shape)) + 1e-6, c * (1 + 0.01 * rng.random(c.shape)) + 1e-6
 
@@ -285,23 +315,29 @@ class EEMNMF(Fitted):
 
     solver: cd or hals (both by coordinate), or mu with beta_loss. Components in
     fit_rank_one (True for all) are products of an excitation and an emission
-    vector. Other parameters as in PARAFAC; priors of components are matrices.
+    vector; priors of their scores are prior_dict_A, of the others' prior_dict_W
+    (both sample, prior). Other parameters as in PARAFAC; priors of components
+    are matrices. The starts ordinary_nmf and ordinary_cp are fits of a plain
+    bilinear or trilinear model. custom_init may have scores (sample, scores)
+    before the components; the components are then updated from them first.
     """
 
     n_components: int
     solver: str = "cd"
     init: str = "nndsvda"
-    custom_init: np.ndarray | None = None  # components
+    custom_init: np.ndarray | tuple[DataFrame, np.ndarray] | None = None  # components, or scores and components
     fixed_components: Sequence[int] = ()
     beta_loss: str = "frobenius"
     alpha_sample: float = 0
     alpha_component: float = 0
     l1_ratio: float = 1
     prior_dict_W: DataFrame | None = None
+    prior_dict_A: DataFrame | None = None
     prior_dict_H: Mapping[int, np.ndarray] | None = None
     prior_dict_B: Prior | None = None
     prior_dict_C: Prior | None = None
     gamma_W: float | Mapping[int, float] = 0
+    gamma_A: float | Mapping[int, float] = 0
     gamma_H: float | Mapping[int, float] = 0
     gamma_B: float | Mapping[int, float] = 0
     gamma_C: float | Mapping[int, float] = 0
@@ -334,25 +370,72 @@ class EEMNMF(Fitted):
             work = clean.with_intensity(F.zip_with("intensity", table, lambda v, s: v / s))
         elif self.normalization is not None:
             raise ValueError(f"normalization must be pixel_std or None; got {self.normalization!r}")
-        frame = _prepared(work, self.kw_top, self.kw_bot, self.prior_dict_W)
+        flagged = [k for k in range(r) if (self.fit_rank_one.get(k, False) if isinstance(self.fit_rank_one, Mapping) else self.fit_rank_one)]
+        score_priors = _score_priors(self.prior_dict_W, self.prior_dict_A, flagged, r)
+        frame = _prepared(work, self.kw_top, self.kw_bot, score_priors)
+        begun = None
         if self.init == "custom":
-            h = np.array(self.custom_init, float).reshape(r, -1) / scale
+            begun, parts = self.custom_init if isinstance(self.custom_init, tuple) else (None, self.custom_init)
+            h = np.array(parts, float).reshape(r, -1) / scale
+        elif self.init in ("ordinary_nmf", "ordinary_cp"):
+            options = {"max_iter_als": self.max_iter_als, "tol": self.tol, "sort_components_by_em": False, "random_state": self.random_state}
+            plain = EEMNMF(r, **options) if self.init == "ordinary_nmf" else PARAFAC(r, **options)
+            h = plain.fit(work).components.reshape(r, -1)
         else:
-            method = {"ordinary_nmf": "nndsvda", "ordinary_cp": "nndsvda"}.get(self.init, self.init)
-            h = start_components(work, r, method, self.random_state)
+            h = start_components(work, r, self.init, self.random_state)
+        place = list(range(r))
         if self.ref_components:
-            h = h[order_like(self.ref_components, h)]
-        flagged = [k for k in range(r) if (self.fit_rank_one.get(k, False) if isinstance(self.fit_rank_one, Mapping) else self.fit_rank_one)]
+            place = order_like(self.ref_components, h)
+            h = h[place]
+        b = c = None
         if flagged:
             b, c = rank_one(h[flagged], shape)
             h[flagged] = _outer(b, c)
         paired = self.kw_top is not None
         self.beta = np.ones(r) if paired else None
-        rule = ScoreRule(True, self.alpha_sample, self.l1_ratio, _each(self.gamma_W, r) if self.prior_dict_W is not None else None, _each(self.lam, r) if paired else None, self.beta, self.beta_loss)
+        pull = np.where(np.isin(np.arange(r), flagged), _each(self.gamma_A, r), _each(self.gamma_W, r)) if score_priors is not None else None
+        rule = ScoreRule(True, self.alpha_sample, self.l1_ratio, pull, _each(self.lam, r) if paired else None, self.beta, self.beta_loss)
         priors = {k: np.asarray(p, float).ravel() / scale for k, p in (self.prior_dict_H or {}).items()}
+        own_scale = priors or self.fixed_components or score_priors is not None  # then components may not be rescaled
+
+        def update(s: Pass, h: np.ndarray) -> np.ndarray:
+            nonlocal b, c
+            held = list(self.fixed_components)
+            if self.solver == "mu":
+                new = h
+                if self.beta_loss == "frobenius":
+                    for _ in range(20):
+                        new = new * s.t.clip(EPS) / np.maximum(s.g @ new, EPS)
+                else:
+                    new = new * s.t / np.maximum(s.lower, EPS)
+                new[held] = h[held]
+                return new
+            h = h.copy()
+            free = [k for k in range(r) if k not in flagged]
+            if free:
+                target = s.t[free] - s.g[np.ix_(free, flagged)] @ h[flagged]
+                own = {i: priors[k] for i, k in enumerate(free) if k in priors}
+                strength = {i: _each(self.gamma_H, r)[k] for i, k in enumerate(free)}
+                fixed = tuple(i for i, k in enumerate(free) if k in held)
+                h[free] = hals(target, s.g[np.ix_(free, free)], h[free], own, strength, self.alpha_component, self.l1_ratio, fixed, self.max_iter_nnls)
+            if flagged:
+                t = (s.t[flagged] - s.g[np.ix_(flagged, free)] @ h[free]).reshape(len(flagged), *shape)
+                g = s.g[np.ix_(flagged, flagged)]
+                inner = tuple(i for i, k in enumerate(flagged) if k in held)
+                at = {k: i for i, k in enumerate(flagged)}
+                pick = lambda d: {at[k]: v for k, v in (d or {}).items() if k in at}
+                gb, gc = ({i: _each(v, r)[k] for i, k in enumerate(flagged)} for v in (self.gamma_B, self.gamma_C))
+                b = hals(np.einsum("rjk,kr->rj", t, c), g * (c.T @ c), b.T, pick(self.prior_dict_B), gb, 0, 0, inner).T
+                c = hals(np.einsum("rjk,jr->rk", t, b), g * (b.T @ b), c.T, pick(self.prior_dict_C), gc, 0, 0, inner).T
+                h[flagged] = _outer(b, c)
+            return h
+
+        if begun is not None:
+            scores = F.transform(F.array(*[F.lit(k) for k in place]), lambda k: F.get("scores", k))
+            h = update(one_pass(work.frame.join(begun.select("sample", scores.alias("start")), "sample"), shape, h, ScoreRule(loss=self.beta_loss)), h)
         self.errors = []
         for _ in range(self.max_iter_als):
-            size = np.maximum(np.linalg.norm(h, axis=1), EPS) if not priors and not self.fixed_components else np.ones(r)
+            size = np.ones(r) if own_scale else np.maximum(np.linalg.norm(h, axis=1), EPS)
             h = h / size[:, None]
             if flagged:
                 b = b / np.sqrt(size[flagged])
@@ -361,38 +444,15 @@ class EEMNMF(Fitted):
             self.errors.append(float(np.sqrt(error_of(s, h) / max(s.xx, 1e-300))) if self.beta_loss == "frobenius" else float("nan"))
             if len(self.errors) > 1 and abs(self.errors[-2] - self.errors[-1]) < self.tol:
                 break
-            if self.solver == "mu":
-                before = h
-                if self.beta_loss == "frobenius":
-                    for _ in range(20):
-                        h = h * s.t.clip(EPS) / np.maximum(s.g @ h, EPS)
-                else:
-                    h = h * s.t / np.maximum(s.lower, EPS)
-                h[list(self.fixed_components)] = before[list(self.fixed_components)]
-                if self.beta_loss != "frobenius" and np.abs(h - before).max() < self.tol * np.abs(before).max():
-                    break
-            else:
-                free = [k for k in range(r) if k not in flagged]
-                if free:
-                    target = s.t[free] - s.g[np.ix_(free, flagged)] @ h[flagged]
-                    own = {i: priors[k] for i, k in enumerate(free) if k in priors}
-                    pull = {i: _each(self.gamma_H, r)[k] for i, k in enumerate(free)}
-                    fixed = tuple(i for i, k in enumerate(free) if k in self.fixed_components)
-                    h[free] = hals(target, s.g[np.ix_(free, free)], h[free], own, pull, self.alpha_component, self.l1_ratio, fixed, self.max_iter_nnls)
-                if flagged:
-                    t = (s.t[flagged] - s.g[np.ix_(flagged, free)] @ h[free]).reshape(len(flagged), *shape)
-                    g = s.g[np.ix_(flagged, flagged)]
-                    inner = tuple(i for i, k in enumerate(flagged) if k in self.fixed_components)
-                    at = {k: i for i, k in enumerate(flagged)}
-                    pick = lambda d, at=at: {at[k]: v for k, v in (d or {}).items() if k in at}
-                    gb, gc = ({i: _each(v, r)[k] for i, k in enumerate(flagged)} for v in (self.gamma_B, self.gamma_C))
-                    b = hals(np.einsum("rjk,kr->rj", t, c), g * (c.T @ c), b.T, pick(self.prior_dict_B), gb, 0, 0, inner).T
-                    c = hals(np.einsum("rjk,jr->rk", t, b), g * (b.T @ b), c.T, pick(self.prior_dict_C), gc, 0, 0, inner).T
-                    h[flagged] = _outer(b, c)
+            before = h
+            h = update(s, h)
+            if self.beta_loss != "frobenius" and np.abs(h - before).max() < self.tol * np.abs(before).max():
+                break
             if paired:
                 with np.errstate(invalid="ignore", divide="ignore"):
                     self.beta = np.clip(np.where(s.bot_bot > 0, s.top_bot / s.bot_bot, 1.0), 0.95, 2)
                 rule.beta = self.beta
+        self.last_pass = s
         frame.unpersist()
         h = h * scale
         h = h / np.maximum(h.max(axis=1, keepdims=True), EPS)
@@ -420,7 +480,10 @@ class HED:
 
     child_structure_dict: parent to number of children; 0 keeps the parent as it
     is, 1 lets it move. Every child starts at, and has as a prior, its parent's
-    spectrum; random parts of it keep children apart.
+    spectrum. parent_scores (sample, scores): random parts of the parent's scores
+    keep children apart; without them random changes of the spectra do.
+    prior_dict_W (sample, prior, an entry for each parent) draws the scores of a
+    parent's first child by gamma_W, which like gamma_H goes by child.
     """
 
     parent_components: np.ndarray
@@ -431,6 +494,9 @@ class HED:
     kw_bot: str | Sequence[int] | None = None
     lam: float | Mapping[int, float] = 0
     normalization: str | None = None
+    parent_scores: DataFrame | None = None
+    prior_dict_W: DataFrame | None = None
+    gamma_W: float | Mapping[int, float] = 0
     max_iter_als: int = 300
     max_iter_nnls: int = 300
     tol: float = 1e-6
@@ -440,19 +506,32 @@ class HED:
         parents = np.asarray(self.parent_components, float)
         order = [k for k, n in sorted(self.child_structure_dict.items()) for _ in range(max(int(n), 1))]
         still = [i for i, k in enumerate(order) if self.child_structure_dict[k] == 0]
-        rng = np.random.default_rng(self.random_state or 0)
         start = parents[order].reshape(len(order), -1)
-        noise = 1 + 0.2 * (rng.random(start.shape) - 0.5)
-        alone = np.array([order.count(k) == 1 for k in order])
-        start = np.where(alone[:, None], start, start * noise)
+        if self.parent_scores is None:
+            noise = 1 + 0.2 * (np.random.default_rng(self.random_state or 0).random(start.shape) - 0.5)
+            alone = np.array([order.count(k) == 1 for k in order])
+            begin = np.where(alone[:, None], start, start * noise)
+        else:
+            begin = (self._child_scores(), start)
+        drawn = None
+        if self.prior_dict_W is not None:
+            first = [F.get("prior", F.lit(k)) if order.index(k) == i else F.lit(None).cast("double") for i, k in enumerate(order)]
+            drawn = self.prior_dict_W.select("sample", F.array(*first).alias("prior"))
         model = EEMNMF(
-            len(order), self.solver, "custom", start, still, prior_dict_H={i: parents[k] for i, k in enumerate(order)}, gamma_H=self.gamma_H, kw_top=self.kw_top, kw_bot=self.kw_bot,
+            len(order), self.solver, "custom", begin, still, prior_dict_W=drawn, gamma_W=self.gamma_W, prior_dict_H={i: parents[k] for i, k in enumerate(order)}, gamma_H=self.gamma_H, kw_top=self.kw_top, kw_bot=self.kw_bot,
             lam=self.lam, normalization=self.normalization, sort_components_by_em=False, max_iter_als=self.max_iter_als, max_iter_nnls=self.max_iter_nnls, tol=self.tol,
         )
         self.model = model.fit(stack)
         self.parents, self.components, self.score, self.fmax = order, model.components, model.score, model.fmax
         return self
 
+    def _child_scores(self) -> DataFrame:
+        """sample, scores: every parent's scores in random parts that sum to them, for its children."""
+        sizes = {f"parent_{k}": int(n) for k, n in sorted(self.child_structure_dict.items())}
+        wide = self.parent_scores.select("sample", *[F.get("scores", F.lit(int(k))).alias(f"parent_{k}") for k in sorted(self.child_structure_dict)])
+        split = random_split_columns(wide, sizes, self.random_state or 0)
+        return split.select("sample", F.array(*[c for c in split.columns if c != "sample"]).alias("scores"))
+
 
 def renumbered(model: Fitted, order: Sequence[int]) -> Fitted:
     """The model with its components, loadings, scores and ratios in another order."""

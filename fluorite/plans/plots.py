@@ -35,8 +35,7 @@ def index_series(values: DataFrame, column: str, q: float = 0.05) -> DataFrame:
 
 def index_correlation(values: DataFrame, column: str, ref: DataFrame, variable: str) -> DataFrame:
     """n, slope, intercept, r_square, pearson and its p-value of an index against a reference."""
-    d = T.calibrate(values.select("sample", F.lit(column).alias("indicator"), F.col(column).alias("value")), ref.select("sample", F.lit(variable).alias("variable"), F.col(variable).alias("value")))
-    return T.with_p_values(d, ("pearson",))
+    return T.calibrate(values.select("sample", F.lit(column).alias("indicator"), F.col(column).alias("value")), ref.select("sample", F.lit(variable).alias("variable"), F.col(variable).alias("value")), p_values=True)
 
 
 def loadings(models: Mapping[str, PARAFAC]) -> DataFrame:

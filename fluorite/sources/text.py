@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..frames import Stack, fold, nearest
 from ..operators import kernels as K
 from ..shipping import ship
+from .workbook import read_workbook
 
 NUMBER = r"\d+(?:\.\d+)?"
 # strptime's letters and Spark's
@@ -234,8 +235,8 @@ def read_reference_from_text(spark: SparkSession, path: str) -> tuple[DataFrame,
 
 
 def read_reference_table(spark: SparkSession, path: str, stack: Stack) -> Stack:
-    """A CSV whose first column is the label, left-joined to the samples; unmatched samples have NaN."""
-    table = spark.read.csv(path, header=True)
+    """A CSV or XLSX table whose first column is the label, left-joined to the samples; unmatched samples have NaN."""
+    table = read_workbook(spark, path) if path.lower().endswith(".xlsx") else spark.read.csv(path, header=True)
     label, *names = table.columns
     values = table.select(F.col(label).alias("index"), *[F.col(c).try_cast("double").alias(c) for c in names]).dropDuplicates(["index"])
     joined = stack.frame.select("sample", "index").join(values, "index", "left")

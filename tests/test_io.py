@@ -7,6 +7,8 @@ from fluorite.dataset import EEMDataset
 from fluorite.frames import from_numpy, to_numpy
 from fluorite.sources import json as J
 from fluorite.sources import text as X
+from fluorite.sources.text import read_reference_table
+from fluorite.sources.workbook import column_number, read_workbook
 
 
 def write(path, rows, sep="\t"):
@@ -90,3 +92,29 @@ def test_reference_table(spark, tmp_path):
     stack = X.read_reference_table(spark, str(tmp_path / "r.csv"), from_numpy(spark, np.ones((2, 1, 1)), [1], [2], index=["a", "b"]))
     got = {r["sample"]: r["doc"] for r in stack.ref.collect()}
     assert got[0] == 1 and np.isnan(got[1])
+
+
+def test_reference_workbook(spark, tmp_path):
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006/relationships"
+    parts = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="z" sheetId="2" r:id="rId7"/><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData/></worksheet>",
+        "xl/sharedStrings.xml": f"<sst {main}><si><t>name</t></si><si><r><t>do</t></r><r><t>c</t></r></si></sst>",
+        "xl/worksheets/sheet2.xml": f'<worksheet {main}><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row>'
+        '<row r="3"><c r="A3" t="inlineStr"><is><t>s0</t></is></c><c r="C3"><v>1.5</v></c></row><row r="5"><c r="A5" t="str"><v>s1</v></c><c r="C5"/></row></sheetData></worksheet>',
+    }
+    path = tmp_path / "ref.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    table = read_workbook(spark, str(path))
+    assert table.columns == ["name", "doc"] and sorted(map(tuple, table.collect())) == [("s0", "1.5"), ("s1", None)]
+    stack = from_numpy(spark, np.ones((3, 1, 1)), [1], [1], index=["s0", "s1", "s2"])
+    got = {r["sample"]: r["doc"] for r in read_reference_table(spark, str(path), stack).ref.collect()}
+    assert got[0] == 1.5 and np.isnan(got[1]) and np.isnan(got[2])
+    assert column_number("AA3") == 26

@@ -111,6 +111,61 @@ def test_hierarchy_keeps_what_has_no_children(planted):
     assert h.parents == [0, 1, 1] and np.allclose(h.components[0], parents[0] / parents[0].max())
 
 
+def test_parts_of_parent_scores_keep_children_apart(spark):
+    scores = np.random.default_rng(8).random((12, 2)) + 0.1
+    x = np.einsum("ir,jr,kr->ijk", scores, B, C)
+    stack = from_numpy(spark, x, EX, EM)
+    parent = x.mean(axis=0)[None]
+    given = spark.createDataFrame([(i, [float(s.sum())]) for i, s in enumerate(scores)], "sample long, scores array<double>")
+    h = HED(parent, {0: 2}, gamma_H=0.0, parent_scores=given, max_iter_als=60, tol=1e-9).fit(stack)
+    assert h.parents == [0, 0] and h.model.errors[-1] < 0.02
+    assert not np.allclose(h.components[0], h.components[1], atol=0.1)
+    again = HED(parent, {0: 2}, gamma_H=0.0, parent_scores=given, max_iter_als=60, tol=1e-9).fit(stack)
+    assert np.allclose(h.components, again.components)
+    split = {r["sample"]: r["scores"] for r in HED(parent, {0: 2}, parent_scores=given)._child_scores().collect()}
+    assert all(np.isclose(sum(split[i]), s.sum()) for i, s in enumerate(scores))
+
+
+def test_priors_draw_the_first_child(spark, planted):
+    scores, _, stack = planted
+    parents = np.einsum("jr,kr->rjk", B, C)
+    to = spark.createDataFrame([(i, [None, 5.0]) for i in range(12)], "sample long, prior array<double>")
+    h = HED(parents, {0: 0, 1: 1}, prior_dict_W=to, gamma_W={1: 1e9}, max_iter_als=3).fit(stack)
+    # scores of 5 for all samples: the least squares component is smaller by their mean over 5
+    own = h.model.last_pass.g[1, 1]
+    assert np.isclose(own, 12 * 25, rtol=1e-3)
+
+
+def test_priors_of_rank_one_scores(spark, planted):
+    _, _, stack = planted
+    to = spark.createDataFrame([(i, [2.0, 3.0]) for i in range(12)], "sample long, prior array<double>")
+    m = EEMNMF(2, solver="hals", prior_dict_A=to, gamma_A=1e9, prior_dict_W=to, gamma_W=0, fit_rank_one={0: True}, max_iter_als=3).fit(stack)
+    assert np.isclose(m.last_pass.g[0, 0], 12 * 4, rtol=1e-3) and not np.isclose(m.last_pass.g[1, 1], 12 * 9, rtol=0.1)
+    free = EEMNMF(2, solver="hals", prior_dict_A=to, gamma_A=1e9, max_iter_als=3).fit(stack)
+    assert not np.isclose(free.last_pass.g[0, 0], 12 * 4, rtol=1e-3)
+
+
+@pytest.mark.parametrize("init", ["ordinary_nmf", "ordinary_cp"])
+def test_fitted_starts(planted, init):
+    _, _, stack = planted
+    m = EEMNMF(2, solver="hals", init=init, max_iter_als=20).fit(stack)
+    assert m.errors[0] < 0.1 and m.variance_explained() > 99
+    with pytest.raises(ValueError):
+        EEMNMF(2, init="none such").fit(stack)
+
+
+def test_trilinear_start_and_masks_by_sample(spark, planted):
+    _, x, _ = planted
+    observed = np.random.default_rng(9).random(x.shape) > 0.05
+    spoilt = np.where(observed, x, 50.0)
+    masks = spark.createDataFrame([(i, [bool(v) for v in m.ravel()]) for i, m in enumerate(observed) if i], "sample long, mask array<boolean>")
+    spoilt[0] = x[0]  # has no mask
+    m = PARAFAC(2, init="ordinary_cp", mask=masks, max_iter_als=40).fit(from_numpy(spark, spoilt, EX, EM))
+    assert component_similarity(np.einsum("jr,kr->rjk", B, C), m.components).diagonal().min() > 0.99
+    plain = PARAFAC(2, max_iter_als=40).fit(from_numpy(spark, spoilt, EX, EM))
+    assert plain.errors[-1] > 0.1
+
+
 def test_starts_are_non_negative(planted):
     _, _, stack = planted
     for method in ("random", "svd", "nndsvd", "nndsvda", "nndsvdar"):

@@ -163,3 +163,28 @@ def test_small_functions(spark):
     d = random_split_columns(spark.createDataFrame([(1, 2.0, 5.0)], "sample long, u double, v double"), {"u": 3})
     r = d.first()
     assert d.columns == ["sample", "u_1", "u_2", "u_3", "v"] and np.isclose(r["u_1"] + r["u_2"] + r["u_3"], 2)
+
+
+def test_processing_with_each_samples_own(spark):
+    x = np.arange(24.0).reshape(2, 3, 4)
+    data = EEMDataset.from_arrays(spark, x, [1, 2, 3], [1, 2, 3, 4])
+    own = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "sample long, absorbance array<double>")
+    blank = EEMDataset.from_arrays(spark, x * 10, [1, 2, 3], [1, 2, 3, 4])
+    with_absorbance = data.process(lambda m, absorbance: m + absorbance.sum(), absorbance=own)
+    assert np.allclose(to_numpy(with_absorbance.stack), x + np.array([3, 7])[:, None, None])
+    assert np.allclose(to_numpy(data.process(lambda m, blank: m + blank, blank=blank).stack), 11 * x)
+    halves, table = data.process(lambda m: (m[:2], m > 5, float(m.max())), ex_range=[1, 2], outputs="mask array<boolean>, top double")
+    assert halves.stack.shape == (2, 4) and np.allclose(to_numpy(halves.stack), x[:, :2])
+    got = {r["sample"]: r for r in table.collect()}
+    assert got[1]["top"] == 23 and list(got[0]["mask"]) == (x[0] > 5).ravel().tolist()
+    assert np.allclose(to_numpy(data.process(lambda m: (2 * m, None)).stack), 2 * x)
+
+
+def test_calibration_with_p_values(spark):
+    values = spark.createDataFrame([(i, "a", float(v)) for i, v in enumerate([1.0, 2.5, 2.0, 4.0, 5.5])], "sample long, indicator string, value double")
+    ref = spark.createDataFrame([(i, "b", float(i)) for i in range(5)], "sample long, variable string, value double")
+    row = T.calibrate(values, ref, p_values=True).first()
+    # t = r sqrt((n - 2) / (1 - r r)) on 3 degrees of freedom, whose distribution is elementary
+    t = row["pearson"] * np.sqrt(3 / (1 - row["pearson"] ** 2))
+    expected = 1 - 2 / np.pi * (np.arctan(t / np.sqrt(3)) + t / np.sqrt(3) / (1 + t * t / 3))
+    assert np.isclose(row["pearson_p"], expected) and "pearson_p" not in T.calibrate(values, ref).columns
