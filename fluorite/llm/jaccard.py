@@ -89,6 +89,7 @@ def jaccard_components(
     often: int = 16,
     most_often: int = 1 << 20,
     bucket_bytes: int = 32 << 20,
+    most_places: int = 29,
     id_col: str = "doc_id",
     text_col: str = "text",
     with_key: bool = False,
@@ -100,11 +101,17 @@ def jaccard_components(
        follows the size of all texts (``bucket_bytes`` of text a bucket). Global
        orders put the most frequent tokens last: those of ``often`` documents or
        more, or the most frequent ``most_often`` or so of them (their table is
-       broadcast). The others go by a hash. To link, two sets must share one of
-       their first n - ceil(n * num / den) + 1 tokens under every order; any
-       order gives the same links.
+       broadcast). Tokens of one document come first, then those of fewer than
+       ``often``, then the other ones of ``often`` or more, and within these by a
+       hash. What comes when is read from two maps with a bit for each of up to
+       2**``most_places`` places (64 and 8 MB at most, broadcast): a place has the mark if any of its tokens has,
+       which may put a token later than its count would, but in all sets alike.
+       To link, two sets must share one of their first
+       n - ceil(n * num / den) + 1 tokens under every order; any order gives the
+       same links. Tokens of one document link nothing and are not passed on, so
+       texts with enough of them make no pairs.
     3. Classes that share a rare token of the first order are paired. A token
-       that ``often`` documents or more have, but too few to be last, is crowded:
+       with the mark of ``often`` documents, but too few to be last, is crowded:
        its classes pair only with its hub at first, the class with the fewest
        rare tokens; links make components. Then classes in other components than their hub's are paired
        with those that share a token of the second order too.
@@ -131,6 +138,8 @@ def jaccard_components(
     steps = np.arange(orders, dtype=np.uint64) * _GOLD
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(24, max(12, (total // bucket_bytes).bit_length()))
+    places = max(bits + 6, min(most_places, (total // 8).bit_length()))
+    maps = {"twice": (2, places), "many": (often, places - 3)}  # the marks of at least so many documents, and places as a power of two
 
     def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The upper bits of all tokens, dealt by the first few, as packed numbers of the 32 that follow."""
@@ -160,8 +169,29 @@ def jaccard_components(
     def frequent(pdf: pd.DataFrame) -> pd.DataFrame:
         token, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["rest"]]), return_counts=True)
         some = n >= often
-        upper = (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32)) | token[some].astype(np.uint64)
-        return pd.DataFrame({"token": upper.astype(np.int64), "n": n[some].astype(np.int64)})
+        bucket = int(pdf["bucket"].iloc[0])
+        upper = (np.uint64(bucket) << np.uint64(32)) | token[some].astype(np.uint64)
+        parts = {}
+        for kind, (least, size) in maps.items():
+            marks = np.zeros(1 << size - bits, bool)
+            marks[token[n >= least] >> np.uint32(32 - size + bits)] = True
+            parts[kind] = [None] * len(upper) + [np.packbits(marks, bitorder="little").tobytes()]
+        return pd.DataFrame({"token": np.append(upper.astype(np.int64), bucket), "n": np.append(n[some], 0)} | parts)
+
+    def marked(s: np.ndarray, places_of: np.ndarray) -> np.ndarray:
+        """Whether a map has the place of each token; without a map none."""
+        if not len(places_of):
+            return np.zeros(len(s), bool)
+        at = s >> np.uint64(65 - (8 * len(places_of)).bit_length())
+        return places_of[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+    def levels(s: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """0: in no other document; 1: in few at most; 2: may be crowded; 3: among the most frequent."""
+        last, twice, many = known
+        level = marked(s, twice).astype(np.int8)
+        level += level * marked(s, many)
+        level[is_frequent(s, last)] = 3
+        return level
 
     def is_frequent(s: np.ndarray, last: np.ndarray) -> np.ndarray:
         if not len(last) or not len(s):
@@ -169,60 +199,68 @@ def jaccard_components(
         upper = s >> np.uint64(32 - bits)
         return last[np.minimum(np.searchsorted(last, upper), len(last) - 1)] == upper
 
-    def in_order(s: np.ndarray, frequent: np.ndarray, order: int) -> np.ndarray:
+    def in_order(s: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
         """Places of the prefix of set s under an order."""
         p = prefix_size(len(s), num, den)
-        return np.lexsort((s if order == 0 else _mix(s + steps[order]), frequent))[:p]
+        return np.lexsort((s if order == 0 else _mix(s + steps[order]), level))[:p]
 
     def digest(s: np.ndarray) -> tuple[int, int]:
         d = xxhash.xxh3_128_intdigest(s.tobytes(), seed)
         return (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last = Shingler(k, seed), hot.value
+        shingle, known = Shingler(k, seed), hot.value
         for batch in pieces(batches):
             sets = [shingle(t) for t in _texts(batch, 1)]
             digests = [digest(s) if len(s) else (None, None) for s in sets]
-            marks = [is_frequent(s, last) for s in sets]
+            marks = [levels(s, known) for s in sets]
             first = [in_order(s, m, 0) if len(s) else np.empty(0, int) for s, m in zip(sets, marks, strict=True)]
+            second = [in_order(s, m, 1) if (m[f] == 2).any() else f[:0] for s, m, f in zip(sets, marks, first, strict=True)]
+            listed = [[s[f[m[f] == level]] for s, m, f in zip(sets, marks, first, strict=True)] for level in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([len(s) - int(m.sum()) for s, m in zip(sets, marks, strict=True)], pa.int64()),
+                    pa.array([int((m < 3).sum()) for m in marks], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
-                    _lists([s[f[~m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
-                    _lists([s[f[m[f]]] for s, m, f in zip(sets, marks, first, strict=True)]),
-                    _lists([s[in_order(s, m, 1)] if len(s) and crowded else s[:0] for s, m in zip(sets, marks, strict=True)]),
+                    *map(_lists, listed),
+                    _lists([s[f[m[f] > 0]] if len(f) else s[:0] for s, m, f in zip(sets, marks, second, strict=True)]),
                     _lists([_bitmap(s) if len(s) else s for s in sets]),
                 ],
-                ["id", "key", "n", "r", "cls", "more", "rare", "often", "second", "bits"],
+                ["id", "key", "n", "r", "cls", "more", "rare", "crowd", "often", "second", "bits"],
             )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last = Shingler(k, seed), hot.value
+        shingle, known = Shingler(k, seed), hot.value
         for batch in pieces(batches):
             sets = [s for s in map(shingle, _texts(batch, 1)) if len(s)]
             for at in range(0, len(sets), 256):
                 some = sets[at : at + 256]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest(s)[0] for s in some], pa.int64()), _lists(some), *[_lists([s[in_order(s, is_frequent(s, last), o)] for s in some]) for o in range(1, orders)]],
+                    [pa.array([digest(s)[0] for s in some], pa.int64()), _lists(some), *[_lists([s[in_order(s, levels(s, known), o)] for s in some]) for o in range(1, orders)]],
                     ["cls", "tokens", *[f"p{o}" for o in range(1, orders)]],
                 )
 
+    def whole_map(kind: str) -> np.ndarray:
+        """The buckets' parts side by side, as many bits whatever the number of tokens."""
+        size = maps[kind][1]
+        out, width = np.zeros(1 << size - 3, np.uint8), 1 << size - bits - 3
+        for bucket, part in counts.where(F.col(kind).isNotNull()).select("token", kind).coalesce(8).toLocalIterator():
+            out[bucket * width : (bucket + 1) * width] = np.frombuffer(part, np.uint8)
+        return out
+
     for seed in range(3):
-        counts = materialize(texts.select("text").mapInArrow(count_tokens, "bucket int, rest binary").groupBy("bucket").applyInPandas(frequent, "token long, n long"))
+        counts = materialize(texts.select("text").mapInArrow(count_tokens, "bucket int, rest binary").groupBy("bucket").applyInPandas(frequent, "token long, n long, twice binary, many binary"))
         release(spark)
         least = often
         while not small(counts.where(F.col("n") >= least), most_often):
             least *= 2
-        between = counts.where(F.col("n") < least).select(F.col("token").alias("upper"))
-        crowded = not between.isEmpty()
+        crowded = not counts.where((F.col("n") >= often) & (F.col("n") < least)).isEmpty()
         found = counts.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64)  # most_often at most
-        hot = spark.sparkContext.broadcast(np.sort(found.astype(np.uint64)))
-        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("key", "n", "r", "cls", "more")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "often", "second", "bits")])
+        hot = spark.sparkContext.broadcast((np.sort(found.astype(np.uint64)), whole_map("twice"), whole_map("many") if crowded else np.empty(0, np.uint8)))
+        schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("key", "n", "r", "cls", "more")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rare", "crowd", "often", "second", "bits")])
         rows = materialize(texts.mapInArrow(prefixes, schema))
         classes = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.first("bits").alias("bits"), F.first("often").alias("often"), F.first("second").alias("second"), F.min("more").alias("m0"), F.max("more").alias("m1"))
         classes = materialize(classes)
@@ -274,10 +312,8 @@ def jaccard_components(
     rare, shared = postings("rare"), materialize(postings("often").dropDuplicates(["token", "cls"]))
     hubs = hubs_of(shared, 1)
     if crowded:  # there are none as long as all tokens of ``often`` documents are last
-        rare = rare.withColumn("upper", F.shiftrightunsigned("token", 32 - bits))
-        crowd = materialize(rare.join(maybe_broadcast(between), "upper", "left_semi").drop("upper").dropDuplicates(["token", "cls"]))
+        crowd = materialize(postings("crowd").dropDuplicates(["token", "cls"]))
         crowds = hubs_of(crowd, 1)
-        rare = rare.join(maybe_broadcast(between), "upper", "left_anti").drop("upper")
     thin = rare.repartition("token").dropDuplicates(["token", "cls"])  # fewer than ``often`` documents a token
     met = thin.alias("x").join(thin.alias("y"), F.expr("x.token = y.token and x.cls < y.cls and " + alike("x", "y"))).select(*named_pair)
 

@@ -330,6 +330,32 @@ def test_components_of_sets_of_unequal_sizes(docs_of):
     assert got == dict(enumerate(brute_components(texts, 3, 40, 100)))
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_texts_with_words_of_their_own_make_no_pairs(docs_of, monkeypatch, most):
+    """Shingles that a few documents share, or many, pair no texts that have enough of their own."""
+    from fluorite.llm import jaccard
+
+    rng = random.Random(7)
+    shared = [" ".join(rng.choices([f"s{i}" for i in range(50)], k=12)) for _ in range(60)]
+    texts = []
+    for i in range(120):
+        parts = [shared[0], *rng.sample(shared, 6), " ".join(f"t{i}w{j}" for j in range(60))]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [t + " end" for t in texts[:20]]
+    met, cut = [], jaccard.materialize
+
+    def counted(df):
+        df = cut(df)
+        if df.columns == ["a", "b", "na", "nb"]:
+            met.append(df.count())
+        return df
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs_of(list(enumerate(texts))), most_often=most).collect()}
+    assert got == dict(enumerate(brute_components(texts, 3, 90, 100))) and max(met) <= 300
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5000, 5000)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
