@@ -1,5 +1,6 @@
 """Operators against brute force, SQL, the library whose counts they give, or held-out labels."""
 
+import io
 import random
 import re
 from pathlib import Path
@@ -405,6 +406,25 @@ def test_a_large_group_does_not_hide_lost_small_groups(monkeypatch):
     assert {(i, i + 100) for i in range(400, 500)} <= set(zip(a.tolist(), b.tolist(), strict=True))
 
 
+def test_a_search_holds_a_bounded_number_of_pairs(monkeypatch):
+    """Three million pairs of one group come in parts; all at once, with the audit, they took over 100 MB."""
+    import tracemalloc
+
+    from fluorite.llm import neighbours
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1, 8)) + 0.01 * rng.standard_normal((1800, 8))
+    blob, ids = build_shard(np.arange(1800), x), np.arange(1800)
+    monkeypatch.setattr(neighbours, "HELD", 1 << 16, raising=False)
+    parts = getattr(neighbours, "search_parts", lambda z, *rest: [search_shard(blob, *rest)])
+    shard = dict(np.load(io.BytesIO(blob)))
+    tracemalloc.start()
+    n = sum(len(a) for a, *_ in parts(shard, ids, x, 0.95))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 0.98 * 1800**2 and peak < 50 << 20, (n, peak)
+
+
 def test_a_forest_holds_the_same_nodes():
     from fluorite.llm.neighbours import forest
 
