@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import KEY, materialize, maybe_broadcast, read, row_key
+from .graph import connected_components
 
 FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 #: Blanks other than a single space.
@@ -41,36 +42,28 @@ def place_lines(texts: DataFrame, depth: int = 3) -> DataFrame:
     return lines.select(*TEXT, "total", "at", _solid(F.col("m")).alias("solid"), node, leaf, *parts)
 
 
-def generalise(lines: DataFrame, hops: int = 3) -> DataFrame:
-    """(node, leaf, template): leaves whose line is an instance of another leaf's template, and that leaf.
+def generalise(lines: DataFrame) -> DataFrame:
+    """(leaf, template): leaves whose line is an instance of another leaf's template, and that leaf.
 
-    Leaves of a node are ranked by their number of lines, then their digest. A
-    leaf takes as its leader the first of those that agree with it in its first
-    part, or in its second, if no more than one of the four parts differs; that
-    part is a variable field. Leaders of leaders are followed ``hops`` times.
+    Two leaves of a node are linked if no more than one of their four parts
+    differs; that part is a variable field. Leaves that agree in the same three
+    parts are all linked to the least of them, which joins the same leaves as
+    all their pairs would. A template is the least leaf that links reach.
     """
     several = lines.groupBy("node").agg(F.min("leaf").alias("a"), F.max("leaf").alias("b")).where("a <> b").select("node")
-    leaves = lines.where("f0 is not null").join(maybe_broadcast(materialize(several)), "node", "left_semi").groupBy("node", "leaf").agg(F.count(F.lit(1)).alias("n"), *[F.first(f).alias(f) for f in PARTS])
-    leaves = materialize(leaves)
-    keyed = leaves.select("node", "leaf", "n", F.posexplode(F.array("f0", "f1")).alias("j", "f"))
-    first = keyed.groupBy("node", "j", "f").agg(F.max(F.struct("n", "leaf")).alias("of"), F.count(F.lit(1)).alias("size")).where("size > 1").select("node", "j", "f", "of")
-    met = keyed.join(maybe_broadcast(materialize(first)), ["node", "j", "f"]).where("struct(n, leaf) < of").select("node", "leaf", F.col("of.leaf").alias("other")).distinct()
-    met = met.join(leaves.select("node", "leaf", *PARTS), ["node", "leaf"])
-    theirs = leaves.select("node", F.col("leaf").alias("other"), F.col("n").alias("o_n"), *[F.col(f).alias(f"o_{f}") for f in PARTS])
-    alike = met.join(theirs, ["node", "other"]).where(" + ".join(f"if({f} = o_{f}, 1, 0)" for f in PARTS) + " >= 3")
-    led = materialize(alike.groupBy("node", "leaf").agg(F.max(F.struct("o_n", "other")).alias("by")).select("node", "leaf", F.col("by.other").alias("template")))
-    out = led
-    for _ in range(hops):
-        on = led.select("node", F.col("leaf").alias("template"), F.col("template").alias("next"))
-        out = out.join(maybe_broadcast(on), ["node", "template"], "left").select("node", "leaf", F.coalesce("next", "template").alias("template"))
-    return materialize(out)
+    leaves = lines.where("f0 is not null").join(maybe_broadcast(materialize(several)), "node", "left_semi").groupBy("node", "leaf").agg(*[F.first(f).alias(f) for f in PARTS])
+    threes = F.array(*[F.struct(*[(F.lit(None).cast("int") if f == left else F.col(f)).alias(f) for f in PARTS]) for left in PARTS])
+    keyed = materialize(leaves).select("node", "leaf", F.explode(threes).alias("parts"))
+    first = keyed.groupBy("node", "parts").agg(F.min("leaf").alias("least"), F.max("leaf").alias("most")).where("least <> most").select("node", "parts", "least")
+    links = keyed.join(maybe_broadcast(materialize(first)), ["node", "parts"]).where("leaf <> least").select(F.col("leaf").alias("a"), F.col("least").alias("b"))
+    return materialize(connected_components(links).where("node <> component").select(F.col("node").alias("leaf"), F.col("component").alias("template")))
 
 
 def recurring_lines(texts: DataFrame, min_docs: int = 3, depth: int = 3) -> DataFrame:
     """(key, size, bad) for texts with lines that recur: their places in the text; see dedup_lines."""
     lines = materialize(place_lines(texts, depth))
     merged = generalise(lines)
-    lines = lines.drop(*PARTS).join(maybe_broadcast(merged), ["node", "leaf"], "left").withColumn("leaf", F.coalesce("template", "leaf")).drop("template")
+    lines = lines.drop(*PARTS).join(maybe_broadcast(merged), "leaf", "left").withColumn("leaf", F.coalesce("template", "leaf")).drop("template")
     several = lines.groupBy("node", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("node", "leaf")
     # few lines are left; rows with the same text have each of theirs once from here on
     lines = materialize(lines.join(maybe_broadcast(materialize(several)), ["node", "leaf"], "left_semi").dropDuplicates([*TEXT, "at"]))
@@ -91,8 +84,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, text_col: st
 
     Every line goes to a leaf of a tree of fixed depth: its number of words,
     then its first ``depth`` words, then the templates of that node. Words with
-    a digit are variable, and so are the parts in which a line differs from a
-    commoner one of its node (see generalise). A template that at least
+    a digit are variable, and so are the parts in which a line differs from
+    others of its node (see generalise). A template that at least
     ``min_docs`` different texts have is a candidate. A text nine tenths of which
     (by signs that aren't blank) are candidates is taken to be a copy of other
     texts and not a document around a passage: it has no say. A

@@ -545,6 +545,26 @@ def test_templates_generalise_fields_without_digits(docs_of):
     assert all(got[100 + i][1] == 0 for i in range(12))  # the same node, no template
 
 
+def test_lines_with_three_equal_parts_share_a_template(docs_of):
+    """Whatever the commonest line of a part is, and however long the chain of lines is; against brute force."""
+    rng = random.Random(23)
+    start = "session of user "
+    near = [(0, 0, 0, k) for k in range(3)] + [(0, 0, 9, 9)] * 2  # the last is commoner and like none of them
+    chain = [(20, 20, 20, 20), (21, 20, 20, 20), (21, 21, 20, 20), (21, 21, 21, 20), (21, 21, 21, 21), (22, 21, 21, 21), (22, 22, 21, 21)]
+    said = near + chain + [tuple(rng.randrange(10, 16) for _ in range(4)) for _ in range(70)]
+    group = list(range(len(said)))
+    for i, x in enumerate(said):
+        for j, y in enumerate(said[:i]):
+            if sum(p == q for p, q in zip(x, y, strict=True)) >= 3:
+                group = [group[j] if g == group[i] else g for g in group]
+    assert {min(group.count(g), 3) for g in group} == {1, 2, 3}
+    word = lambda k: "abcdefghijklmnopqrstuvwxyz"[k] * 2
+    own = [own_lines(rng, 3) for _ in said]
+    rows = [(i, "\n".join([*x, start + " ".join(f"{word(k)} {word(k)}" for k in parts)])) for i, (x, parts) in enumerate(zip(own, said, strict=True))]
+    got = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(docs_of(rows)).collect()}
+    assert got == {i: int(group.count(g) >= 3) for i, g in enumerate(group)}
+
+
 def test_a_text_of_very_many_lines(docs_of):
     rng = random.Random(22)
     own = own_lines(rng, 20_000, 2)
