@@ -195,6 +195,29 @@ def test_linkage_and_cut():
     assert np.allclose(z[:, 2], [1, 1, 11, 30])
 
 
+def _odd_runs(spark):
+    """Runs with lost samples, null labels, words for labels, and a sample that meets nobody."""
+    rows = [(run, i, None if (i + run) % 11 == 0 else f"c{(i * (run + 3)) % 4}") for run in range(3) for i in range(40) if (i + run) % 5] + [(9, 99, "c0")]
+    return spark.createDataFrame(rows, "run int, sample long, label string"), rows
+
+
+def test_consensus_by_blocks(spark, monkeypatch):
+    """Pairs are made after the last shuffle; a join with a sum for each pair shuffled them all."""
+    monkeypatch.setattr(A, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(A, "HELD_PAIRS", 20, raising=False)
+    labels, rows = _odd_runs(spark)
+    found = A.consensus(labels)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+    want = {}
+    for run, i, x in rows:
+        for other, j, y in rows:
+            if run == other and i < j:
+                together, runs = want.get((i, j), (0, 0))
+                want[i, j] = together + (x is not None and x == y), runs + 1
+    assert sorted(map(tuple, found.collect())) == sorted((i, j, t, n, t / n) for (i, j), (t, n) in want.items())
+
+
 def test_clusters_of_two_kinds(spark):
     rng = np.random.default_rng(4)
     kinds = [np.outer(B[:, k], C[:, k]) for k in range(2)]
