@@ -218,6 +218,17 @@ def test_consensus_by_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted((i, j, t, n, t / n) for (i, j), (t, n) in want.items())
 
 
+def test_silhouettes_by_classes_of_samples(spark, monkeypatch):
+    """The same as from all pairs, without a row for any two samples."""
+    monkeypatch.setattr(A, "BLOCK", 7)
+    labels, _ = _odd_runs(spark)
+    clusters = labels.select("sample").distinct().selectExpr("sample", "case when sample % 13 = 0 then null when sample = 7 then 5 else sample % 3 end as label")
+    want = A.silhouette(A.consensus(labels).selectExpr("i", "j", "1 - consensus as distance"), clusters)
+    got = A.consensus_silhouette(labels, clusters)
+    found, known = ({r["sample"]: r["silhouette"] for r in d.collect()} for d in (got, want))
+    assert found.keys() == known.keys() and np.allclose([found[k] for k in known], list(known.values()))
+
+
 def test_clusters_of_two_kinds(spark):
     rng = np.random.default_rng(4)
     kinds = [np.outer(B[:, k], C[:, k]) for k in range(2)]
