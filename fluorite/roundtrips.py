@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import views as V
 from .catalogue import L_SQL, query, rounded, shown, tidy
-from .frames import Stack, fold
+from .frames import Stack, dealt, fold
 from .sources import json as J
 from .sources import text as X
 
@@ -136,11 +136,15 @@ EX, EM = (250.0, 260.0, 270.0, 280.0, 290.0), (300.0, 310.0, 320.0, 330.0, 340.0
 B, C = ((0.5, 1.0, 0.25, 0, 0), (0, 0, 0, 1.0, 0.5)), ((0.5, 1.0, 0.5, 0, 0, 0), (0, 0, 0, 0.25, 1.0, 0.75))
 
 
+def _dealt_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(V.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), len(EX) * len(EM), "p_partkey")
+
+
 def planted(spark: SparkSession, sf: str) -> Stack:
     size = F.when(F.col("p_partkey") % 5 == 0, 0.0).otherwise(F.col("p_size").cast("double"))
     price = F.when(F.col("p_partkey") % 5 == 1, 0.0).otherwise(F.sqrt(F.col("p_retailprice").cast("double")))
     cells = F.array(*[size * (B[0][i] * C[0][j]) + price * (B[1][i] * C[1][j]) for i in range(5) for j in range(6)])
-    frame = V.table(spark, sf, "part").select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
+    frame = _dealt_parts(spark, sf).select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
     return Stack(frame, EX, EM, V.parts(spark, sf))
 
 
@@ -252,7 +256,7 @@ def _two_kinds(spark: SparkSession, sf: str) -> Stack:
     size, root = F.col("p_size").cast("double"), F.sqrt(F.col("p_retailprice").cast("double"))
     even = F.col("p_partkey") % 2 == 0
     cells = F.array(*[F.when(even, size * (B[0][i] * C[0][j])).otherwise(root * (B[1][i] * C[1][j])) for i in range(5) for j in range(6)])
-    frame = V.table(spark, sf, "part").select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
+    frame = _dealt_parts(spark, sf).select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
     return Stack(frame, EX, EM, V.parts(spark, sf))
 
 
@@ -303,7 +307,7 @@ _PLANE = "(2.0::DOUBLE + 0.01 * sample + 0.03 * (ex - 250) + 0.02 * (em - 300))"
 def _planes(spark: SparkSession, sf: str) -> Stack:
     value = lambda i, j: F.lit(2.0) + 0.01 * F.col("p_partkey") + 0.03 * (EX[i] - 250) + 0.02 * (EM[j] - 300)
     cells = F.array(*[value(i, j).cast("double") for i in range(5) for j in range(6)])
-    frame = V.table(spark, sf, "part").select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
+    frame = _dealt_parts(spark, sf).select(F.col("p_partkey").alias("sample"), F.col("p_partkey").cast("string").alias("index"), F.lit(None).cast("string").alias("cluster"), cells.alias("intensity"))
     return Stack(frame, EX, EM)
 
 

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fluorite.frames import SCHEMA, from_numpy
 from fluorite.operators import algebra as A
@@ -166,6 +167,18 @@ def test_trilinear_start_and_masks_by_sample(spark, planted):
     assert plain.errors[-1] > 0.1
 
 
+def test_small_files_of_large_stacks_are_dealt(tmp_path, spark, monkeypatch):
+    """A table in one small file makes a stack whose pixels one task would read."""
+    from fluorite import frames, roundtrips
+
+    rows = [(i, i % 50 + 1, 900.0 + i % 100) for i in range(4000)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(frames, "PART_BYTES", 4000 * 30 * 8 // 6, raising=False)
+    for make in (roundtrips.planted, roundtrips._two_kinds, roundtrips._planes):
+        sizes = [r["count"] for r in make(spark, str(tmp_path)).frame.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1000, sizes
+
+
 def test_starts_are_non_negative(planted):
     _, _, stack = planted
     for method in ("random", "svd", "nndsvd", "nndsvda", "nndsvdar"):
