@@ -242,6 +242,56 @@ def test_silhouettes_by_classes_of_samples(spark, monkeypatch):
     assert found.keys() == known.keys() and np.allclose([found[k] for k in known], list(known.values()))
 
 
+def _plain_linkage(distance):
+    d = np.array(distance, float)
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    name, size, out = list(range(n)), [1] * n, []
+    for step in range(n - 1):
+        i, j = sorted(np.unravel_index(int(np.argmin(d)), d.shape))
+        out.append((*sorted((name[i], name[j])), d[i, j], size[i] + size[j]))
+        d[i] = d[:, i] = np.maximum(d[i], d[j])
+        d[j] = d[:, j] = d[i, i] = np.inf
+        name[i], size[i] = n + step, size[i] + size[j]
+    return np.array(out)
+
+
+def test_linkage_takes_the_first_of_equal_distances():
+    rng = np.random.default_rng(11)
+    for n in (2, 7, 30):
+        for most in (2, 5, 1000):
+            d = np.triu(rng.integers(0, most, (n, n)), 1)
+            assert np.array_equal(complete_linkage(d + d.T), _plain_linkage(d + d.T))
+
+
+def test_classes_of_samples_cluster_as_samples_do(spark):
+    """Of 60 samples the driver held 3 600 distances; of their classes it holds those of the classes."""
+    rng = np.random.default_rng(12)
+    kind = rng.integers(0, 8, 60)
+    rows = [(run, i, f"c{(k * (run + 2)) % 3}") for i, k in enumerate(kind.tolist()) for run in range(4) if (k + run) % 4 and i != 17]
+    runs = spark.createDataFrame(rows, "run int, sample long, label string")
+    stack = from_numpy(spark, rng.random((60, len(EX), len(EM))), EX, EM)
+    m = np.zeros((60, 60))
+    for r in A.consensus(runs).collect():
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["consensus"]
+    np.fill_diagonal(m, 1)
+    for n_clusters, power in ((2, 1), (3, 2), (5, 1), (40, 1)):
+        method = KMethod(EEMNMF(1, solver="hals", init="random", max_iter_als=1), 2)
+        method.runs = runs
+        method.cluster_specific_models = None
+        method.base_model.fit = lambda stack: None  # what counts here are the labels
+        found = {r["sample"]: r["label"] for r in method.hierarchical_clustering(stack, n_clusters, power).collect()}
+        plain = _plain_linkage((1 - m) ** power)
+        want = cut_tree(plain, n_clusters)
+        assert [found[i] for i in range(60)] == want.tolist()
+        heights = np.sort(plain[:, 2])
+        assert np.isclose(method.threshold, (heights[-n_clusters] + heights[1 - n_clusters]) / 2)
+        assert len(method.distance_matrix) == (9 if n_clusters < 4 else 60)
+        every = spark.createDataFrame([(i, j, float((1 - m[i, j]) ** power)) for i in range(60) for j in range(i + 1, 60)], "i long, j long, distance double")
+        labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(want)], "sample long, label int")
+        assert np.isclose(method.silhouette, np.mean([r["silhouette"] for r in A.silhouette(every, labels).collect()]))
+
+
 def test_clusters_of_two_kinds(spark):
     rng = np.random.default_rng(4)
     kinds = [np.outer(B[:, k], C[:, k]) for k in range(2)]
