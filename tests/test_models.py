@@ -292,6 +292,42 @@ def test_classes_of_samples_cluster_as_samples_do(spark):
         assert np.isclose(method.silhouette, np.mean([r["silhouette"] for r in A.silhouette(every, labels).collect()]))
 
 
+def test_rounds_of_clustering_read_their_source_once(spark, planted):
+    """Every fit, start and distance made the stack anew."""
+    _, _, stack = planted
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    source = stack.with_frame(stack.frame.mapInArrow(counted, stack.frame.schema))
+    labels, _ = KMethod(EEMNMF(1, solver="hals", init="svd", max_iter_als=2), 2, max_iter=2, elimination=0).base_clustering(source)
+    assert labels.count() == 12 and read.value <= 2 * 12, read.value
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 1003])
+def test_places_by_ranges(spark, monkeypatch, n):
+    """The parts that ntile over all rows gives, without one task that has all of them."""
+    from pyspark.sql import Window
+
+    from fluorite.frames import Stack
+    from fluorite.operators import samples as S
+
+    monkeypatch.setattr(S, "IN_ORDER", 100)
+    rows = spark.range(n).select((F.col("id") * 7 - 300).alias("sample"))
+    stack = Stack(rows.select("sample", F.col("sample").cast("string").alias("index")), (1.0,), (1.0,))
+    for rule, order in (("random", [S.hash_order(4), F.col("sample")]), ("sequential", [F.col("sample")])):
+        for parts in (1, 4, 7):
+            want = rows.select("sample", F.ntile(parts).over(Window.orderBy(*order)).alias("split"))
+            got = S.split_numbers(stack, parts, rule, 4)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert n <= 100 or "SinglePartition" not in plan
+    assert S.subsample_ids(stack, 0.8, 4).count() == int(n * 0.8)
+
+
 def test_clusters_of_two_kinds(spark):
     rng = np.random.default_rng(4)
     kinds = [np.outer(B[:, k], C[:, k]) for k in range(2)]
